@@ -7,27 +7,22 @@ from pyspark.sql import functions as F
 
 from nearkin.functions.encode import PACKINGS, _col, packed_words
 
-# Longest packed array that is compared by a flat expression instead of a lambda over arrays.
-UNROLLED_WORDS = 32
-
 
 def _check_threshold(k: int) -> None:
     if k < 0:
         raise ValueError("threshold must not be negative")
 
 
-def packed_hamming(left: Column | str, right: Column | str, packing: str, words: int | None = None) -> Column:
-    """Differing symbols of two packed strings; the longer one's tail counts in full.
-
-    ``words`` bounds both arrays; when small, the sum is written out so that it compiles into
-    the surrounding stage.
-    """
-    left, right = _col(left), _col(right)
+def packed_hamming(left: Column | str, right: Column | str, packing: str) -> Column:
+    """Differing symbols of two packed strings; the longer one's tail counts in full."""
     per_word, bits = PACKINGS[packing]
     ones = sum(1 << (bits * i) for i in range(per_word))
+    zero = F.lit(0).cast("bigint")
 
     def differing(x: Column, y: Column) -> Column:
-        diff = F.coalesce(x, F.lit(0).cast("bigint")).bitwiseXOR(F.coalesce(y, F.lit(0).cast("bigint")))
+        return F.coalesce(x, zero).bitwiseXOR(F.coalesce(y, zero))
+
+    def count(total: Column, diff: Column) -> Column:
         # Fold each symbol's bits onto its lowest one.
         if packing == "dna":
             folded = diff.bitwiseOR(F.shiftrightunsigned(diff, 1)).bitwiseOR(F.shiftrightunsigned(diff, 2))
@@ -36,14 +31,9 @@ def packed_hamming(left: Column | str, right: Column | str, packing: str, words:
             while shift:
                 folded = folded.bitwiseOR(F.shiftrightunsigned(folded, shift))
                 shift //= 2
-        return F.bit_count(folded.bitwiseAND(F.lit(ones)))
-
-    if words is not None and words <= UNROLLED_WORDS:
-        total = F.lit(0)
-        for i in range(words):
-            total = total + differing(F.get(left, F.lit(i)), F.get(right, F.lit(i)))
-        return total
-    return F.aggregate(F.zip_with(left, right, differing), F.lit(0), lambda acc, x: acc + x)
+        return total + F.bit_count(folded.bitwiseAND(F.lit(ones)))
+
+    return F.aggregate(F.zip_with(_col(left), _col(right), differing), F.lit(0), count)
 
 
 def padded_hamming(left: Column | str, right: Column | str, packing: str = "unicode") -> Column:

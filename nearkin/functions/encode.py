@@ -5,6 +5,8 @@ Every function maps Columns to a Column and stays inside the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,12 +39,33 @@ def digit_to_letter(digit: Column | str) -> Column:
     return F.when(known, F.substring(F.lit(DIGIT_LETTERS), digit + 1, F.lit(1))).otherwise(UNKNOWN_LETTER)
 
 
+# Symbols per block when a string is taken apart. Reaching a position in a UTF-8 string means
+# walking to it, so cutting long strings in two steps saves most of that walk.
+BLOCK = 256
+
+
+def _in_blocks(seq: Column, size: int, overlap: int, parts: Callable[[Column], Column]) -> Column:
+    """Parts of consecutive blocks of ``size`` symbols (plus ``overlap`` more), in one array.
+
+    Lambda arguments hold values, so ``seq`` is evaluated once even if it is an expression.
+    """
+
+    def blocks(s: Column) -> Column:
+        last = F.greatest(F.ceil(F.length(s) / size).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.substring(s, b * size + 1, F.lit(size + overlap)))
+
+    return F.flatten(F.transform(F.flatten(F.transform(F.array(seq), blocks)), parts))
+
+
 def lmers(seq: Column | str, l: int) -> Column:
     """All substrings of length ``l`` in order of position; empty for shorter strings."""
-    seq = _col(seq)
-    n = F.length(seq) - l + 1
-    every = F.transform(F.sequence(F.lit(1), n), lambda p: F.substring(seq, p, F.lit(l)))
-    return F.when(n > 0, every).otherwise(F.array().cast("array<string>"))
+
+    def every(block: Column) -> Column:
+        n = F.length(block) - l + 1
+        cut = F.transform(F.sequence(F.lit(1), n), lambda p: F.substring(block, p, F.lit(l)))
+        return F.when(n > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    return _in_blocks(_col(seq), BLOCK, l - 1, every)
 
 
 def lmer_set(seq: Column | str, l: int) -> Column:
@@ -102,12 +125,13 @@ DNA_SYMBOLS, DNA_DIGITS = "ACGTN-", "123456"
 
 def packed_words(seq: Column | str, packing: str) -> Column:
     """The string as an ``array<bigint>`` of packed symbols."""
-    seq = _col(seq)
-    per_word, bits = PACKINGS[packing]
-    last = F.greatest(F.ceil(F.length(seq) / per_word).cast("int") - 1, F.lit(0))
+    per_word, _ = PACKINGS[packing]
+
+    def words(block: Column) -> Column:
+        last = F.greatest(F.ceil(F.length(block) / per_word).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda w: word(F.substring(block, w * per_word + 1, F.lit(per_word))))
 
-    def word(w: Column) -> Column:
-        part = F.substring(seq, w * per_word + 1, F.lit(per_word))
+    def word(part: Column) -> Column:
         if packing == "dna":
             digits, radix, width = F.translate(part, DNA_SYMBOLS, DNA_DIGITS), 8, per_word
         elif packing == "ascii":
@@ -116,7 +140,7 @@ def packed_words(seq: Column | str, packing: str) -> Column:
             digits, radix, width = F.hex(F.encode(part, "UTF-32")), 16, 8 * per_word
         return F.conv(F.rpad(digits, width, "0"), radix, 10).cast("bigint")
 
-    return F.transform(F.sequence(F.lit(0), last), word)
+    return _in_blocks(_col(seq), BLOCK // per_word * per_word, 0, words)
 
 
 def packing_of(seq: Column | str) -> Column:

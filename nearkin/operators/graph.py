@@ -37,11 +37,11 @@ def component_roots(edges: DataFrame) -> DataFrame:
         lowest = _smallest(down)
         below = down.join(lowest, "i").select(F.col("j").alias("i"), F.col("low").alias("j"))
         moved = below.union(lowest.select("i", "low")).where("i <> j").distinct()
-        following = materialize(moved, "components")
-        # Two-sided check without collecting: equal size and nothing new.
-        settled = following.count() == stars.count() and following.join(stars, ["i", "j"], "left_anti").isEmpty()
-        stars = following
-        if settled:
+        stars = materialize(moved, "components")
+        # Done when every component is a star: one parent each, and no parent has a parent.
+        parents = stars.groupBy("i").agg(F.count(F.lit(1)).alias("parents"))
+        also_parent = stars.select(F.col("j").alias("i"), F.lit(True).alias("is_parent")).distinct()
+        if parents.join(also_parent, "i", "left").where("parents > 1 or is_parent").isEmpty():
             break
     roots = stars.select(F.col("i").alias("vertex"), F.col("j").alias("root"))
     return roots.union(stars.select(F.col("j").alias("vertex"), F.col("j").alias("root")).distinct())

@@ -16,6 +16,8 @@ from nearkin.session import materialize
 
 # Members of one group of copies that are expanded together.
 COPY_BLOCK = 2000
+# Symbols below which the strings are spread over the cores by hand.
+SMALL_INPUT = 1 << 28
 
 
 @dataclass(frozen=True)
@@ -99,6 +101,10 @@ class SimilarityJoin:
             grouped = self._rows.groupBy("sample", "seq").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
         else:
             grouped = self._rows.withColumn("n", F.lit(1).cast("bigint"))
+        if self.stats.rows * self.stats.longest < SMALL_INPUT:
+            # Too few bytes for Spark to use all cores on its own, though keys and distances are
+            # worth it. Larger inputs keep the partitions of the grouping.
+            grouped = grouped.repartition(self.df.sparkSession.sparkContext.defaultParallelism)
         identity = F.col("id") if self.sample is None else F.struct("sample", "id")
         return materialize(
             grouped.select(
@@ -156,42 +162,49 @@ class SimilarityJoin:
         if s.shortest < long_from:
             below = long_from if long_from <= s.longest else None
             parts.append(cand.parameter_free_pairs(self.units, k, scope, shifts, s.shortest, s.longest, below))
-        return cand.ordered(reduce(DataFrame.union, parts)).distinct()
+        # A fixed number of partitions keeps verification parallel: pairs are few bytes each but
+        # expensive to judge, and adaptive coalescing only sees the bytes. Repeats of a pair come
+        # from different keys, hence different tasks, so there is nothing to combine before.
+        width = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return cand.ordered(reduce(DataFrame.union, parts)).repartition(width, "a", "b").distinct()
 
     def compared(self) -> DataFrame:
         """Candidates with both strings attached and judged.
 
-        Adds ``near`` (Hamming distance within ``k``), ``hits`` (chunks of the longer string
-        found in the other; null without a signature) and ``related``.
+        Adds ``near`` (Hamming distance within ``k``), ``enough`` (the pair shares the chunks
+        that survive ``k`` edits; true without a signature), ``hits`` (how many chunks of the
+        longer string it shares) and ``related``. Columns not asked for are not computed.
         """
-        words = -(-self.stats.longest // PACKINGS[self.stats.packing][0])
         side = lambda c: self.units.select(
             F.col("u").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("sample", "id", "n", "seq", "len", "words")]
         )
         pairs = self.candidates().join(side("a"), "a").join(side("b"), "b")
-        near = packed_hamming("words_a", "words_b", self.stats.packing, max(words, 1)) <= self.k
+        near = packed_hamming("words_a", "words_b", self.stats.packing) <= self.k
         b_probes = F.col("len_b") > F.col("len_a")
         probe = F.when(b_probes, F.col("seq_b")).otherwise(F.col("seq_a"))
         partner = F.when(b_probes, F.col("seq_a")).otherwise(F.col("seq_b"))
-        if self.l is None and self.chunks is None:
-            hits, needed = F.lit(None).cast("int"), F.lit(0)
-        else:
+        needed, hits, enough = F.lit(0), F.lit(None).cast("int"), F.lit(True)
+        if self._signed:
             needed = self._hits_needed(F.greatest("len_a", "len_b"))
             if self.metric == "edit":
-                hits = F.size(F.filter(self._chunks(probe), lambda c: F.contains(partner, c)))
+                shared = F.filter(self._chunks(probe), lambda c: F.contains(partner, c))
             else:
-                same = F.zip_with(self._chunks(probe), self._chunks(partner), lambda p, q: p == q)
-                hits = F.size(F.filter(same, lambda x: x))
-        if self.metric == "hamming":
-            related = near
-        else:
+                shared = F.filter(F.zip_with(self._chunks(probe), self._chunks(partner), lambda p, q: p == q), lambda x: x)
+            hits = F.size(shared)
+            # k differing symbols touch at most k chunks, so near pairs need no counting.
+            enough = F.when(near | (needed <= 0), True).otherwise(hits >= needed)
+        related = near
+        if self.metric == "edit":
             # The cheap tests first: few pairs get as far as the dynamic programme.
-            enough = F.lit(True) if self.l is None else (needed <= 0) | (hits >= needed)
-            edit = F.when(enough, F.levenshtein("seq_a", "seq_b", self.k) != -1).otherwise(False)
-            related = F.when(near, True).otherwise(edit)
-        if self.strict and (self.l is not None or self.chunks is not None):
+            within = F.levenshtein("seq_a", "seq_b", self.k) != -1
+            related = F.when(near, True).when(enough, within).otherwise(False)
+        if self.strict and self._signed:
             related = related & (needed > 1)
-        return pairs.select("*", near.alias("near"), hits.alias("hits"), needed.alias("needed"), related.alias("related"))
+        return pairs.select("*", near.alias("near"), enough.alias("enough"), hits.alias("hits"), related.alias("related"))
+
+    @property
+    def _signed(self) -> bool:
+        return self.l is not None or self.chunks is not None
 
     # -- results -----------------------------------------------------------------------------
 
@@ -266,11 +279,10 @@ class SimilarityJoin:
         signature every candidate is a comparison.
         """
         pairs = self.compared()
-        compared = F.lit(True) if self.l is None and self.chunks is None else F.col("hits") >= F.col("needed")
         weight = F.col("n_a") * F.col("n_b")
         figures = pairs.select(
-            F.when(compared, weight).otherwise(0).alias("comparisons"),
-            F.when(compared & F.col("near"), weight).otherwise(0).alias("passed_hamming"),
+            F.when(F.col("enough"), weight).otherwise(0).alias("comparisons"),
+            F.when(F.col("near"), weight).otherwise(0).alias("passed_hamming"),
             F.when(F.col("related"), weight).otherwise(0).alias("related_pairs"),
         )
         if self.scope != "across":
