@@ -550,7 +550,8 @@ def oracle_sql() -> dict[str, str]:
             "select p.x, p.y, coalesce(s.s, 0)::int as similarity from p left join s using (x)"
         ),
         "components": (
-            f"with recursive {READS}, e as materialized (select x.id as i, y.id as j from reads x join reads y on x.id <> y.id and levenshtein(x.seq, y.seq) <= 3), "
+            f"with recursive {READS}, half as materialized (select x.id as i, y.id as j from reads x join reads y on x.id < y.id and levenshtein(x.seq, y.seq) <= 3), "
+            "e as materialized (select i, j from half union all select j, i from half), "
             "r as (select id as vertex, id as seen from reads union select r.vertex, e.j from r join e on e.i = r.seen) "
             "select vertex, dense_rank() over (order by root) as component from (select vertex, min(seen) as root from r group by vertex)"
         ),
