@@ -15,6 +15,7 @@ from nearkin.operators import graph, index, lookup, profile, qgram
 from nearkin.plans.join import SimilarityJoin, filtered_sample_pairs
 from nearkin.session import shared_dir
 from nearkin.sources import fasta
+from nearkin.sources.tables import read_table
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -42,7 +43,7 @@ NAMES = "names as (select c_custkey as id, c_mktsegment as sample, c_name as seq
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf, f"{name}.parquet"))
+    return read_table(spark, os.path.join(sf, f"{name}.parquet"))
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
@@ -425,7 +426,7 @@ def queries() -> dict[str, Query]:
         "brute_edit_cross_join": _join(names, 1, "edit", scope="across", sample="sample"),
         "brute_hamming_cross_join": _join(reads, 3, "hamming", scope="across", sample="sample"),
         "url_edit_join": _join(_urls, 4, "edit", l=5),
-        "document_edit_join": _join(_texts, 20, "edit", l=16),
+        "document_edit_join": _join(_texts, 8, "edit", l=64),
         "signature_candidates": lambda spark, sf: _signature(spark, sf, "edit"),
         "signature_hamming_candidates": lambda spark, sf: _signature(spark, sf, "hamming"),
         "join_metrics": join_metrics,

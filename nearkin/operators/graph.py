@@ -119,7 +119,7 @@ def _local_cliques(pdf: pd.DataFrame) -> pd.DataFrame:
             stack.append((chosen + [v], open_ & near[v], closed & near[v]))
             open_.discard(v)
             closed.add(v)
-    return pd.DataFrame({"clique": found})
+    return pd.DataFrame({"root": pdf["root"].iloc[0], "num": range(len(found)), "clique": found})
 
 
 def maximal_cliques(edges: DataFrame) -> DataFrame:
@@ -138,26 +138,21 @@ def maximal_cliques(edges: DataFrame) -> DataFrame:
         .join(edges.select(F.col("i").alias("a"), F.col("j").alias("b")), ["a", "b"], "left_semi")
     )
     none = F.lit(-1).cast("bigint").alias("b")
-    local = triangles.select(F.col("i.v").alias("root"), F.col("a.v").cast("bigint").alias("a"), F.col("b.v").cast("bigint").alias("b"))
-    local = local.union(hop.select(F.col("i.v").alias("root"), F.col("a.v").cast("bigint").alias("a"), none))
-    cliques = materialize(local.groupBy("root").applyInPandas(_local_cliques, "clique array<bigint>"), "cliques")
+    local = triangles.select(F.col("i.v").cast("bigint").alias("root"), F.col("a.v").cast("bigint").alias("a"), F.col("b.v").cast("bigint").alias("b"))
+    local = local.union(hop.select(F.col("i.v").cast("bigint").alias("root"), F.col("a.v").cast("bigint").alias("a"), none))
+    found = local.groupBy("root").applyInPandas(_local_cliques, "root bigint, num int, clique array<bigint>")
+    cliques = materialize(found, "cliques")
 
-    # Extensible: some earlier vertex is adjacent to every member. Such a vertex precedes the
-    # member with the fewest predecessors, which therefore proposes the candidates.
+    # Extensible: some earlier vertex is adjacent to every member. It is then a predecessor of
+    # the root, which of all members has the lowest degree and so proposes few.
     before = edges.select(F.col("j.v").cast("bigint").alias("member"), F.col("i.v").cast("bigint").alias("earlier"))
-    fan_in = before.groupBy("member").agg(F.count(F.lit(1)).alias("fan_in"))
-    members = cliques.select("clique", F.explode("clique").alias("member"))
-    scarce = (
-        members.join(fan_in, "member", "left")
-        .groupBy("clique")
-        .agg(F.min_by("member", F.coalesce("fan_in", F.lit(0))).alias("member"))
-    )
-    proposals = scarce.join(before, "member").where(~F.array_contains("clique", F.col("earlier"))).select("clique", "earlier")
+    proposals = cliques.join(before.withColumnRenamed("member", "root"), "root")
     witnessed = (
-        proposals.select("clique", "earlier", F.explode("clique").alias("member"))
+        proposals.select("root", "num", "earlier", F.size("clique").alias("size"), F.explode("clique").alias("member"))
+        .where(F.col("member") != F.col("root"))
         .join(before, ["member", "earlier"])
-        .groupBy("clique", "earlier")
+        .groupBy("root", "num", "earlier", "size")
         .agg(F.count(F.lit(1)).alias("adjacent"))
-        .where(F.col("adjacent") == F.size("clique"))
+        .where(F.col("adjacent") == F.col("size") - 1)
     )
-    return cliques.join(witnessed, "clique", "left_anti")
+    return cliques.join(witnessed, ["root", "num"], "left_anti").select("clique")

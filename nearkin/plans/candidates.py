@@ -30,7 +30,8 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearkin.functions.encode import chunks_at, equal_chunks, lmer_set
+from nearkin.functions.encode import equal_chunks, lmer_set
+from nearkin.session import materialize
 
 # Most deletion keys one string may produce.
 MAX_DELETION_KEYS = 256
@@ -240,15 +241,19 @@ def _prefix(tokens: DataFrame, hits: Column) -> DataFrame:
 def _split_frequent(prefix: DataFrame, k: int, frequent: int, shortest: int) -> tuple[DataFrame, DataFrame | None]:
     """Take frequent tokens away from strings that deletion keys can serve instead.
 
-    Returns the remaining prefix and the units that lost a token. What remains meets at most
-    ``frequent`` partners per token, except for long strings whose every rare token is used up:
-    those agree with the bulk of the data nearly everywhere, so their partners are mostly
-    results, and the join splits such a key over several tasks.
+    Returns the remaining prefix and the units that lost a token, if any did. What remains meets
+    at most ``frequent`` partners per token, except for long strings whose every rare token is
+    used up: those agree with the bulk of the data nearly everywhere, so their partners are
+    mostly results, and the join splits such a key over several tasks.
+
+    The prefix is written once: it is a fraction of the tokens, and its size then tells Spark
+    whether the tokens it meets have to be shuffled at all.
     """
+    prefix = materialize(prefix.select("u", "sample", "len", "key", "freq"), "prefix")
     reach = longest_for_deletions(k)
-    if shortest > reach:
-        return prefix, None
     moved = (F.col("freq") > frequent) & (F.col("len") <= reach)
+    if shortest > reach or prefix.where(moved).isEmpty():
+        return prefix, None
     return prefix.where(~moved), prefix.where(moved).select("u").distinct()
 
 
