@@ -206,6 +206,12 @@ class SimilarityJoin:
     def _signed(self) -> bool:
         return self.l is not None or self.chunks is not None
 
+    @cached_property
+    def judged(self) -> DataFrame:
+        """The outcome of every comparison, written once for :meth:`edges` and :meth:`metrics`."""
+        names = ["a", "b", "n_a", "n_b", "near", "enough", "related"]
+        return materialize(self.compared().select(*names), "judged")
+
     # -- results -----------------------------------------------------------------------------
 
     def pairs(self) -> DataFrame:
@@ -231,12 +237,13 @@ class SimilarityJoin:
         Groups of copies are cut into blocks and each pair of blocks is expanded on its own, so
         even one string owning most rows is written out by many tasks.
         """
-        pairs = self.compared().where("related").select("a", "b", "n_a", "n_b")
-        if self.scope != "across" and self.collapse:
-            copies = self.units.where("n > 1")
-            pairs = pairs.union(copies.select("u", "u", "n", "n"))
-        elif not self.collapse:
-            return self._name_edges(pairs.select(self._row("a"), self._row("b")))
+        pairs = self.judged.where("related").select("a", "b", "n_a", "n_b")
+        single = self._name_edges(pairs.where("n_a = 1 and n_b = 1").select(self._row("a"), self._row("b")))
+        if not self.collapse:
+            return single
+        pairs = pairs.where("n_a > 1 or n_b > 1")
+        if self.scope != "across":
+            pairs = pairs.union(self.units.where("n > 1").select("u", "u", "n", "n"))
         blocks = lambda n: F.ceil(F.col(n) / COPY_BLOCK).cast("int")
         spread = pairs.select("a", "b", blocks("n_a").alias("of_a"), blocks("n_b").alias("of_b"))
         spread = spread.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("of_a") - 1)))
@@ -250,12 +257,11 @@ class SimilarityJoin:
         )
         rows = one("a").join(one("b"), key).where((F.col("a") != F.col("b")) | (F.col("id_a") < F.col("id_b")))
         name = lambda c: F.col(f"{c}.sample") if self.sample else F.lit("")
-        return self._name_edges(
-            rows.select(
-                F.struct(name("a").alias("sample"), F.col("id_a").alias("id")).alias("a"),
-                F.struct(name("b").alias("sample"), F.col("id_b").alias("id")).alias("b"),
-            )
+        copied = rows.select(
+            F.struct(name("a").alias("sample"), F.col("id_a").alias("id")).alias("a"),
+            F.struct(name("b").alias("sample"), F.col("id_b").alias("id")).alias("b"),
         )
+        return single.union(self._name_edges(copied))
 
     def _row(self, c: str) -> Column:
         whole = F.col(c) if self.sample else F.struct(F.lit("").alias("sample"), F.col(c).alias("id"))
@@ -278,7 +284,7 @@ class SimilarityJoin:
         Hamming distance alone; ``edit_comparisons``: the rest; ``related_pairs``. Without a
         signature every candidate is a comparison.
         """
-        pairs = self.compared()
+        pairs = self.judged
         weight = F.col("n_a") * F.col("n_b")
         figures = pairs.select(
             F.when(F.col("enough"), weight).otherwise(0).alias("comparisons"),
