@@ -9,8 +9,9 @@ from nearkin.session import get_spark  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = get_spark("tests", "8", **{"spark.sql.shuffle.partitions": "8"})
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("checkpoint"))
+    session = get_spark("tests", "8", **{"spark.sql.shuffle.partitions": "8", "spark.checkpoint.dir": folder})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
