@@ -37,6 +37,8 @@ from nearkin.session import materialize
 MAX_DELETION_KEYS = 256
 # A key held by more units than this is frequent; see signature joins below.
 FREQUENT_KEY = 1000
+# Chunks are not made shorter than this to get around frequent ones.
+MIN_CHUNK = 4
 
 
 @dataclass(frozen=True)
@@ -265,24 +267,56 @@ def signature_edit_pairs(
     The longer string (the first one on equal length) probes with its fixed-position chunks;
     the partner may hold them at any position.
     """
+    first = (F.col("x.len") > F.col("y.len")) | (
+        (F.col("x.len") == F.col("y.len")) & (F.col("x.u") < F.col("y.u"))
+    )
+    condition = first & _near(F.col("x.len"), F.col("y.len"), k)
+    prefix, moved = _split_frequent(_edit_prefix(units, k, l, scope, None), k, frequent, shortest)
+    parts = [] if moved is None else [deletion_pairs(units, k, scope, only=moved)]
+    while True:
+        finer = _finer_prefix(units, k, l, scope, prefix, frequent)
+        kept = prefix if finer is None else prefix.where(F.col("freq") <= frequent)
+        parts.append(_meet(kept, _postings(units, l), condition, scope))
+        if finer is None:
+            return reduce(DataFrame.union, parts)
+        prefix, l = finer, l // 2
+
+
+def _postings(units: DataFrame, l: int) -> DataFrame:
+    keys = F.transform(lmer_set("seq", l), lambda s: F.xxhash64(s))
+    return units.select("u", "sample", "len", F.explode(keys).alias("key"))
+
+
+def _edit_prefix(units: DataFrame, k: int, l: int, scope: Scope, only: DataFrame | None) -> DataFrame:
+    """Rarest chunks of the strings that have enough of them, or of those listed in ``only``."""
+    probing = units.where(F.col("len") >= l * (k + 1))
+    if only is not None:
+        probing = probing.join(only, "u", "left_semi")
     n_chunks = F.floor(F.col("len") / l).cast("int")
-    probes = units.where(F.col("len") >= l * (k + 1)).select(
+    probes = probing.select(
         "u", "sample", "len", n_chunks.alias("chunks"), F.posexplode(equal_chunks("seq", l)).alias("pos", "chunk")
     )
     # A text that fills m chunks of the probe stays m rows: hits are counted per chunk.
     probes = probes.select("u", "sample", "len", "chunks", F.xxhash64("chunk").alias("key"))
-    postings = units.select(
-        "u", "sample", "len", F.explode(F.transform(lmer_set("seq", l), lambda s: F.xxhash64(s))).alias("key")
-    )
-    prefix = _prefix(_with_frequencies(probes, postings, scope), F.col("chunks") - k)
-    prefix, moved = _split_frequent(prefix, k, frequent, shortest)
-    first = (F.col("x.len") > F.col("y.len")) | (
-        (F.col("x.len") == F.col("y.len")) & (F.col("x.u") < F.col("y.u"))
-    )
-    found = _meet(prefix, postings, first & _near(F.col("x.len"), F.col("y.len"), k), scope)
-    if moved is None:
-        return found
-    return found.union(deletion_pairs(units, k, scope, only=moved))
+    return _prefix(_with_frequencies(probes, _postings(units, l), scope), F.col("chunks") - k)
+
+
+def _finer_prefix(
+    units: DataFrame, k: int, l: int, scope: Scope, prefix: DataFrame, frequent: int
+) -> DataFrame | None:
+    """Prefixes of half-length chunks for the strings still holding a frequent chunk.
+
+    Half the length means twice the chunks but no more of them lost to ``k`` edits, so a string
+    whose popular part covers many chunks gets enough rare ones beside it. Any chunk length
+    is complete for the probing string; the finer one is taken if it proposes fewer pairs.
+    """
+    heavy = prefix.where(F.col("freq") > frequent)
+    if l // 2 < MIN_CHUNK or heavy.isEmpty():
+        return None
+    listed = materialize(heavy.select("u").distinct(), "heavy")
+    finer = materialize(_edit_prefix(units, k, l // 2, scope, listed).select("u", "sample", "len", "key", "freq"), "prefix")
+    proposed = lambda rows: rows.agg(F.sum("freq")).first()[0] or 0
+    return finer if proposed(finer) < proposed(heavy) else None
 
 
 def signature_hamming_pairs(
@@ -294,11 +328,13 @@ def signature_hamming_pairs(
     shortest: int,
     long_from: int = 0,
     frequent: int = FREQUENT_KEY,
+    l: int | None = None,
 ) -> DataFrame:
     """Pairs sharing enough equal chunks at equal positions.
 
     ``chunks`` is the array of fixed-position chunks, ``hits`` the number a partner has to share,
-    ``long_from`` the least length of the longer string.
+    ``long_from`` the least length of the longer string. ``l`` is the chunk length, if there is
+    one; strings holding a frequent chunk can then use finer chunks.
     Rarity is one order over all tokens, so the rarest shared token lies in the prefix of both
     sides and only prefixes are shuffled for the join.
     """
@@ -308,7 +344,14 @@ def signature_hamming_pairs(
     prefix, moved = _split_frequent(prefix, k, frequent, shortest)
     near = _near(F.col("x.len"), F.col("y.len"), k)
     long_enough = F.greatest(F.col("x.len"), F.col("y.len")) >= long_from
-    found = _meet(prefix, prefix, near & long_enough & (F.col("x.u") < F.col("y.u")), scope)
-    if moved is None:
-        return found
-    return found.union(deletion_pairs(units, k, scope, only=moved))
+    parts = [] if moved is None else [deletion_pairs(units, k, scope, only=moved)]
+    finer = None if l is None else _finer_prefix(units, k, l, scope, prefix, frequent)
+    if finer is not None:
+        # Both strings of a pair hold the frequent chunk, so the longer one is listed and probes.
+        first = (F.col("x.len") > F.col("y.len")) | (
+            (F.col("x.len") == F.col("y.len")) & (F.col("x.u") < F.col("y.u"))
+        )
+        parts.append(_meet(finer, _postings(units, l // 2), first & near, scope))
+        prefix = prefix.where(F.col("freq") <= frequent)
+    parts.append(_meet(prefix, prefix, near & long_enough & (F.col("x.u") < F.col("y.u")), scope))
+    return reduce(DataFrame.union, parts)

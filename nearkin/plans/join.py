@@ -156,7 +156,7 @@ class SimilarityJoin:
             else:
                 parts.append(
                     cand.signature_hamming_pairs(
-                        self.units, k, self._chunks("seq"), self._hits_needed("len"), scope, s.shortest, long_from, self.frequent
+                        self.units, k, self._chunks("seq"), self._hits_needed("len"), scope, s.shortest, long_from, self.frequent, self.l
                     )
                 )
         if s.shortest < long_from:

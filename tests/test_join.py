@@ -68,6 +68,7 @@ CASES = [
     (1, [30, 40], [dict(k=2, metric="edit", l=6), dict(k=2, metric="hamming", l=6), dict(k=2, metric="hamming", chunks=7)]),
     (2, [3, 8, 14, 40], [dict(k=3, metric="edit", l=5), dict(k=3, metric="hamming", l=5), dict(k=3, metric="hamming", chunks=3)]),
     (3, [2, 5, 12, 30], [dict(k=4, metric="edit"), dict(k=4, metric="hamming"), dict(k=10, metric="edit", l=3)]),
+    (5, [40, 41], [dict(k=2, metric="edit", l=10, frequent=2), dict(k=2, metric="hamming", l=10, frequent=2)]),
     (4, [12], [dict(k=1, metric="edit", l=2, frequent=3), dict(k=1, metric="hamming", l=2, frequent=3)]),
 ]
 
