@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import uuid
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,20 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+
+def _optional(module: str) -> ModuleType | None:
+    """A module of the document operators, or None in a copy of the package without them."""
+    try:
+        return importlib.import_module(module)
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("nearkin.llm", "nearkin.llm.queries", "corpus_pipeline"):
+            raise
+        return None
+
+
+llm = _optional("nearkin.llm.queries")
+pipeline = _optional("corpus_pipeline") if llm else None
+
 # Reads derived from a table's key: 64 letters, in families of ten consecutive keys. Member m of
 # a family differs from the family's sequence by a substitution (m odd), by a letter dropped and
 # one appended (m even), or by a dropped letter only (m divisible by 3).
@@ -414,7 +430,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {
+    added = llm.queries() if llm else {}
+    if pipeline:
+        added["pipeline"] = pipeline.run
+    return added | {
         "edit_self_join": _join(reads, 3, "edit", l=12),
         "hamming_self_join": _join(names, 1, "hamming", l=2),
         "hamming_entropy_join": _join(reads, 3, "hamming", chunks=6),
@@ -474,7 +493,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    added = llm.oracle_sql() if llm else {}
+    if pipeline and pipeline.ORACLE_SQL:
+        added["pipeline"] = pipeline.ORACLE_SQL
+    return added | {
         "edit_self_join": _pairs_sql(READS, "reads", 3, "edit"),
         "hamming_self_join": _pairs_sql(NAMES, "names", 1, "hamming"),
         "hamming_entropy_join": _pairs_sql(READS, "reads", 3, "hamming"),

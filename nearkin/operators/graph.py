@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearkin.session import materialize
+from nearkin.session import discard, materialize
 
 # Ids per block when numbering components; a block never holds more rows than this.
 NUMBERING_BLOCK = 1_000_000
@@ -37,7 +37,9 @@ def component_roots(edges: DataFrame) -> DataFrame:
         lowest = _smallest(down)
         below = down.join(lowest, "i").select(F.col("j").alias("i"), F.col("low").alias("j"))
         moved = below.union(lowest.select("i", "low")).where("i <> j").distinct()
-        stars = materialize(moved, "components")
+        moved = materialize(moved, "components")
+        discard(stars)
+        stars = moved
         # Done when every component is a star: one parent each, and no parent has a parent.
         parents = stars.groupBy("i").agg(F.count(F.lit(1)).alias("parents"))
         also_parent = stars.select(F.col("j").alias("i"), F.lit(True).alias("is_parent")).distinct()

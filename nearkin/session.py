@@ -46,14 +46,37 @@ def shared_dir(spark: SparkSession) -> str:
 _local_dir: str | None = None
 
 
+# Frees the shuffle files of a query as soon as its output is written.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared folder and return it as a scan.
 
     Used where several branches of a plan read the same rows or where an iteration has to drop
     its lineage. The copy survives the loss of executors, later scans prune its columns, and
-    its known file size lets Spark pick broadcast or shuffle joins.
+    its known file size lets Spark pick broadcast or shuffle joins. The shuffle files behind it
+    are freed once it is written. ``discard`` deletes a copy that nothing reads any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, before)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
