@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nearkin.llm import simhash
+from nearkin.llm import mixing, quality_rules, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +21,36 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality_rules.judge(_table(spark, sf, "documents"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *base, "base_failed", "kept")
+
+
+def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    picks = mixing.picks(_table(spark, sf, "documents"))
+    taken = (F.col("size") * F.col("times")).cast("bigint").alias("taken")
+    return picks.select("doc_id", "size", "source_size", "target", taken)
+
+
+def op8_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    stripped = substrings.remove_repeats(_table(spark, sf, "documents"))
+    return stripped.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op5_quality_rules": op5_quality_rules,
+        "op7_mixing": op7_mixing,
+        "op8_substrings": op8_substrings,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
