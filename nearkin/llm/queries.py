@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearkin.llm import mixing, quality_rules, simhash, substrings
+from nearkin.llm import decontamination, mixing, packing, quality_rules, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", *base, "base_failed", "kept")
 
 
+def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_table(spark, sf, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
     picks = mixing.picks(_table(spark, sf, "documents"))
     taken = (F.col("size") * F.col("times")).cast("bigint").alias("taken")
@@ -44,12 +48,18 @@ def op8_substrings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.find_passages(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op5_quality_rules": op5_quality_rules,
+        "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
         "op8_substrings": op8_substrings,
+        "op9_decontamination": op9_decontamination,
     }
 
 
