@@ -156,7 +156,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ..
         base_failed = base_failed | rule.fails()
     names = F.filter(F.array(*[F.when(r.fails(), F.lit(r.name)) for r in (*base, *rules)]), lambda n: n.isNotNull())
     judged = stats.select(*[F.col(f"`{c}`") for c in own], *STATISTICS, base_failed.alias("base_failed"), names.alias("failed"))
-    return judged.withColumn("kept", F.size("failed") == 0)
+    # A filter on the result would be moved below these projections and repeat their expressions
+    # for every use. It stays above a column that is not deterministic.
+    return judged.withColumn("kept", (F.size("failed") == 0) & (F.monotonically_increasing_id() >= 0))
 
 
 def keep_passing(docs: DataFrame) -> DataFrame:
