@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearkin.llm import decontamination, mixing, packing, quality_rules, simhash, substrings
+from nearkin.llm import decontamination, mixing, packing, quality_model, quality_rules, simhash, substrings, toxicity, urls
+from nearkin.llm.common import hash_share
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,32 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def _labels(spark: SparkSession, sf: str, column: str) -> DataFrame:
+    return _table(spark, sf, "labels").select("doc_id", F.col(column).alias("label"))
+
+
+def _decided(scores: DataFrame, held_out: Column, cut: float) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held_out = _table(spark, sf, "documents"), hash_share(F.col("doc_id"), 4) == 2
+    weights = toxicity.fit(docs, _labels(spark, sf, "toxic").where(~held_out))
+    return _decided(toxicity.score(docs, weights), held_out, toxicity.CUT)
+
+
+def op3_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    labels = _labels(spark, sf, "quality").withColumnRenamed("doc_id", "page_id")
+    judged = urls.judge(_table(spark, sf, "pages"), labels)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_quality_model(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held_out = _table(spark, sf, "documents"), hash_share(F.col("doc_id"), 5) == 0
+    scores = quality_model.fit_and_score(docs, _labels(spark, sf, "quality").where(~held_out))
+    return _decided(scores, held_out, quality_model.CUT)
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf, "documents"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -55,6 +82,9 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_toxicity": op2_toxicity,
+        "op3_url_filter": op3_url_filter,
+        "op4_quality_model": op4_quality_model,
         "op5_quality_rules": op5_quality_rules,
         "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
