@@ -27,10 +27,10 @@ from nearkin.llm.common import map_batches
 # Expected number of labelled rows to train on, and of rows in a shard.
 SAMPLE = 24_000
 SHARD_ROWS = 4_000
-EPOCHS = 6
-ALPHA, BETA, L1, L2 = 3.0, 1.0, 6.0, 0.0
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.5
 # A missed toxic document counts as much as so many clean ones taken for toxic.
-POSITIVE_WEIGHT = 4.0
+POSITIVE_WEIGHT = 3.0
 BITS = 44
 CUT = 0.3
 BIAS = 0
