@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearkin.llm import decontamination, mixing, packing, quality_model, quality_rules, simhash, substrings, toxicity, urls
+from nearkin.llm import decontamination, mixing, packing, pii, quality_model, quality_rules, simhash, substrings, toxicity, urls
 from nearkin.llm.common import hash_share
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,16 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.find_passages(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def _joined(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(_table(spark, sf, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -90,6 +100,7 @@ def queries() -> dict[str, Query]:
         "op7_mixing": op7_mixing,
         "op8_substrings": op8_substrings,
         "op9_decontamination": op9_decontamination,
+        "op10_pii": op10_pii,
     }
 
 
