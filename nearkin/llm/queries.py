@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearkin.llm import decontamination, mixing, packing, pii, quality_model, quality_rules, simhash, substrings, toxicity, urls
+from nearkin.llm import decontamination, mixing, packing, pii, quality_model, quality_rules, simhash, sql, substrings, toxicity, urls
 from nearkin.llm.common import hash_share
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,4 +105,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.queries()
