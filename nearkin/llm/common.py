@@ -18,6 +18,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 4 << 20
 
 
+def as_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name of ``docs`` meets one of an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def from_row(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
+    """The columns put away by ``as_row``."""
+    return df.select(*[F.col(row).getField(c).alias(c) for c in columns])
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearkin.llm.common import word_count
+from nearkin.llm.common import as_row, from_row, word_count
 from nearkin.session import discard, materialize
 
 WEIGHTS = (5, 2, 1)
@@ -161,7 +161,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     Rows identical in all columns are taken equally often.
     """
-    found = picks(docs, weights, share, most, seed).groupBy("row_hash").agg(F.round(F.avg("times")).cast("int").alias("_times"))
-    rows = docs.withColumn("_hash", _row_hash(docs, seed))
-    taken = rows.join(found.where("_times > 0").withColumnRenamed("row_hash", "_hash"), "_hash")
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = picks(docs, weights, share, most, seed).groupBy("row_hash").agg(F.round(F.avg("times")).cast("int").alias("copies"))
+    rows = docs.select(as_row(docs).alias("document"), _row_hash(docs, seed).alias("row_hash"))
+    taken = rows.join(found.where("copies > 0"), "row_hash")
+    return from_row(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), "document", docs.columns)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.common import SPACE
+from nearkin.llm.common import SPACE, as_row, from_row
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -26,15 +26,21 @@ STOP_WORDS = {
 
 @dataclass(frozen=True)
 class Rule:
-    """A document fails if ``value`` (an SQL expression over the statistics) leaves [low, high]."""
+    """A document fails if ``value``, or its ratio to ``per``, leaves [low, high].
+
+    ``value`` is an SQL expression over the statistics, ``per`` one of them; a ratio to zero fails nothing.
+    """
 
     name: str
     value: str
+    per: str | None = None
     low: float | None = None
     high: float | None = None
 
     def fails(self) -> Column:
         value, failed = F.expr(self.value), F.lit(False)
+        if self.per:
+            value = F.try_divide(value, F.col(self.per))
         if self.low is not None:
             failed = failed | (value < self.low)
         if self.high is not None:
@@ -49,13 +55,13 @@ BASE = (
 )
 # Ratios: of word length, symbols, stop words and lines.
 RULES = (
-    Rule("mean_word_length", "word_chars / n_words", low=2.5, high=14.0),
-    Rule("long_words", "n_long_words / n_words", high=0.2),
-    Rule("symbols_to_words", "n_symbols / n_words", high=0.3),
-    Rule("stop_words", "n_stop_words / n_words", low=0.02),
-    Rule("letter_words", "n_letter_words / n_words", low=0.5),
-    Rule("capital_words", "n_capital_words / n_words", high=0.5),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", high=0.5),
+    Rule("mean_word_length", "word_chars", "n_words", low=2.5, high=14.0),
+    Rule("long_words", "n_long_words", "n_words", high=0.2),
+    Rule("symbols_to_words", "n_symbols", "n_words", high=0.3),
+    Rule("stop_words", "n_stop_words", "n_words", low=0.02),
+    Rule("letter_words", "n_letter_words", "n_words", low=0.5),
+    Rule("capital_words", "n_capital_words", "n_words", high=0.5),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.5),
 )
 LONG_WORD = 40
 
@@ -140,28 +146,32 @@ STATISTICS = (
 )
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
-    """The columns of ``docs``, the statistics, ``base_failed``, ``failed`` and ``kept``.
-
-    ``failed`` names the rules a document fails, in the order of the table. A ratio of nothing (no
-    words, no lines) fails no rule. Empty and null texts fail the base rule on words. Repeated rows
-    are judged alike; an empty table gives no rows. A column of ``docs`` named like a result is
-    left out.
-    """
-    new = {*STATISTICS, "base_failed", "failed", "kept"}
-    own = [c for c in docs.columns if c not in new]
-    stats = statistics(docs.select(*[F.col(f"`{c}`") for c in own]))
+def _judged(docs: DataFrame, rules: tuple[Rule, ...], base: tuple[Rule, ...]) -> DataFrame:
+    """``document`` (the row as a struct), the statistics and the judgement."""
+    stats = statistics(docs.select(as_row(docs).alias("document"), F.col("text").alias("text")))
     base_failed = F.lit(False)
     for rule in base:
         base_failed = base_failed | rule.fails()
     names = F.filter(F.array(*[F.when(r.fails(), F.lit(r.name)) for r in (*base, *rules)]), lambda n: n.isNotNull())
-    judged = stats.select(*[F.col(f"`{c}`") for c in own], *STATISTICS, base_failed.alias("base_failed"), names.alias("failed"))
+    judged = stats.select("document", *STATISTICS, base_failed.alias("base_failed"), names.alias("failed"))
     # A filter on the result would be moved below these projections and repeat their expressions
     # for every use. It stays above a column that is not deterministic.
     return judged.withColumn("kept", (F.size("failed") == 0) & (F.monotonically_increasing_id() >= 0))
 
 
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
+    """The columns of ``docs``, the statistics, ``base_failed``, ``failed`` and ``kept``.
+
+    ``failed`` names the rules a document fails, in the order of the table. A ratio to nothing (no
+    words, no lines) fails no rule. Empty and null texts fail the base rule on words. Repeated rows
+    are judged alike; an empty table gives no rows. A column of ``docs`` named like a result is
+    left out.
+    """
+    new = (*STATISTICS, "base_failed", "failed", "kept")
+    own = [F.col("document").getField(c).alias(c) for c in docs.columns if c not in new]
+    return _judged(docs, rules, base).select(*own, *new)
+
+
 def keep_passing(docs: DataFrame) -> DataFrame:
     """The documents that pass every rule, with the columns of ``docs``."""
-    judged = judge(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text")))
-    return judged.where("kept").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return from_row(_judged(docs, RULES, BASE).where("kept"), "document", docs.columns)

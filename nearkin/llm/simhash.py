@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.common import blocks, map_batches, signed, text_bytes
+from nearkin.llm.common import as_row, from_row, map_batches, signed, text_bytes
 from nearkin.operators.graph import component_roots
 from nearkin.session import discard, materialize
 
@@ -145,7 +145,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     stays. Columns are those of ``docs``.
     """
     found = near_duplicates(docs, size)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.withColumn("_doc", F.col("doc_id").cast("bigint"))
-    rows = rows.join(kept, F.col("_doc").eqNullSafe(F.col("_kept")))
-    return rows.dropDuplicates(["_doc"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(as_row(docs).alias("document"), F.col("doc_id").cast("bigint").alias("id"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")))
+    return from_row(rows.dropDuplicates(["id"]), "document", docs.columns)

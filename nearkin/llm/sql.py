@@ -6,11 +6,13 @@ from nearkin.llm.quality_rules import BASE, LONG_WORD, RULES, STOP_WORDS, SYMBOL
 
 
 def _failing(rule: Rule) -> str:
-    bounds = []
+    value, bounds = f"({rule.value})", []
+    if rule.per:
+        value += f" / nullif({rule.per}, 0)"
     if rule.low is not None:
-        bounds.append(f"({rule.value}) < {rule.low}")
+        bounds.append(f"{value} < {rule.low}")
     if rule.high is not None:
-        bounds.append(f"({rule.value}) > {rule.high}")
+        bounds.append(f"{value} > {rule.high}")
     return f"coalesce({' or '.join(bounds)}, false)"
 
 
