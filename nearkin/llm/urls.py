@@ -2,9 +2,9 @@
 
 The tree is built level by level over counts of distinct ``(host, path)``. At each node of a host's
 tree the next segment is kept if it is frequent there; other segments become a wildcard by shape
-(number, hexadecimal, date, word, mixed). Kept branches whose labelled purity does not differ
-significantly from that of their siblings are merged into one. The templates at the end are
-rejected if their purity, smoothed towards the overall one, is low.
+(number, hexadecimal, date, word, mixed). Kept branches are then merged by labelled purity: those
+significantly purer than their siblings, those significantly less pure, and the others. The templates
+at the end are rejected if their purity, smoothed towards the overall one, is low.
 
 All steps are grouped counts and joins of counts; a host with a third of all pages is reduced
 before the shuffle, and no step gathers a host's paths.
@@ -25,7 +25,7 @@ DEPTH = 8
 # A segment is kept if it has so many pages and so large a share of its node.
 MIN_PAGES = 5
 MIN_SHARE = 0.01
-# Standard errors by which a branch must differ from its siblings to stay apart.
+# Standard errors by which a branch must differ from its siblings to count as different.
 APART = 2.5
 # Labelled pages that the overall purity counts for in a template, and the purity to pass.
 PRIOR = 10.0
@@ -103,10 +103,10 @@ def _grow(paths: DataFrame, level: int, base: float) -> DataFrame:
     # Two-proportion test of a branch against its siblings.
     rest, rest_good = F.col("all_labelled") - F.col("labelled"), F.col("all_good") - F.col("good")
     pooled = (F.col("all_good") + PRIOR * base) / (F.col("all_labelled") + PRIOR)
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest))
-    difference = F.abs(F.col("good") / F.col("labelled") - rest_good / rest)
-    apart = (F.col("labelled") > 0) & (rest > 0) & (difference > APART * error)
-    name = F.when(frequent & apart, F.col("segment")).when(frequent, "{branch}").otherwise(_shape(F.col("segment")))
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("labelled")) + F.try_divide(F.lit(1), rest)))
+    difference = F.when((F.col("labelled") > 0) & (rest > 0), F.col("good") / F.col("labelled") - rest_good / rest)
+    merged = F.when(difference > APART * error, "{purer}").when(difference < -APART * error, "{poorer}").otherwise("{branch}")
+    name = F.when(frequent, merged).otherwise(_shape(F.col("segment")))
     names = branch.join(whole, node).select(*node, "segment", name.alias("name"))
     grown = going.join(names, [*node, "segment"]).withColumn("template", F.concat("template", F.lit("/"), "name"))
     return grown.select(*paths.columns).unionByName(paths.where(ended))
