@@ -110,34 +110,47 @@ def _bucket_counts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _segment_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     docs = batch.column(0).to_numpy(zero_copy_only=False)
+    last, seen = -1, set()
     for rows, start, windows, bucket, contents in segments(text_bytes(batch.column(1))):
         content = np.fromiter(map(xxhash.xxh3_64_intdigest, contents), dtype=np.uint64, count=len(contents))
-        columns = [signed(bucket), signed(content), docs[rows], start, windows.astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "content", "doc", "start", "windows"])
+        again = []
+        for row, id_ in zip(rows.tolist(), content.tolist()):
+            if row != last:
+                last, seen = row, set()
+            again.append(id_ in seen)
+            seen.add(id_)
+        columns = [signed(bucket), signed(content), docs[rows], start, windows.astype(np.int32), np.array(again, dtype=bool)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "content", "doc", "start", "windows", "again"])
+
+
+def _window_digests(data: bytes, windows: int) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in range(windows)]
 
 
 def _cut_segments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    doc, start, windows, cut = [], [], [], []
+    doc, start, windows, cut, again = [], [], [], [], []
     texts = text_bytes(batch.column(1))
-    for row, (d, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-        for span in spans:
-            a, n = span["start"], span["windows"]
+    for text, d, spans in zip(texts, batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+        seen: set[bytes] = set()
+        for a, n in sorted((span["start"], span["windows"]) for span in spans):
+            data = text[a : a + n + LENGTH - 1]
+            digests = _window_digests(data, n)
             doc.append(d)
             start.append(a)
             windows.append(n)
-            cut.append(texts[row][a : a + n + LENGTH - 1])
-    columns = [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(windows, pa.int32()), pa.array(cut, pa.binary())]
-    yield pa.RecordBatch.from_arrays(columns, ["doc", "start", "windows", "bytes"])
+            cut.append(data)
+            again.append([i for i, x in enumerate(digests) if x in seen or seen.add(x)])
+    columns = [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(windows, pa.int32()), pa.array(cut, pa.binary()), pa.array(again, pa.list_(pa.int32()))]
+    yield pa.RecordBatch.from_arrays(columns, ["doc", "start", "windows", "bytes", "again"])
 
 
 def _window_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     windows = batch.column(2).to_numpy()
     for a, b in blocks([int(n) for n in windows], 1 << 18):
-        digests = bytearray()
+        digests: list[bytes] = []
         for data, n in zip(batch.column(3).slice(a, b - a).to_pylist(), windows[a:b].tolist()):
-            for i in range(n):
-                digests += xxhash.xxh3_128_digest(data[i : i + LENGTH])
-        ids = np.frombuffer(bytes(digests), dtype=np.int64).reshape(-1, 2)
+            digests += _window_digests(data, n)
+        ids = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
         counts = windows[a:b]
         within = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
         doc = np.repeat(batch.column(0).to_numpy()[a:b], counts)
@@ -146,16 +159,6 @@ def _window_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["w1", "w2", "doc", "start"])
 
 
-def _later(rows: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that are not the first of their key."""
-    later = F.struct("doc", "start") > F.col("first")
-    return rows.join(firsts.select(*keys, "first"), keys).where(later)
-
-
-def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("size"))
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.col("text").alias("text"))
 
@@ -165,32 +168,46 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
     ``doc`` is the ``doc_id``, the smallest number in place of null. Texts under 100 bytes, empty
     or null ones have no windows. Rows that repeat a document are the same document, whose windows
-    are not earlier than their own copies; rows that give one id different texts count as one
-    document too, whose starts are compared.
+    are not earlier than their own copies. Rows that give one id different texts are not compared
+    with each other, and places repeated in one of them count in all.
     """
     rows = _keyed(docs)
     buckets = map_batches(rows, _bucket_counts, "bucket bigint, size bigint").groupBy("bucket").agg(F.sum("size").alias("size"))
     shared = materialize(buckets.where("size > 1").select("bucket"), "repeats-buckets")
-    found = map_batches(rows, _segment_rows, "bucket bigint, content bigint, doc bigint, start bigint, windows int")
-    found = materialize(found.join(shared, "bucket"), "repeats-segments")
+    # The joins below hash their small side, which spares sorting the large one.
+    found = map_batches(rows, _segment_rows, "bucket bigint, content bigint, doc bigint, start bigint, windows int, again boolean")
+    found = materialize(found.join(shared.hint("shuffle_hash"), "bucket"), "repeats-segments")
     discard(shared)
 
-    keys = ["bucket", "content", "windows"]
-    firsts = materialize(_first(found, keys), "repeats-contents")
-    whole = materialize(_later(found, firsts.where("size > 1"), keys).select("doc", "start", "windows"), "repeats-whole")
+    # Repeats inside a document are marked already, so a content's first document is what counts.
+    keys = ["bucket", "content"]
+    firsts = found.where("not again").groupBy(*keys).agg(
+        F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("start", "doc").alias("start"), F.min("windows").alias("windows")
+    )
+    firsts = materialize(firsts, "repeats-contents")
+    run = ["doc", "start", "windows"]
+    spread = firsts.where("first < last").select(*keys, "first").hint("shuffle_hash")
+    whole = found.join(spread, keys).where("doc > first or again").select(*run)
+    # A content of one document only repeats inside it.
+    whole = whole.unionByName(found.where("again").select(*run))
+    whole = materialize(whole, "repeats-whole")
     discard(found)
 
     mixed = firsts.groupBy("bucket").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("bucket")
-    open_ = firsts.join(mixed, "bucket").select(F.col("first.doc").alias("doc"), F.struct(F.col("first.start").alias("start"), "windows").alias("span"))
-    spans = open_.groupBy("doc").agg(F.collect_list("span").alias("spans"))
-    cut = map_batches(rows.join(spans, "doc").select("doc", "text", "spans"), _cut_segments, "doc bigint, start bigint, windows int, bytes binary")
-    cut = materialize(cut.dropDuplicates(["doc", "start", "windows"]), "repeats-open")
+    open_ = firsts.join(mixed.hint("shuffle_hash"), "bucket").select(F.col("first").alias("doc"), F.struct("start", "windows").alias("span"))
+    spans = open_.groupBy("doc").agg(F.collect_set("span").alias("spans")).hint("shuffle_hash")
+    schema = "doc bigint, start bigint, windows int, bytes binary, again array<int>"
+    cut = map_batches(rows.join(spans, "doc").select("doc", "text", "spans"), _cut_segments, schema)
+    cut = materialize(cut, "repeats-open")
     discard(firsts)
 
-    windows = map_batches(cut, _window_rows, "w1 bigint, w2 bigint, doc bigint, start bigint")
-    first_windows = materialize(_first(windows, ["w1", "w2"]).where("size > 1"), "repeats-windows")
-    single = _later(windows, first_windows, ["w1", "w2"]).select("doc", "start", F.lit(1).alias("windows"))
-    return whole.unionByName(single)
+    single = F.lit(1).alias("windows")
+    inside = cut.select("doc", F.explode(F.transform("again", lambda i: F.col("start") + i)).alias("start"), single)
+    windows = map_batches(cut.select("doc", "start", "windows", "bytes"), _window_rows, "w1 bigint, w2 bigint, doc bigint, start bigint")
+    spread = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("w1", "w2", "first")
+    spread = materialize(spread, "repeats-windows")
+    later = windows.join(spread.hint("shuffle_hash"), ["w1", "w2"]).where("doc > first").select("doc", "start", single)
+    return whole.unionByName(inside).unionByName(later)
 
 
 def _strip(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -221,5 +238,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = repeated_windows(docs)
     spans = found.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     spans = materialize(spans, "repeats-spans")
-    joined = _keyed(docs).withColumn("doc_id", F.when(F.col("doc") != -(1 << 63), F.col("doc"))).join(spans, "doc", "left")
+    joined = _keyed(docs).withColumn("doc_id", F.when(F.col("doc") != -(1 << 63), F.col("doc"))).join(spans.hint("shuffle_hash"), "doc", "left")
     return map_batches(joined.select("doc_id", "text", "spans"), _strip, "doc_id bigint, n_bytes bigint, removed array<array<bigint>>, kept binary")
