@@ -106,6 +106,20 @@ def _pairs_sql(source: str, table: str, k: int, metric: str, scope: str = "all")
     )
 
 
+# DuckDB's edit distance counts bytes: each letter outside ASCII becomes one unused code.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_CODES = " || ".join(f"chr({c})" for c in range(1, len(_LETTERS) + 2) if c != 10)
+# Of nine pieces of the longer text one is left whole by eight edits.
+_DOCUMENTS_SQL = f"""
+with u as (select min(doc_id) as id, count(*) as n, translate(text, '{_LETTERS}', {_CODES}) as seq from documents group by text),
+p as (select x.id as i, y.id as j, x.n as n_i, y.n as n_j, case when length(x.seq) < length(y.seq) then y.seq else x.seq end as a,
+  case when length(x.seq) < length(y.seq) then x.seq else y.seq end as b from u x join u y on x.id < y.id and abs(length(x.seq) - length(y.seq)) <= 8)
+select i, j, n_i, n_j from p where case when
+  {' or '.join(f"contains(b, substr(a, 1 + length(a) * {m} // 9, length(a) * {m + 1} // 9 - length(a) * {m} // 9))" for m in range(9))}
+  then levenshtein(a, b) <= 8 else false end
+"""
+
+
 def _signature(spark: SparkSession, sf: str, metric: str) -> DataFrame:
     join = SimilarityJoin(reads(spark, sf), 3, metric, l=12, id="id", collapse=False)
     return join.compared().where("enough").selectExpr("id_a as i", "id_b as j", "hits")
@@ -123,14 +137,25 @@ _HITS = {
 }
 
 
-def _signature_sql(metric: str) -> str:
+def _signature_sql(metric: str, source: str = READS) -> str:
     return (
-        f"with {READS}, {_CHUNKS}, {_LMERS}, h as ({_HITS[metric]}) "
+        f"with {source}, {_CHUNKS}, {_LMERS}, h as ({_HITS[metric]}) "
         "select least(x.id, y.id) as i, greatest(x.id, y.id) as j, h.hits from h join reads x on x.id = h.a "
         f"join reads y on y.id = h.b where {_LONGER_FIRST} and h.hits >= length(x.seq) // 12 - 3"
     )
 
 
+# The reads behind one chunk that all of them share.
+_MOTIF = "ACGTACGTACGT"
+HOT_READS = f"plain as (select * from ({READS.removeprefix('reads as (')}), reads as (select id, sample, '{_MOTIF}' || seq as seq from plain)"
+
+
+def hot_chunk_join(spark: SparkSession, sf: str) -> DataFrame:
+    rows = reads(spark, sf).withColumn("seq", F.concat(F.lit(_MOTIF), "seq"))
+    join = SimilarityJoin(rows, 3, "edit", l=12, id="id", collapse=False)
+    return join.compared().where("enough").selectExpr("id_a as i", "id_b as j", "hits")
+
+
 def join_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return SimilarityJoin(reads(spark, sf), 3, "edit", l=12, id="id", collapse=False).metrics()
 
@@ -421,6 +446,31 @@ def fasta_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return fasta.read_fasta(spark, out).select("seq_id", "header", "seq")
 
 
+def fasta_reverse(spark: SparkSession, sf: str) -> DataFrame:
+    """The same file read backwards, symbol by symbol."""
+    out = f"{shared_dir(spark)}/reads-{uuid.uuid4().hex}"
+    fasta.write_fasta(reads(spark, sf).repartitionByRange("id").sortWithinPartitions("id"), out, "id", "seq")
+    return fasta.read_fasta(spark, out, reverse=True).select("seq_id", "header", "seq")
+
+
+def fasta_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads written to a folder per brand and read back as one sample per folder."""
+    brand = F.regexp_replace("sample", "[^0-9]", "")
+    lines = reads(spark, sf).select("id", brand.alias("brand"), F.concat(F.lit(">"), "id", F.lit("\n"), "seq").alias("value"))
+    out = f"{shared_dir(spark)}/folders-{uuid.uuid4().hex}"
+    lines.repartition("brand").sortWithinPartitions("brand", "id").select("brand", "value").write.partitionBy("brand").text(out)
+    return fasta.read_fasta(spark, out, layout="folder").select("sample", "seq_id", "header", "seq")
+
+
+def pair_sink_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The edge list across samples, written over an earlier one and read back."""
+    edges = SimilarityJoin(reads(spark, sf), 3, "edit", scope="across", l=12, id="id", sample="sample").edges()
+    out = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    fasta.write_pairs(edges.withColumn("j", F.col("j") + 1), out)
+    fasta.write_pairs(edges, out)
+    return spark.read.text(out).select("sample1", "sample2", F.col("value").alias("line"))
+
+
 # -- contract ------------------------------------------------------------------------------------------
 
 
@@ -448,6 +498,7 @@ def queries() -> dict[str, Query]:
         "document_edit_join": _join(_texts, 8, "edit", l=64),
         "signature_candidates": lambda spark, sf: _signature(spark, sf, "edit"),
         "signature_hamming_candidates": lambda spark, sf: _signature(spark, sf, "hamming"),
+        "hot_chunk_join": hot_chunk_join,
         "join_metrics": join_metrics,
         "edge_list": edge_list,
         "prefix_rank": prefix_rank,
@@ -488,7 +539,10 @@ def queries() -> dict[str, Query]:
         "components": components,
         "cliques": cliques,
         "floor_lookup": floor_lookup,
+        "fasta_folders": fasta_folders,
+        "fasta_reverse": fasta_reverse,
         "fasta_round_trip": fasta_round_trip,
+        "pair_sink_samples": pair_sink_samples,
     }
 
 
@@ -510,6 +564,7 @@ def oracle_sql() -> dict[str, str]:
         "url_edit_join": _pairs_sql("urls as (select page_id as id, url as seq from pages)", "urls", 4, "edit"),
         "signature_candidates": _signature_sql("edit"),
         "signature_hamming_candidates": _signature_sql("hamming"),
+        "hot_chunk_join": _signature_sql("edit", HOT_READS),
         "join_metrics": _METRICS_SQL,
         "edge_list": f"with {READS} select x.id || ' ' || y.id as line from reads x join reads y on x.id < y.id and levenshtein(x.seq, y.seq) <= 3",
         "prefix_rank": _RANKED + "select id, pos, lmer, freq, rank from r",
@@ -588,5 +643,15 @@ def oracle_sql() -> dict[str, str]:
             "select l_orderkey, greatest(count(*) filter (l_quantity <= 25) - 1, 0)::int as floor_index "
             "from (select distinct l_orderkey, l_quantity from lineitem) group by l_orderkey"
         ),
+        "document_edit_join": _DOCUMENTS_SQL,
+        "fasta_folders": (
+            f"with {READS} select 'brand=' || regexp_replace(sample, '[^0-9]', '', 'g') as sample, "
+            "row_number() over (partition by sample order by id) - 1 as seq_id, cast(id as varchar) as header, seq from reads"
+        ),
+        "fasta_reverse": f"with {READS} select row_number() over (order by id) - 1 as seq_id, cast(id as varchar) as header, reverse(seq) as seq from reads",
+        "pair_sink_samples": (
+            f"with {READS} select x.sample as sample1, y.sample as sample2, x.id || ' ' || y.id as line from reads x join reads y "
+            "on x.sample < y.sample and abs(length(x.seq) - length(y.seq)) <= 3 and levenshtein(x.seq, y.seq) <= 3"
+        ),
         "fasta_round_trip": f"with {READS} select row_number() over (order by id) - 1 as seq_id, cast(id as varchar) as header, seq from reads",
     }

@@ -6,6 +6,7 @@ Every function maps Columns to a Column and stays inside the JVM.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -137,7 +138,9 @@ def packed_words(seq: Column | str, packing: str) -> Column:
         elif packing == "ascii":
             digits, radix, width = F.hex(part), 16, 2 * per_word
         else:
-            digits, radix, width = F.hex(F.encode(part, "UTF-32")), 16, 8 * per_word
+            # One more than the code point: zero is a symbol of its own, "no symbol" another.
+            codes = [F.when(F.length(part) > i, F.ascii(F.substring(part, i + 1, 1)) + 1).otherwise(0).cast("bigint") for i in range(per_word)]
+            return reduce(lambda high, low: F.shiftleft(high, 32).bitwiseOR(low), codes)
         return F.conv(F.rpad(digits, width, "0"), radix, 10).cast("bigint")
 
     return _in_blocks(_col(seq), BLOCK // per_word * per_word, 0, words)
@@ -148,6 +151,6 @@ def packing_of(seq: Column | str) -> Column:
     seq = _col(seq)
     return (
         F.when(F.length(F.translate(seq, DNA_SYMBOLS, "")) == 0, 0)
-        .when(F.octet_length(seq) == F.length(seq), 1)
+        .when((F.octet_length(seq) == F.length(seq)) & ~F.contains(seq, F.lit("\0")), 1)
         .otherwise(2)
     )

@@ -105,8 +105,8 @@ def _oriented(edges: DataFrame) -> DataFrame:
 def _local_cliques(pdf: pd.DataFrame) -> pd.DataFrame:
     """Maximal cliques among one vertex's successors, by branching with a pivot."""
     near: dict[int, set[int]] = {int(a): set() for a in pdf["a"]}
-    for a, b in zip(pdf["a"], pdf["b"]):
-        if b >= 0:
+    for a, b in zip(pdf["a"], pdf["b"].astype("Int64")):
+        if not pd.isna(b):
             near[int(a)].add(int(b))
             near[int(b)].add(int(a))
     found: list[list[int]] = []
@@ -139,7 +139,7 @@ def maximal_cliques(edges: DataFrame) -> DataFrame:
         .where("a < b")
         .join(edges.select(F.col("i").alias("a"), F.col("j").alias("b")), ["a", "b"], "left_semi")
     )
-    none = F.lit(-1).cast("bigint").alias("b")
+    none = F.lit(None).cast("bigint").alias("b")
     local = triangles.select(F.col("i.v").cast("bigint").alias("root"), F.col("a.v").cast("bigint").alias("a"), F.col("b.v").cast("bigint").alias("b"))
     local = local.union(hop.select(F.col("i.v").cast("bigint").alias("root"), F.col("a.v").cast("bigint").alias("a"), none))
     found = local.groupBy("root").applyInPandas(_local_cliques, "root bigint, num int, clique array<bigint>")

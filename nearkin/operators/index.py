@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from nearkin.functions.encode import equal_chunks, lmer_set, lmers
 
+# Blocks of samples where every pair of samples is a result.
+PAIR_BLOCKS = 16
+
 
 def lmer_rows(df: DataFrame, seq: str, l: int, keep: list[str]) -> DataFrame:
     """Every l-mer with its 0-based position."""
@@ -85,12 +88,25 @@ def sample_coincidences(df: DataFrame, sample: str, seq: str, l: int) -> DataFra
         F.col(sample).alias("sample1"), "pos", F.col("chunk").alias("lmer")
     )
     right = distinct_lmers(df, seq, l, [sample]).withColumnRenamed(sample, "sample2")
-    met = left.join(right, "lmer").where(F.col("sample1") < F.col("sample2"))
+    # Spark sees the size of the table the l-mers come from, not theirs: no broadcast.
+    met = left.join(right.hint("merge"), "lmer").where(F.col("sample1") < F.col("sample2"))
     return met.groupBy("sample1", "sample2").agg(F.countDistinct("pos").cast("int").alias("coincidences"))
 
 
 def related_samples(df: DataFrame, sample: str, seq: str, l: int, k: int) -> DataFrame:
-    """Sample pairs whose coincidences allow a pair of strings within ``k``."""
-    first = index_metadata(df, seq, l, [sample]).select(F.col(sample).alias("sample1"), "chunks_count")
-    found = sample_coincidences(df, sample, seq, l).join(first, "sample1")
-    return found.where(F.col("coincidences") >= F.col("chunks_count") - k).drop("chunks_count")
+    """Sample pairs whose coincidences allow a pair of strings within ``k``.
+
+    The string with the fewest chunks sets a sample's threshold. Where that is zero or less, no
+    coincidence is needed, and the sample is paired with every other one.
+    """
+    chunks = F.floor(F.length(seq) / l).cast("int")
+    fewest = df.groupBy(F.col(sample).alias("sample1")).agg(F.min(chunks).alias("fewest"))
+    found = sample_coincidences(df, sample, seq, l).join(fewest, "sample1").where(F.col("coincidences") >= F.col("fewest") - k).drop("fewest")
+    free = fewest.where(F.col("fewest") <= k).select("sample1")
+    # All pairs of these are part of the result; blocks spread them over the tasks.
+    others = fewest.select(F.col("sample1").alias("sample2"), F.pmod(F.xxhash64("sample1"), F.lit(PAIR_BLOCKS)).cast("int").alias("block"))
+    spread = free.select("sample1", F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1))).alias("block"))
+    met = sample_coincidences(df, sample, seq, l)
+    every = spread.join(others, "block").where(F.col("sample1") < F.col("sample2")).join(met, ["sample1", "sample2"], "left")
+    every = every.select("sample1", "sample2", F.coalesce("coincidences", F.lit(0)).alias("coincidences"))
+    return found.join(free, "sample1", "left_anti").unionByName(every)

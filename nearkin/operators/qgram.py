@@ -30,11 +30,16 @@ def qgram_profile(df: DataFrame, key: str, text: str, q: int = DEFAULT_Q) -> Dat
 def qgram_similarity(pairs: DataFrame, left: str, right: str, profiles: DataFrame, key: str) -> DataFrame:
     """Shared q-grams with multiplicity for each given ``(left, right)`` pair of keys.
 
-    Grams meet on ``(pair, gram)``; a gram that is common everywhere never becomes a join key
-    of its own. Pairs sharing nothing are kept with 0.
+    The profiles are read once: each row's grams go to the pairs the row belongs to, on either side,
+    and are then added up per (pair, gram). A gram that is common everywhere never becomes a
+    key of its own. Pairs sharing nothing are kept with 0; a pair of a row with itself shares all.
     """
-    mine = profiles.select(F.col(key).alias(left), "gram", F.col("cnt").alias("cnt_l"))
-    theirs = profiles.select(F.col(key).alias(right), "gram", F.col("cnt").alias("cnt_r"))
-    common = pairs.join(mine, left, "left").join(theirs, [right, "gram"], "left")
-    both = F.when(F.col("cnt_r").isNotNull(), F.least("cnt_l", "cnt_r")).otherwise(0)
-    return common.groupBy(left, right).agg(F.sum(both).cast("int").alias("similarity"))
+    pairs = pairs.select(left, right).distinct()
+    side = lambda name, number: pairs.select(F.col(name).alias(key), left, right, F.lit(number).alias("side"))
+    wanted = side(left, 0).unionByName(side(right, 1))
+    # Spark sees the size of the texts' table, not that of the grams: no broadcast of the profiles.
+    grams_of = profiles.hint("merge").join(wanted, key)
+    of_side = lambda n: F.sum(F.when(F.col("side") == n, F.col("cnt")))
+    shared = grams_of.groupBy(left, right, "gram").agg(F.least(F.coalesce(of_side(0), F.lit(0)), F.coalesce(of_side(1), F.lit(0))).alias("both"))
+    total = shared.groupBy(left, right).agg(F.sum("both").cast("int").alias("similarity"))
+    return pairs.join(total, [left, right], "left").select(left, right, F.coalesce("similarity", F.lit(0)).alias("similarity"))

@@ -35,8 +35,11 @@ from nearkin.session import materialize
 
 # Most deletion keys one string may produce.
 MAX_DELETION_KEYS = 256
-# A key held by more units than this is frequent; see signature joins below.
+# Where only related pairs are asked for, a chunk held by more units than this is avoided if it can
+# be: see signature joins below.
 FREQUENT_KEY = 1000
+# Units per block of a key: one task compares a unit with so many partners, however hot the key.
+KEY_BLOCK = 10_000
 # Chunks are not made shorter than this to get around frequent ones.
 MIN_CHUNK = 4
 
@@ -76,13 +79,35 @@ def _near(left: Column, right: Column, k: int) -> Column:
     return F.abs(left - right) <= k
 
 
-def _meet(x: DataFrame, y: DataFrame, condition: Column, scope: Scope) -> DataFrame:
-    """Join two key tables on ``key`` (and the sample inside samples)."""
+def _meet(x: DataFrame, y: DataFrame, condition: Column, scope: Scope, most: int | None = None) -> DataFrame:
+    """Join two key tables on ``key`` (and the sample inside samples).
+
+    A key held by more than ``KEY_BLOCK`` units of ``y`` is dealt into blocks of about that size,
+    and the units of ``x`` visit every block, so no task takes on all pairs of a hot key. ``most``
+    is an upper bound of the units of ``y`` per key, if one is known. Key tables come from exploded
+    strings, whose size Spark does not see, so neither side is left to be broadcast.
+    """
     on = F.col("x.key") == F.col("y.key")
-    joined = x.alias("x").join(y.alias("y"), on & scope.allows() & condition)
+    held = y.groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
+    if most is None:
+        most = held.agg(F.max("freq")).first()[0] or 0
+    if most > KEY_BLOCK:
+        hot = held.where(F.col("freq") > KEY_BLOCK)
+        hot = materialize(hot.select("key", F.ceil(F.col("freq") / KEY_BLOCK).cast("int").alias("blocks")), "hot-keys")
+        blocks = F.coalesce(F.col("blocks"), F.lit(1))
+        x = x.join(hot, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        y = y.join(hot, "key", "left").withColumn("block", F.pmod(F.xxhash64("u"), blocks).cast("int"))
+        on = on & (F.col("x.block") == F.col("y.block"))
+    joined = x.alias("x").join(y.hint("merge").alias("y"), on & scope.allows() & condition)
     return joined.select(F.col("x.u").alias("a"), F.col("y.u").alias("b"))
 
 
+def _written_prefix(prefix: DataFrame) -> tuple[DataFrame, int]:
+    """A prefix written once, and the number of holders of its most frequent token."""
+    written = materialize(prefix.select("u", "sample", "len", "key", "freq"), "prefix")
+    return written, written.agg(F.max("freq")).first()[0] or 0
+
+
 # -- deletion keys ---------------------------------------------------------------------------
 
 
@@ -240,46 +265,43 @@ def _prefix(tokens: DataFrame, hits: Column) -> DataFrame:
     return ranked.where((F.col("n") >= hits) & (F.col("rank") <= F.col("n") - hits + 1))
 
 
-def _split_frequent(prefix: DataFrame, k: int, frequent: int, shortest: int) -> tuple[DataFrame, DataFrame | None]:
+def _split_frequent(prefix: DataFrame, most: int, k: int, frequent: int, shortest: int) -> tuple[DataFrame, DataFrame | None]:
     """Take frequent tokens away from strings that deletion keys can serve instead.
 
-    Returns the remaining prefix and the units that lost a token, if any did. What remains meets
-    at most ``frequent`` partners per token, except for long strings whose every rare token is
-    used up: those agree with the bulk of the data nearly everywhere, so their partners are
-    mostly results, and the join splits such a key over several tasks.
-
-    The prefix is written once: it is a fraction of the tokens, and its size then tells Spark
-    whether the tokens it meets have to be shuffled at all.
+    Returns the remaining prefix and the units that lost a token, if any did.
     """
-    prefix = materialize(prefix.select("u", "sample", "len", "key", "freq"), "prefix")
     reach = longest_for_deletions(k)
-    moved = (F.col("freq") > frequent) & (F.col("len") <= reach)
-    if shortest > reach or prefix.where(moved).isEmpty():
+    if shortest > reach or most <= frequent:
         return prefix, None
+    moved = (F.col("freq") > frequent) & (F.col("len") <= reach)
     return prefix.where(~moved), prefix.where(moved).select("u").distinct()
 
 
-def signature_edit_pairs(
-    units: DataFrame, k: int, l: int, scope: Scope, shortest: int, frequent: int = FREQUENT_KEY
-) -> DataFrame:
+def signature_edit_pairs(units: DataFrame, k: int, l: int, scope: Scope, shortest: int, frequent: int | None = None) -> DataFrame:
     """Pairs ``(probe, partner)`` whose longer string has more than ``k`` chunks of length ``l``.
 
     The longer string (the first one on equal length) probes with its fixed-position chunks;
-    the partner may hold them at any position.
+    the partner may hold them at any position. Without ``frequent`` every pair sharing enough
+    chunks is among the candidates. With it only related pairs are sure to be: tokens held by more
+    units than that are avoided, by deletion keys or finer chunks, where these propose fewer pairs.
     """
     first = (F.col("x.len") > F.col("y.len")) | (
         (F.col("x.len") == F.col("y.len")) & (F.col("x.u") < F.col("y.u"))
     )
     condition = first & _near(F.col("x.len"), F.col("y.len"), k)
-    prefix, moved = _split_frequent(_edit_prefix(units, k, l, scope, None), k, frequent, shortest)
+    prefix, most = _written_prefix(_edit_prefix(units, k, l, scope, None))
+    if frequent is None:
+        return _meet(prefix, _postings(units, l), condition, scope, most)
+    prefix, moved = _split_frequent(prefix, most, k, frequent, shortest)
     parts = [] if moved is None else [deletion_pairs(units, k, scope, only=moved)]
     while True:
-        finer = _finer_prefix(units, k, l, scope, prefix, frequent)
+        finer = _finer_prefix(units, k, l, scope, prefix, frequent) if most > frequent else None
         kept = prefix if finer is None else prefix.where(F.col("freq") <= frequent)
-        parts.append(_meet(kept, _postings(units, l), condition, scope))
+        parts.append(_meet(kept, _postings(units, l), condition, scope, most))
         if finer is None:
             return reduce(DataFrame.union, parts)
         prefix, l = finer, l // 2
+        most = prefix.agg(F.max("freq")).first()[0] or 0
 
 
 def _postings(units: DataFrame, l: int) -> DataFrame:
@@ -327,7 +349,7 @@ def signature_hamming_pairs(
     scope: Scope,
     shortest: int,
     long_from: int = 0,
-    frequent: int = FREQUENT_KEY,
+    frequent: int | None = None,
     l: int | None = None,
 ) -> DataFrame:
     """Pairs sharing enough equal chunks at equal positions.
@@ -340,18 +362,20 @@ def signature_hamming_pairs(
     """
     tokens = units.select("u", "sample", "len", hits.alias("hits"), F.posexplode(chunks).alias("pos", "chunk"))
     tokens = tokens.select("u", "sample", "len", "hits", F.xxhash64("pos", "chunk").alias("key"))
-    prefix = _prefix(_with_frequencies(tokens, tokens, scope), F.col("hits"))
-    prefix, moved = _split_frequent(prefix, k, frequent, shortest)
+    prefix, most = _written_prefix(_prefix(_with_frequencies(tokens, tokens, scope), F.col("hits")))
     near = _near(F.col("x.len"), F.col("y.len"), k)
     long_enough = F.greatest(F.col("x.len"), F.col("y.len")) >= long_from
-    parts = [] if moved is None else [deletion_pairs(units, k, scope, only=moved)]
-    finer = None if l is None else _finer_prefix(units, k, l, scope, prefix, frequent)
-    if finer is not None:
-        # Both strings of a pair hold the frequent chunk, so the longer one is listed and probes.
-        first = (F.col("x.len") > F.col("y.len")) | (
-            (F.col("x.len") == F.col("y.len")) & (F.col("x.u") < F.col("y.u"))
-        )
-        parts.append(_meet(finer, _postings(units, l // 2), first & near, scope))
-        prefix = prefix.where(F.col("freq") <= frequent)
-    parts.append(_meet(prefix, prefix, near & long_enough & (F.col("x.u") < F.col("y.u")), scope))
+    parts = []
+    if frequent is not None and most > frequent:
+        prefix, moved = _split_frequent(prefix, most, k, frequent, shortest)
+        parts += [] if moved is None else [deletion_pairs(units, k, scope, only=moved)]
+        finer = None if l is None else _finer_prefix(units, k, l, scope, prefix, frequent)
+        if finer is not None:
+            # Both strings of a pair hold the frequent chunk, so the longer one is listed and probes.
+            first = (F.col("x.len") > F.col("y.len")) | (
+                (F.col("x.len") == F.col("y.len")) & (F.col("x.u") < F.col("y.u"))
+            )
+            parts.append(_meet(finer, _postings(units, l // 2), first & near, scope))
+            prefix = prefix.where(F.col("freq") <= frequent)
+    parts.append(_meet(prefix, prefix, near & long_enough & (F.col("x.u") < F.col("y.u")), scope, most))
     return reduce(DataFrame.union, parts)

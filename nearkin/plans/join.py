@@ -8,7 +8,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.functions.distance import packed_hamming
+from nearkin.functions.distance import bounded_levenshtein, packed_hamming
 from nearkin.functions.encode import DEFAULT_ALPHABET, PACKINGS, chunks_at, equal_chunks, packed_words, packing_of
 from nearkin.operators.profile import entropy, entropy_chunks, profile
 from nearkin.plans import candidates as cand
@@ -16,8 +16,8 @@ from nearkin.session import materialize
 
 # Members of one group of copies that are expanded together.
 COPY_BLOCK = 2000
-# Symbols below which the strings are spread over the cores by hand.
-SMALL_INPUT = 1 << 28
+# Symbols of a partition of distinct strings.
+PARTITION_SYMBOLS = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -25,6 +25,7 @@ class Stats:
     """One row of facts about the input; decides which kinds of keys a join needs."""
 
     rows: int
+    symbols: int
     shortest: int
     longest: int
     packing: str
@@ -81,13 +82,14 @@ class SimilarityJoin:
         row = self.df.agg(
             F.count(F.lit(1)).alias("rows"),
             F.count(self.seq).alias("strings"),
+            F.sum(n).alias("symbols"),
             F.min(n).alias("shortest"),
             F.max(n).alias("longest"),
             F.max(packing_of(self.seq)).alias("packing"),
         ).first()
         if row.rows != row.strings:
             raise ValueError("strings must not be null")
-        return Stats(row.rows, row.shortest or 0, row.longest or 0, list(PACKINGS)[row.packing or 0])
+        return Stats(row.rows, row.symbols or 0, row.shortest or 0, row.longest or 0, list(PACKINGS)[row.packing or 0])
 
     @property
     def _rows(self) -> DataFrame:
@@ -101,10 +103,9 @@ class SimilarityJoin:
             grouped = self._rows.groupBy("sample", "seq").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
         else:
             grouped = self._rows.withColumn("n", F.lit(1).cast("bigint"))
-        if self.stats.rows * self.stats.longest < SMALL_INPUT:
-            # Too few bytes for Spark to use all cores on its own, though keys and distances are
-            # worth it. Larger inputs keep the partitions of the grouping.
-            grouped = grouped.repartition(self.df.sparkSession.sparkContext.defaultParallelism)
+        # Partitions of bounded size, and at least one per core: keys and distances are worth it.
+        cores = self.df.sparkSession.sparkContext.defaultParallelism
+        grouped = grouped.repartition(max(cores, self.stats.symbols // PARTITION_SYMBOLS))
         identity = F.col("id") if self.sample is None else F.struct("sample", "id")
         return materialize(
             grouped.select(
@@ -139,8 +140,13 @@ class SimilarityJoin:
         length = F.col(length) if isinstance(length, str) else length
         return F.floor(length / self.l).cast("int") - self.k
 
-    def candidates(self) -> DataFrame:
-        """Distinct ``(a, b)`` with ``a < b``, a superset of the result."""
+    def candidates(self, complete: bool = True) -> DataFrame:
+        """Distinct ``(a, b)`` with ``a < b``, a superset of the result.
+
+        ``complete``: with a signature, all pairs that share enough chunks are among them.
+        Otherwise only the related ones are sure to be, which lets frequent chunks be avoided.
+        """
+        frequent = None if complete else self.frequent
         s, k, scope = self.stats, self.k, cand.Scope(self.scope)
         shifts = self.metric == "edit"
         if self.chunks is not None:
@@ -152,23 +158,19 @@ class SimilarityJoin:
         parts = []
         if long_from <= s.longest:
             if self.metric == "edit":
-                parts.append(cand.signature_edit_pairs(self.units, k, self.l, scope, s.shortest, self.frequent))
+                parts.append(cand.signature_edit_pairs(self.units, k, self.l, scope, s.shortest, frequent))
             else:
                 parts.append(
                     cand.signature_hamming_pairs(
-                        self.units, k, self._chunks("seq"), self._hits_needed("len"), scope, s.shortest, long_from, self.frequent, self.l
+                        self.units, k, self._chunks("seq"), self._hits_needed("len"), scope, s.shortest, long_from, frequent, self.l
                     )
                 )
         if s.shortest < long_from:
             below = long_from if long_from <= s.longest else None
             parts.append(cand.parameter_free_pairs(self.units, k, scope, shifts, s.shortest, s.longest, below))
-        # A fixed number of partitions keeps verification parallel: pairs are few bytes each but
-        # expensive to judge, and adaptive coalescing only sees the bytes. Repeats of a pair come
-        # from different keys, hence different tasks, so there is nothing to combine before.
-        width = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return cand.ordered(reduce(DataFrame.union, parts)).repartition(width, "a", "b").distinct()
+        return cand.ordered(reduce(DataFrame.union, parts)).repartition("a", "b").distinct()
 
-    def compared(self) -> DataFrame:
+    def compared(self, complete: bool = True) -> DataFrame:
         """Candidates with both strings attached and judged.
 
         Adds ``near`` (Hamming distance within ``k``), ``enough`` (the pair shares the chunks
@@ -178,7 +180,7 @@ class SimilarityJoin:
         side = lambda c: self.units.select(
             F.col("u").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("sample", "id", "n", "seq", "len", "words")]
         )
-        pairs = self.candidates().join(side("a"), "a").join(side("b"), "b")
+        pairs = self.candidates(complete).join(side("a"), "a").join(side("b"), "b")
         near = packed_hamming("words_a", "words_b", self.stats.packing) <= self.k
         b_probes = F.col("len_b") > F.col("len_a")
         probe = F.when(b_probes, F.col("seq_b")).otherwise(F.col("seq_a"))
@@ -196,7 +198,7 @@ class SimilarityJoin:
         related = near
         if self.metric == "edit":
             # The cheap tests first: few pairs get as far as the dynamic programme.
-            within = F.levenshtein("seq_a", "seq_b", self.k) != -1
+            within = bounded_levenshtein("seq_a", "seq_b", self.k, self.stats.longest) != -1
             related = F.when(near, True).when(enough, within).otherwise(False)
         if self.strict and self._signed:
             related = related & (needed > 1)
@@ -221,7 +223,7 @@ class SimilarityJoin:
         ``n`` copies of one string are related to each other as well; listing those pairs is
         left to :meth:`edges`.
         """
-        found = self.compared().where("related")
+        found = self.compared(complete=False).where("related")
         names = {
             "all": [],
             "within": [F.col("sample_a").alias("sample")],

@@ -154,10 +154,12 @@ def write_pairs(edges: DataFrame, path: str) -> None:
     """Lines ``i j``, replacing what was at ``path``; sample columns become sub-folders."""
     by = [c for c in edges.columns if c not in ("i", "j")]
     lines = edges.select(*by, F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string")).alias("value"))
-    writer = lines.write.mode("overwrite")
     if by:
-        writer = writer.partitionBy(*by)
-    writer.text(path)
+        # A pair's lines come together first, else every task writes a file to every folder; a pair
+        # with many lines is split again.
+        lines.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).text(path)
+    else:
+        lines.write.mode("overwrite").text(path)
 
 
 def write_fasta(df: DataFrame, path: str, header: str, seq: str) -> None:
