@@ -1,4 +1,4 @@
-"""The whole-text join, which has no SQL counterpart, against brute force; and the shared folder."""
+"""The whole-text join against brute force; and the shared folder."""
 
 import os
 import random
