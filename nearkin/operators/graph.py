@@ -5,14 +5,17 @@ Edges are rows ``(i, j)`` of integer vertex ids, in either orientation, repeats
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearkin.session import discard, materialize
 
-# Ids per block when numbering components; a block never holds more rows than this.
-NUMBERING_BLOCK = 1_000_000
+# Cliques handed over together.
+CLIQUE_ROWS = 10_000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -30,15 +33,19 @@ def component_roots(edges: DataFrame) -> DataFrame:
     loopless = edges.where("i <> j").select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"))
     stars = materialize(loopless.distinct(), "components")
     while True:
-        # Large star: neighbours above a vertex move to the smallest of its neighbourhood.
+        # Large star: neighbours above a vertex move to the smallest of its neighbourhood. Minima are
+        # written, so that the join with them is one of plain tables and a hub's edges can be split.
         around = _both_ways(stars)
-        down = around.where("j > i").join(_smallest(around), "i").select(F.col("j").alias("i"), F.col("low").alias("j"))
+        lowest = materialize(_smallest(around), "components-low")
+        down = around.where("j > i").join(lowest, "i").select(F.col("j").alias("i"), F.col("low").alias("j"))
+        down = materialize(down, "components-down")
+        discard(stars, lowest)
         # Small star: the vertex itself and its neighbours below do the same.
-        lowest = _smallest(down)
+        lowest = materialize(_smallest(down), "components-low")
         below = down.join(lowest, "i").select(F.col("j").alias("i"), F.col("low").alias("j"))
         moved = below.union(lowest.select("i", "low")).where("i <> j").distinct()
         moved = materialize(moved, "components")
-        discard(stars)
+        discard(down, lowest)
         stars = moved
         # Done when every component is a star: one parent each, and no parent has a parent.
         parents = stars.groupBy("i").agg(F.count(F.lit(1)).alias("parents"))
@@ -72,15 +79,17 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def number_in_order(df: DataFrame, value: str, name: str) -> DataFrame:
     """Number distinct integers 1, 2, ... in their order without one global sort.
 
-    Rows are numbered inside blocks of the value range and shifted by the number of rows in the
-    blocks below. A block holds at most ``NUMBERING_BLOCK`` distinct integers by construction.
+    Rows are dealt out by range, numbered inside each range and shifted by the number of rows in the
+    ranges below. Ranges come from a sample of the values, so they are even however sparse these are.
     """
-    blocks = df.withColumn("_block", F.floor(F.col(value) / NUMBERING_BLOCK))
-    below = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.select("_block", F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy(value))
-    return blocks.withColumn("_inside", inside).join(offsets, "_block").select(
+    ranged = df.select(value).repartitionByRange(value).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "numbering")
+    below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    # One row per range.
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(value))
+    return ranged.withColumn("_inside", inside).join(offsets, "_range").select(
         value, (F.col("_offset") + F.col("_inside")).cast("int").alias(name)
     )
 
@@ -102,26 +111,53 @@ def _oriented(edges: DataFrame) -> DataFrame:
     )
 
 
-def _local_cliques(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Maximal cliques among one vertex's successors, by branching with a pivot."""
-    near: dict[int, set[int]] = {int(a): set() for a in pdf["a"]}
-    for a, b in zip(pdf["a"], pdf["b"].astype("Int64")):
-        if not pd.isna(b):
-            near[int(a)].add(int(b))
-            near[int(b)].add(int(a))
-    found: list[list[int]] = []
-    stack = [([int(pdf["root"].iloc[0])], set(near), set())]
+def _cliques_at(root: int, a: np.ndarray, b: np.ndarray) -> Iterator[list[int]]:
+    """Maximal cliques of ``root`` and its successors ``a``, by branching with a pivot.
+
+    Rows list the edges ``a``-``b`` among the successors, and every successor once with itself.
+    """
+    near: dict[int, set[int]] = {int(v): set() for v in a}
+    for v, w in zip(a.tolist(), b.tolist()):
+        if v != w:
+            near[v].add(w)
+            near[w].add(v)
+    stack = [([root], set(near), set())]
     while stack:
         chosen, open_, closed = stack.pop()
         if not open_ and not closed:
-            found.append(sorted(chosen))
+            yield sorted(chosen)
             continue
         pivot = max(open_ | closed, key=lambda u: len(near[u] & open_))
         for v in list(open_ - near[pivot]):
             stack.append((chosen + [v], open_ & near[v], closed & near[v]))
             open_.discard(v)
             closed.add(v)
-    return pd.DataFrame({"root": pdf["root"].iloc[0], "num": range(len(found)), "clique": found})
+
+
+def _local_cliques(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cliques of a partition sorted by root; a root's rows may go on in the next batch."""
+
+    def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        root, a, b = (rows[c].to_numpy() for c in ("root", "a", "b"))
+        cuts = np.flatnonzero(np.diff(root)) + 1
+        out: list[tuple[int, int, list[int]]] = []
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(root)]):
+            for num, clique in enumerate(_cliques_at(int(root[start]), a[start:end], b[start:end])):
+                out.append((int(root[start]), num, clique))
+                if len(out) == CLIQUE_ROWS:
+                    yield pd.DataFrame(out, columns=["root", "num", "clique"])
+                    out = []
+        yield pd.DataFrame(out, columns=["root", "num", "clique"])
+
+    held = None
+    for rows in batches:
+        rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+        open_ = (rows["root"] == rows["root"].iloc[-1]).to_numpy() if len(rows) else np.zeros(0, dtype=bool)
+        held = rows[open_]
+        if not open_.all():
+            yield from found(rows[~open_])
+    if held is not None and len(held):
+        yield from found(held)
 
 
 def maximal_cliques(edges: DataFrame) -> DataFrame:
@@ -139,10 +175,12 @@ def maximal_cliques(edges: DataFrame) -> DataFrame:
         .where("a < b")
         .join(edges.select(F.col("i").alias("a"), F.col("j").alias("b")), ["a", "b"], "left_semi")
     )
-    none = F.lit(None).cast("bigint").alias("b")
     local = triangles.select(F.col("i.v").cast("bigint").alias("root"), F.col("a.v").cast("bigint").alias("a"), F.col("b.v").cast("bigint").alias("b"))
-    local = local.union(hop.select(F.col("i.v").cast("bigint").alias("root"), F.col("a.v").cast("bigint").alias("a"), none))
-    found = local.groupBy("root").applyInPandas(_local_cliques, "root bigint, num int, clique array<bigint>")
+    itself = F.col("a.v").cast("bigint")
+    local = local.union(hop.select(F.col("i.v").cast("bigint").alias("root"), itself.alias("a"), itself.alias("b")))
+    # One call for a partition, not one for every root.
+    local = local.repartition("root").sortWithinPartitions("root")
+    found = local.mapInPandas(_local_cliques, "root bigint, num int, clique array<bigint>")
     cliques = materialize(found, "cliques")
 
     # Extensible: some earlier vertex is adjacent to every member. It is then a predecessor of

@@ -63,8 +63,7 @@ def _cliques(n, edges):
 
 
 @pytest.mark.parametrize("seed, p", [(1, 0.1), (2, 0.4), (3, 0.75)])
-def test_graph_operators(spark, monkeypatch, seed, p):
-    monkeypatch.setattr(graph, "NUMBERING_BLOCK", 3)
+def test_graph_operators(spark, seed, p):
     n, edges = 11, _graph(seed, 11, p)
     frame = spark.createDataFrame(edges + [(j, i) for i, j in edges[::2]] + edges[:2], "i int, j int")
     found = graph.connected_components(spark.range(n).select(F.col("id").cast("int")), frame)
