@@ -98,7 +98,8 @@ def _grow(paths: DataFrame, level: int, base: float) -> DataFrame:
     node = ["host", "template"]
     branch = going.groupBy(*node, "segment").agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "good")])
     branch = materialize(branch, "url-branches")
-    whole = branch.groupBy(*node).agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "good")])
+    # Written, so that the join is one of plain tables and a node of many branches can be split.
+    whole = materialize(branch.groupBy(*node).agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "good")]), "url-nodes")
     frequent = (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("all_pages"))
     # Two-proportion test of a branch against its siblings.
     rest, rest_good = F.col("all_labelled") - F.col("labelled"), F.col("all_good") - F.col("good")
@@ -132,7 +133,7 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = paths.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "good")])
     purity = (F.col("good") + PRIOR * base) / (F.col("labelled") + PRIOR)
     judged = total.select("host", "template", "pages", "labelled", purity.alias("purity"), (purity < PURITY).alias("rejected"))
-    return paths.select("host", "path", "template"), judged
+    return paths.select("host", "path", "template"), materialize(judged, "url-templates")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
