@@ -2,8 +2,8 @@
 
 A source's target is a number of words. Whole passes over the source come first; what is left of the
 budget is filled with documents. They are counted by exact length, every length gives its share
-rounded down, the largest remainders fill most of the rest, and bounded-knapsack dynamic programming
-over the lengths still available closes the gap. Then so many documents of each length are picked by a
+rounded down or up, in proportion to its remainder, and bounded-knapsack dynamic programming over the
+lengths still available closes the gap. Then so many documents of each length are picked by a
 seeded hash.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +54,41 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return levels.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def fill_budget(sizes: list[int], counts: list[int], budget: int) -> list[int]:
+def _hashed(*key: object) -> float:
+    """A number from 0 to 1 that depends on the key alone."""
+    return xxhash.xxh64_intdigest("/".join(map(repr, key)), SEED) / 2.0**64
+
+
+def _close(sizes: np.ndarray, free: np.ndarray, gap: int, order: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of each size to add so that ``gap`` is met or nearly, and what is left of it."""
+    # Bit s of `reached` is set if the sum s can be made of the items so far.
+    reached, mask, steps = 1, (1 << (gap + 1)) - 1, []
+    for i in order:
+        size = int(sizes[i])
+        if not 0 < size <= gap or reached >> gap & 1:
+            continue
+        some, many = min(int(free[i]), gap // size), 1
+        while some > 0 and not reached >> gap & 1:
+            many = min(many, some)
+            steps.append((int(i), many, reached))
+            reached |= reached << size * many & mask
+            some -= many
+            many *= 2
+    met = left = reached.bit_length() - 1
+    added = np.zeros(len(sizes), dtype=np.int64)
+    for i, many, before in reversed(steps):
+        if not before >> left & 1:
+            added[i] += many
+            left -= int(sizes[i]) * many
+    return added, gap - met
+
+
+def fill_budget(sizes: list[int], counts: list[int], budget: int, seed: int = SEED, source: str | None = None) -> list[int]:
     """How many documents of each size to take so that their sizes add up to ``budget``.
 
     At most ``counts`` of each. Exact if the lengths left over for the gap allow it, else the nearest
-    sum below that they reach.
+    sum below that they reach. Remainders are added up from short to long, starting at a seeded place,
+    and each whole number passed takes one more document, so that any range of lengths gets its share.
     """
     sizes_, counts_ = np.array(sizes, dtype=np.int64), np.array(counts, dtype=np.int64)
     total = int((sizes_ * counts_).sum())
@@ -65,8 +96,22 @@ def fill_budget(sizes: list[int], counts: list[int], budget: int) -> list[int]:
         return counts_.tolist()
     part = counts_ * (budget / total)
     taken = np.where(sizes_ > 0, np.floor(part), 0).astype(np.int64)
+    by_size = np.argsort(sizes_)
+    passed = np.floor(_hashed(seed, source) + np.cumsum(np.where(sizes_ > 0, part - taken, 0)[by_size]))
+    more = np.zeros(len(sizes_), dtype=bool)
+    more[by_size] = np.diff(passed, prepend=0) > 0
+    more &= (sizes_ > 0) & (taken < counts_)
+    # No length goes before another but by its hash.
+    order = np.argsort([_hashed(seed, source, int(size)) for size in sizes_])
+    chosen = [int(i) for i in order if more[i]]
+    taken += more
     gap = budget - int((taken * sizes_).sum())
-    for i in np.lexsort((sizes_, taken - part)):
+    given = 0
+    while gap < 0:
+        taken[chosen[given]] -= 1
+        gap += int(sizes_[chosen[given]])
+        given += 1
+    for i in order:
         if gap <= RESERVE:
             break
         if 0 < sizes_[i] <= gap and taken[i] < counts_[i]:
@@ -75,37 +120,33 @@ def fill_budget(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     if gap > GAP:
         for i in np.argsort(-sizes_):
             if 0 < sizes_[i] <= gap:
-                more = min(int(counts_[i] - taken[i]), gap // int(sizes_[i]))
-                taken[i] += more
-                gap -= more * int(sizes_[i])
-    gap = min(gap, GAP)
-    # Bit s of `reached` is set if the sum s can be made of the items so far.
-    reached, mask, steps = 1, (1 << (gap + 1)) - 1, []
-    for i in np.argsort(sizes_):
-        size, free = int(sizes_[i]), int(counts_[i] - taken[i])
-        if not 0 < size <= gap or reached >> gap & 1:
-            continue
-        free, many = min(free, gap // size), 1
-        while free > 0 and not reached >> gap & 1:
-            many = min(many, free)
-            steps.append((int(i), many, reached))
-            reached |= reached << size * many & mask
-            free -= many
-            many *= 2
-    left = reached.bit_length() - 1
-    for i, many, before in reversed(steps):
-        if not before >> left & 1:
-            taken[i] += many
-            left -= int(sizes_[i]) * many
-    return taken.tolist()
-
-
-def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
+                free = min(int(counts_[i] - taken[i]), gap // int(sizes_[i]))
+                taken[i] += free
+                gap -= free * int(sizes_[i])
+    added, left = _close(sizes_, counts_ - taken, min(gap, GAP), order)
+    best, least = taken + added, left
+    # A gap that cannot be met is widened: documents go back, by hash, until the rest can meet it.
+    back = 1
+    while least and given < len(chosen) and gap <= RESERVE:
+        for i in chosen[given : given + back]:
+            taken[i] -= 1
+            gap += int(sizes_[i])
+        given, back = given + back, back * 2
+        if gap <= GAP:
+            added, left = _close(sizes_, counts_ - taken, gap, order)
+            if left < least:
+                best, least = taken + added, left
+    return best.tolist()
+
+
+def _plan(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
     passes = int(target // size) if size else 0
     pdf = pdf.sort_values("size").copy()
     pdf["passes"] = passes
-    pdf["extra"] = fill_budget(pdf["size"].tolist(), pdf["docs"].tolist(), round(target - passes * size)) if size else 0
+    budget, source = round(target - passes * size), pdf["source"].iloc[0]
+    source = None if pd.isna(source) else str(source)
+    pdf["extra"] = fill_budget(pdf["size"].tolist(), pdf["docs"].tolist(), budget, seed, source) if size else 0
     return pdf[["source", "size", "docs", "source_size", "target", "passes", "extra"]]
 
 
@@ -137,7 +178,7 @@ def picks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     kind = dict(docs.dtypes)["source"]
     schema = f"source {kind}, size bigint, docs bigint, source_size bigint, target double, passes int, extra bigint"
     # A group is one source's distinct lengths: at most the root of twice its words.
-    plan = materialize(_same(lengths, aims, ["source"]).groupBy("source").applyInPandas(_plan, schema), "mix-plan")
+    plan = materialize(_same(lengths, aims, ["source"]).groupBy("source").applyInPandas(lambda pdf: _plan(pdf, seed), schema), "mix-plan")
     discard(lengths)
 
     # Documents of one length are picked by hash. A group is cut into hash ranges of about BUCKET

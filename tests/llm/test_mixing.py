@@ -91,3 +91,21 @@ def test_odd_rows(spark):
     assert mixing.picks(documents(spark, made, clashes=True)).count() == len(made)
     assert mixing.mix(documents(spark, made, clashes=True)).count() > 0
     assert mixing.picks(documents(spark, [])).count() == 0 and mixing.mix(documents(spark, [])).count() == 0
+
+
+def test_long_documents_get_their_share():
+    rng = random.Random(4)
+    for share in (0.24, 0.5, 0.76):
+        for case in range(6):
+            lengths = [int(20 * rng.paretovariate(1.1)) % 12_000 + 1 for _ in range(40 if case == 0 else 3000)]
+            sizes = sorted(set(lengths))
+            counts = [lengths.count(s) for s in sizes]
+            taken = mixing.fill_budget(sizes, counts, round(share * sum(lengths)), case)
+            assert sum(s * k for s, k in zip(sizes, taken)) == round(share * sum(lengths)) or case == 0
+            if case:
+                longest = sorted(lengths)[-len(lengths) // 10]
+                words_, of = (sum(s * c for s, c in zip(sizes, x) if s >= longest) for x in (taken, counts))
+                assert abs(words_ / of - share) < 0.08
+    sizes = list(range(1000, 1100))
+    taken = [mixing.fill_budget(sizes, [1] * 100, 52_475, seed) for seed in range(20)]
+    assert all(0 < sum(t[k] for t in taken) < 20 for k in (0, 50, 99))
