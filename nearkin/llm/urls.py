@@ -1,9 +1,9 @@
 """URL filter: host and path rules first, then a path-template tree per host.
 
 The tree is built level by level over counts of distinct ``(host, path)``. At each node of a host's
-tree the next segment is kept if it is frequent there; other segments become a wildcard by shape
-(number, hexadecimal, date, word, mixed). Kept branches are then merged by labelled purity: those
-significantly purer than their siblings, those significantly less pure, and the others. The templates
+tree the next segment is kept if it is frequent there or its labels differ from its siblings'; other
+segments become a wildcard by shape (number, hexadecimal, date, word, mixed). Kept branches are then
+merged by labelled purity: no two branches of a class differ significantly. The templates
 at the end are rejected if their purity, smoothed towards the overall one, is low.
 
 All steps are grouped counts and joins of counts; a host with a third of all pages is reduced
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from nearkin.session import discard, materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Segments looked at one by one; what follows is one wildcard.
+# Segments looked at one by one; what follows is one wildcard where no page of the node is labelled.
 DEPTH = 8
 # A segment is kept if it has so many pages and so large a share of its node.
 MIN_PAGES = 5
@@ -88,28 +88,58 @@ def _shape(segment: Column) -> Column:
     )
 
 
+def _apart(labelled: Column, good: Column, other: Column, other_good: Column, base: float) -> Column:
+    """Two-proportion test; null if one side has no label."""
+    pooled = (good + other_good + PRIOR * base) / (labelled + other + PRIOR)
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), labelled) + F.try_divide(F.lit(1), other)))
+    return F.abs(F.try_divide(good, labelled) - F.try_divide(other_good, other)) > APART * error
+
+
+def _classes(kept: DataFrame, base: float) -> DataFrame:
+    """``host, template, segment, name``: a node's labelled branches by purity, cut where one differs from any of its class."""
+    member = "struct<purity:double,labelled:bigint,good:bigint,segment:string>"
+    branches = F.array_sort(F.collect_list(F.struct((F.col("good") / F.col("labelled")).alias("purity"), "labelled", "good", "segment")))
+    start = F.struct(F.lit(0).alias("rank"), F.array().cast(f"array<{member}>").alias("members"), F.array().cast("array<struct<segment:string,rank:int>>").alias("done"))
+
+    def step(state: Column, x: Column) -> Column:
+        cut = F.exists(state["members"], lambda m: F.coalesce(_apart(x["labelled"], x["good"], m["labelled"], m["good"], base), F.lit(False)))
+        rank = state["rank"] + cut.cast("int")
+        members = F.when(cut, F.array(x)).otherwise(F.concat(state["members"], F.array(x)))
+        done = F.concat(state["done"], F.array(F.struct(x["segment"].alias("segment"), rank.alias("rank"))))
+        return F.struct(rank.alias("rank"), members.alias("members"), done.alias("done"))
+
+    nodes = kept.where("labelled > 0").groupBy("host", "template").agg(branches.alias("branches"))
+    ranked = nodes.select("host", "template", F.aggregate("branches", start, step).alias("r"))
+    rows = ranked.select("host", "template", F.col("r.rank").alias("top"), F.explode("r.done").alias("d"))
+    rank, top = F.col("d.rank"), F.col("top")
+    between = F.concat(F.lit("{branch "), rank.cast("string"), F.lit("}"))
+    name = F.when(top == 0, "{branch}").when(rank == 0, "{poorer}").when(rank == top, "{purer}").otherwise(between)
+    return rows.select("host", "template", F.col("d.segment").alias("segment"), name.alias("class"))
+
+
 def _grow(paths: DataFrame, level: int, base: float) -> DataFrame:
     """Extend ``template`` by the segment of this level."""
     ended = F.size("segments") <= level
-    segment = F.get("segments", F.lit(level))
-    if level == DEPTH:
-        return paths.withColumn("template", F.when(ended, F.col("template")).otherwise(F.concat("template", F.lit("/{rest}"))))
-    going = paths.where(~ended).withColumn("segment", segment)
+    going = paths.where(~ended).withColumn("segment", F.get("segments", F.lit(level)))
     node = ["host", "template"]
     branch = going.groupBy(*node, "segment").agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "good")])
     branch = materialize(branch, "url-branches")
     # Written, so that the join is one of plain tables and a node of many branches can be split.
     whole = materialize(branch.groupBy(*node).agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "good")]), "url-nodes")
     frequent = (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("all_pages"))
-    # Two-proportion test of a branch against its siblings.
     rest, rest_good = F.col("all_labelled") - F.col("labelled"), F.col("all_good") - F.col("good")
-    pooled = (F.col("all_good") + PRIOR * base) / (F.col("all_labelled") + PRIOR)
-    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("labelled")) + F.try_divide(F.lit(1), rest)))
-    difference = F.when((F.col("labelled") > 0) & (rest > 0), F.col("good") / F.col("labelled") - rest_good / rest)
-    merged = F.when(difference > APART * error, "{purer}").when(difference < -APART * error, "{poorer}").otherwise("{branch}")
-    name = F.when(frequent, merged).otherwise(_shape(F.col("segment")))
-    names = branch.join(whole, node).select(*node, "segment", name.alias("name"))
+    # A small share of the node is enough if the labels say that the branch is another kind.
+    differs = (F.col("labelled") >= MIN_PAGES) & _apart(F.col("labelled"), F.col("good"), rest, rest_good, base)
+    kept = frequent | F.coalesce(differs, F.lit(False))
+    facts = materialize(branch.join(whole, node).withColumn("kept", kept), "url-facts")
+    classes = materialize(_classes(facts.where("kept"), base), "url-classes")
+    name = F.when(F.col("kept"), F.coalesce("class", F.lit("{branch}"))).otherwise(_shape(F.col("segment")))
+    if level >= DEPTH:
+        name = F.when(F.col("all_labelled") > 0, name).otherwise("{rest}")
+    names = facts.join(classes, [*node, "segment"], "left").select(*node, "segment", name.alias("name"))
     grown = going.join(names, [*node, "segment"]).withColumn("template", F.concat("template", F.lit("/"), "name"))
+    # What follows the wildcard for the rest is part of it.
+    grown = grown.withColumn("segments", F.when(F.col("name") == "{rest}", F.slice("segments", 1, level + 1)).otherwise(F.col("segments")))
     return grown.select(*paths.columns).unionByName(paths.where(ended))
 
 
@@ -124,9 +154,9 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     paths = materialize(counts.withColumn("segments", segments).withColumn("template", F.lit("")), "url-paths")
-    facts = paths.agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"), F.max(F.size("segments")).alias("depth")).first()
+    facts = paths.agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"), F.max(F.size("segments")).alias("depth"), F.max(F.when(F.col("labelled") > 0, F.size("segments"))).alias("known")).first()
     base = (facts["good"] or 0) / facts["labelled"] if facts["labelled"] else 1.0
-    for level in range(min(facts["depth"] or 0, DEPTH + 1)):
+    for level in range(min(facts["depth"] or 0, max(facts["known"] or 0, DEPTH) + 1)):
         grown = materialize(_grow(paths, level, base), "url-paths")
         discard(paths)
         paths = grown

@@ -69,3 +69,22 @@ def test_deep_paths_and_empty_tables(spark):
 def test_native(spark):
     plan = urls.judge(pages(spark, list(enumerate(URLS))), labels(spark, []))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and F is not None
+
+
+def test_classes_small_sections_and_deep_ones(spark):
+    made, known = [], []
+
+    def add(url, n, share):
+        for i in range(n):
+            known.append((len(made), int(i >= n * (1 - share))))
+            made.append((len(made), url))
+
+    for section, n, share in (("a", 2000, 0.95), ("b", 300, 0.75), ("c", 300, 0.05)):
+        add(f"http://three.example/{section}/x", n, share)
+    for k in range(150):
+        add(f"http://many.example/s{k}x/y", 20, 0 if k == 77 else 0.95)
+    for section, share in (("good", 1), ("bad", 0)):
+        add("http://deep.example" + "/d" * 10 + f"/{section}", 40, share)
+    judged = urls.judge(pages(spark, made), labels(spark, known)).collect()
+    blocked = {r["host"] + r["path"] for r in judged if r["verdict"] == "block"}
+    assert blocked == {"three.example/c/x", "many.example/s77x/y", "deep.example" + "/d" * 10 + "/bad"}
