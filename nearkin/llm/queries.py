@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearkin.llm import decontamination, mixing, packing, pii, quality_model, quality_rules, simhash, sql, substrings, toxicity, urls
+from nearkin.llm import alignment, decontamination, merkle, mixing, packing, pii, pieces, quality_model, quality_rules, simhash, sql, substrings, toxicity, urls
 from nearkin.llm.common import hash_share
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,27 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    found = alignment.summarise(_table(spark, sf, "documents"))
+    groups = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", groups.alias("groups_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    # A null id has no decimal form; its text stays as it is.
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    made = merkle.manifest(_table(spark, sf, "documents"), tampered)
+    return made.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    model = pieces.Pieces.read()
+    decoded = pieces.decode(pieces.encode(_table(spark, sf, "documents"), model), model)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -103,6 +124,9 @@ def queries() -> dict[str, Query]:
         "op8_substrings": op8_substrings,
         "op9_decontamination": op9_decontamination,
         "op10_pii": op10_pii,
+        "op11_alignment": op11_alignment,
+        "op12_merkle": op12_merkle,
+        "op13_pieces": op13_pieces,
     }
 
 

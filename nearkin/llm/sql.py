@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from nearkin.llm.merkle import FIELDS
 from nearkin.llm.quality_rules import BASE, LONG_WORD, RULES, STOP_WORDS, SYMBOLS, WINDOW, Rule
 
 
@@ -65,5 +66,48 @@ from d left join kept using (doc_id)
 """
 
 
+def merkle(fields: tuple[str, ...] = FIELDS) -> str:
+    def leaf(text: str) -> str:
+        parts = [text if f == "text" else f"{f}::varchar" for f in fields]
+        return "sha256(" + " || ".join(f"coalesce(strlen({p})::varchar || ':' || {p}, '-')" for p in parts) + ")"
+
+    # CRC-32 bit by bit: DuckDB has no function for it.
+    shift = "list_reduce(list_prepend(xor(c, b), range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: {shift}))"
+    return f"""
+with recursive l as (select doc_id, source, {leaf('text')} as leaf, {leaf('tampered')} as found from (
+  select *, case when {crc} % 2 = 0 then replace(text, chr(10), '') else text end as tampered from documents)),
+p as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as n from l),
+nodes as (
+  select 0 as level, source, pos, n, leaf as hash from p
+  union all
+  select level + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(hash, '' order by pos)) from nodes where n > 1 group by all),
+subs as (select source, hash as subroot, row_number() over (order by source nulls first) - 1 as spos, count(*) over () as sn from nodes where n = 1),
+tops as (
+  select 0 as level, spos as pos, sn as n, subroot as hash from subs
+  union all
+  select level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(hash, '' order by pos)) from tops where n > 1 group by all),
+around as (
+  select 'node' as kind, level, coalesce('+' || source, '') as tree, pos, string_agg(hash, '' order by pos) over (partition by level, source, pos // 3
+    order by pos rows between unbounded preceding and 1 preceding) as before, string_agg(hash, '' order by pos) over (partition by level, source, pos // 3
+    order by pos rows between 1 following and unbounded following) as after from nodes
+  union all
+  select 'top', level, '', pos, string_agg(hash, '' order by pos) over (partition by level, pos // 3 order by pos rows between unbounded preceding and 1 preceding),
+    string_agg(hash, '' order by pos) over (partition by level, pos // 3 order by pos rows between 1 following and unbounded following) from tops),
+ways as (
+  select 0 as level, case when p.n > 1 then 'node' else 'top' end as kind, coalesce('+' || p.source, '') as tree, p.doc_id, p.leaf, s.subroot, s.spos, s.sn,
+    case when p.n > 1 then p.pos else s.spos end as pos, case when p.n > 1 then p.n else s.sn end as n, p.found as folded, '' as proof
+  from p join subs s on p.source is not distinct from s.source
+  union all
+  select case when up then 0 else level + 1 end, case when up then 'top' else kind end, tree, doc_id, leaf, subroot, spos, sn,
+    case when up then spos else pos // 3 end, case when up then sn else (n + 2) // 3 end,
+    sha256(coalesce(before, '') || folded || coalesce(after, '')), proof || coalesce(before, '') || coalesce(after, '')
+  from (select w.*, a.before, a.after, w.kind = 'node' and w.n <= 3 as up from ways w
+    join around a on a.kind = w.kind and a.level = w.level and a.pos = w.pos and a.tree = case when w.kind = 'top' then '' else w.tree end where w.n > 1))
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified
+from ways, (select hash as root from tops where n = 1) where n = 1 and kind = 'top'
+"""
+
+
 def queries() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules(), "op8_substrings": substrings()}
+    return {"op5_quality_rules": quality_rules(), "op8_substrings": substrings(), "op12_merkle": merkle()}

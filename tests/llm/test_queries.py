@@ -4,8 +4,10 @@ import hashlib
 import os
 
 import pytest
+import sentencepiece
 
-from nearkin.llm import queries
+from nearkin.llm import pieces, queries
+from test_alignment import plain_summary
 from test_models import DATA
 from test_pii import plain as plain_spans
 from test_quality_rules import plain as plain_quality
@@ -21,6 +23,9 @@ COLUMNS = {
     "op7_mixing": "doc_id size source_size target taken",
     "op8_substrings": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op10_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op11_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op12_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13_pieces": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 
 
@@ -56,3 +61,16 @@ def test_repeats_digest(spark, texts):
 def test_quality_digest(spark, texts):
     for r in queries.op5_quality_rules(spark, SMALL).collect():
         assert tuple(r)[1:7] == plain_quality(texts[r["doc_id"]])
+
+
+def test_alignment_digest(spark, texts):
+    wanted = {d: (*s[:-1], hashlib.sha256(s[-1].encode()).hexdigest() if s[0] else "") for d, s in zip(texts, plain_summary(list(texts.values())))}
+    assert {r[0]: tuple(r[1:]) for r in queries.op11_alignment(spark, SMALL).collect()} == wanted
+
+
+def test_pieces_digest(spark, texts):
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    for r in queries.op13_pieces(spark, SMALL).collect():
+        ids = library.encode(texts[r["doc_id"]] or "")
+        sums = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), library.decode(ids))]
+        assert list(r)[1:] == [len(ids), *sums]
