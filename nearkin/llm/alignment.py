@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.common import BLOCK_BYTES, blocks
+from nearkin.llm.common import blocks
 from nearkin.session import materialize
 
 # Tokens of A that one pointer passes.
 LANE = 256
+# Bytes of text in a block; a block's tokens, links and counts are in memory together.
+BLOCK_BYTES = 1 << 20
 MODEL_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_SCHEMA = "block bigint, doc_ids array<bigint>, n_a array<int>, n_b array<int>, a binary, b binary, pairs array<bigint>, held array<int>"
 LINK_SCHEMA = "doc_id bigint, a array<int>, b array<int>, link_a array<int>, link_b array<int>, cuts array<int>"
@@ -186,6 +188,15 @@ def _list(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat).cast(kind))
 
 
+def _packed(ids: np.ndarray, kind: str) -> bytes:
+    return pa.compress(ids.astype(kind).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, kind: str, number: int) -> np.ndarray:
+    raw = pa.decompress(packed, number * np.dtype(kind).itemsize, codec="zstd") if number else b""
+    return np.frombuffer(raw, dtype=kind).astype(np.int64)
+
+
 def tokenize(docs: DataFrame, tokenizers: Tokenizers | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The corpus as written blocks of about ``block_bytes`` of text: ids of A and B, and the block's own pair counts.
 
@@ -207,7 +218,7 @@ def tokenize(docs: DataFrame, tokenizers: Tokenizers | None = None, block_bytes:
                 pairs, held = Block(tables, n_a, n_b, a, b).pairs()
                 columns = [
                     pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0)), _list([n_a], pa.int32()), _list([n_b], pa.int32()),
-                    *[pa.array([ids.astype(kind).tobytes()]) for ids, kind in zip((a, b), tables.kinds)], _list([pairs], pa.int64()), _list([held], pa.int32()),
+                    *[pa.array([_packed(ids, kind)]) for ids, kind in zip((a, b), tables.kinds)], _list([pairs], pa.int64()), _list([held], pa.int32()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, BLOCK_SCHEMA.replace(",", "").split()[::2])
                 number += 1
@@ -217,8 +228,9 @@ def tokenize(docs: DataFrame, tokenizers: Tokenizers | None = None, block_bytes:
 
 
 def _block(tables: Tokenizers, row: dict) -> Block:
-    ids = (np.frombuffer(row[side], dtype=kind).astype(np.int64) for side, kind in zip("ab", tables.kinds))
-    return Block(tables, np.array(row["n_a"], dtype=np.int64), np.array(row["n_b"], dtype=np.int64), *ids)
+    n_a, n_b = (np.array(row[n], dtype=np.int64) for n in ("n_a", "n_b"))
+    ids = (_unpacked(row[side], kind, int(n.sum())) for side, kind, n in zip("ab", tables.kinds, (n_a, n_b)))
+    return Block(tables, n_a, n_b, *ids)
 
 
 def links(written: DataFrame, tokenizers: Tokenizers | None = None) -> DataFrame:

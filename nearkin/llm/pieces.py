@@ -33,8 +33,8 @@ from nearkin.llm.common import blocks, map_batches
 MODEL = "piece_bpe_32k.model"
 # The symbol that stands for a space in pieces.
 MARK = "▁"
-# Words and pairs of pieces a process remembers before it starts again; longer words are not kept.
-WORDS, PAIRS, WORD = 200_000, 200_000, 48
+# Words and pairs of pieces a process remembers before it drops the ones not met lately; longer words are not kept.
+WORDS, PAIRS, WORD = 150_000, 200_000, 48
 # What an unknown id becomes, as the library writes it.
 UNKNOWN = " ⁇ "
 # Kinds of ids.
@@ -93,9 +93,12 @@ class Encoder:
         self.order = {pieces.pieces[i]: -pieces.scores[i] for i in normal}
         self.bytes = {int(pieces.pieces[i][1:-1], 16): i for i, k in enumerate(pieces.kinds) if k == BYTE}
         self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.automaton.add_word(piece[::-1], len(piece))
+        # Single symbols need no search.
+        for piece in (p for p in self.ids if len(p) > 1):
+            self.automaton.add_word(piece[::-1], piece)
         self.automaton.make_automaton()
+        # The next shorter piece at the start of each one met, or its first symbol.
+        self.shorter: dict[str, str | None] = {}
         symbols = set("".join(self.ids))
         lone = "".join(f"\\x{c:02x}" for c in range(32) if chr(c) not in symbols)
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
@@ -103,6 +106,7 @@ class Encoder:
         else:
             self.cut = re.compile(f"{MARK}*[^{MARK}{lone}]+|{MARK}+|[{lone}]" if lone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def encode(self, text: str) -> list[int]:
@@ -114,10 +118,11 @@ class Encoder:
         for word in self.cut.findall(MARK + text.replace(" ", MARK)):
             ids = words.get(word)
             if ids is None:
-                ids = self._word(word)
+                ids = self.older.get(word) or self._word(word)
                 if len(word) <= WORD:
                     if len(words) >= WORDS:
-                        words.clear()
+                        self.older, self.words = words, {}
+                        words = self.words
                     words[word] = ids
             found += ids
         return found
@@ -132,36 +137,46 @@ class Encoder:
 
     def split(self, word: str) -> list[str]:
         """The pieces of a word; symbols of no piece stand alone."""
-        end, longest = len(word), [1] * len(word)
-        for at, size in self.automaton.iter(word[::-1]):
-            # The longest one that ends at a place comes first.
-            if longest[-1 - at] < size:
-                longest[-1 - at] = size
-        failed = bytearray(end // 8 + 1)
+        end = len(word)
+        # At each place, the longest match comes first, so it is the last one here to be written.
+        longest = dict(list(self.automaton.iter(word[::-1]))[::-1])
+        failed: bytearray | None = None
         found: list[str] = []
-        known, order = self.pairs.get, self.order
-        place, size, last = 0, longest[0], ""
+        known, shorter = self.pairs.get, self._shorter
+        place, last = 0, ""
+        piece = longest.get(end - 1) or word[0]
         while place < end:
-            while size:
-                to = place + size
-                if not failed[to >> 3] >> (to & 7) & 1:
-                    piece = word[place:to]
-                    if piece in order or size == 1:
-                        apart = known((last, piece))
-                        if apart or apart is None and self._apart(last, piece):
-                            break
-                size -= 1
-            if size:
+            while piece:
+                to = place + len(piece)
+                if failed is None or not failed[to >> 3] >> (to & 7) & 1:
+                    apart = known((last, piece))
+                    if apart or apart is None and self._apart(last, piece):
+                        break
+                piece = shorter(piece)
+            if piece:
                 found.append(piece)
                 place, last = to, piece
-                size = longest[place] if place < end else 0
+                if place < end:
+                    piece = longest.get(end - 1 - place) or word[place]
             else:
+                if failed is None:
+                    failed = bytearray(end // 8 + 1)
                 failed[place >> 3] |= 1 << (place & 7)
-                size = len(found.pop())
-                place -= size
+                piece = found.pop()
+                place -= len(piece)
                 last = found[-1] if found else ""
         return found
 
+    def _shorter(self, piece: str) -> str | None:
+        try:
+            return self.shorter[piece]
+        except KeyError:
+            starts = (piece[:size] for size in range(len(piece) - 1, 0, -1))
+            found = next((s for s in starts if s in self.order or len(s) == 1), None)
+            if piece in self.order:
+                self.shorter[piece] = found
+            return found
+
     def _apart(self, left: str, right: str) -> bool:
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()

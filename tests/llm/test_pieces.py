@@ -47,7 +47,7 @@ def test_memory_is_started_again(model, library, monkeypatch):
     encoder, rng = pieces.Encoder(model), random.Random(9)
     texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(20)) for _ in range(50)]
     assert [encoder.encode(t) for t in texts] == library.encode(texts, num_threads=1)
-    assert len(encoder.words) <= 7 and len(encoder.pairs) <= 5
+    assert len(encoder.words) <= 7 and len(encoder.older) <= 7 and len(encoder.pairs) <= 5
 
 
 def test_random_ids(model, library):
