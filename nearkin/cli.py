@@ -66,8 +66,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> SimilarityJoin | None:
         name = f"{sample_name_of(args.input)}-{method}-output.txt"
     start = time.time()
     out = f"{args.out.rstrip('/')}/{name}"
+    figures = join.metrics().first().asDict()
     write_pairs(join.edges(), out)
-    for figure, value in join.metrics().first().asDict().items():
+    for figure, value in figures.items():
         print(f"{figure.replace('_', ' ')} = {value}")
     print(f"Output is available at {out}")
     print(f"Total run time: {round((time.time() - start) * 1000)}, ms")

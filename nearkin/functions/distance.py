@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,56 +76,97 @@ def levenshtein_bounded(left: Column | str, right: Column | str, k: int) -> Colu
     return _not_null(left, right, F.levenshtein(left, right, k))
 
 
-# Spark's own bounded function takes time quadratic in the length; up to this one it is the faster.
-LONG = 1000
+# Symbols compared at once while a run of equal ones lasts: the first block, the longest, and how much
+# longer each next one is.
+RUN, LONGEST_RUN, GROWTH = 4, 4096, 8
+# Pairs judged together: their diagonals are in memory at once.
+TOGETHER = 4096
 
 
-def _common_prefix(x: str, i: int, y: str, j: int) -> int:
-    """Length of the common prefix of ``x[i:]`` and ``y[j:]``, by doubling and halving."""
-    most, step, done = min(len(x) - i, len(y) - j), 16, 0
-    while done < most:
-        step = min(step, most - done)
-        if x[i + done : i + done + step] == y[j + done : j + done + step]:
-            done += step
-            step *= 2
-        elif step == 1:
-            break
-        else:
-            step //= 2
-            most = min(most, done + 2 * step)
-    return done
+def _symbols(texts: list[str], after: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all strings, one after the other with ``after`` in between, and where each begins."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+    flat = np.full(starts[-1] + LONGEST_RUN, after, dtype=np.uint32)
+    inside = np.ones(starts[-1], dtype=bool)
+    inside[starts[1:] - 1] = False
+    flat[: starts[-1]][inside] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return flat, starts[:-1]
 
 
-def edits_within(x: str, y: str, k: int) -> int:
-    """Levenshtein distance, or -1 above ``k``: furthest ends per diagonal, edit by edit.
+def _run_ends(x: np.ndarray, at_x: np.ndarray, y: np.ndarray, at_y: np.ndarray) -> np.ndarray:
+    """How many symbols are equal from each of the given places on.
 
-    Compares O(k * k) stretches, each at the speed of comparing slices.
+    Places whose run goes on are compared again in longer blocks, so a run costs about as many
+    comparisons as it has symbols and a few rounds. Strings end in symbols that equal nothing.
     """
-    goal = len(y) - len(x)
-    if abs(goal) > k:
-        return -1
-    ends = {0: _common_prefix(x, 0, y, 0)}
+    found = np.zeros(len(at_x), dtype=np.int64)
+    going, block = np.arange(len(at_x)), RUN
+    while len(going):
+        more = np.arange(block)
+        # Bounded memory: long blocks are taken for some places at a time.
+        several = max(1, (1 << 22) // block)
+        whole = []
+        for part in (going[i : i + several] for i in range(0, len(going), several)):
+            from_x, from_y = at_x[part] + found[part], at_y[part] + found[part]
+            differs = x[from_x[:, None] + more] != y[from_y[:, None] + more]
+            stops = differs.any(axis=1)
+            found[part] += np.where(stops, differs.argmax(axis=1), block)
+            whole.append(part[~stops])
+        going, block = np.concatenate(whole), min(block * GROWTH, LONGEST_RUN)
+    return found
+
+
+def edits_within(xs: list[str], ys: list[str], k: int) -> np.ndarray:
+    """Levenshtein distance of each pair, or -1 above ``k``.
+
+    All pairs advance together, edit by edit: for each diagonal, the furthest place that so many
+    edits reach, from the three diagonals around it one edit earlier, followed by the run of equal
+    symbols there. Work is bounded by ``k * (2 k + 1)`` places a pair and the runs between them,
+    whatever the length.
+    """
+    result = np.full(len(xs), -1, dtype=np.int32)
+    len_x, len_y = (np.array([len(t) for t in texts], dtype=np.int64) for texts in (xs, ys))
+    pairs = np.flatnonzero(np.abs(len_x - len_y) <= k)
+    if not len(pairs):
+        return result
+    (x, start_x), (y, start_y) = _symbols([xs[i] for i in pairs], 0xFFFFFFFF), _symbols([ys[i] for i in pairs], 0xFFFFFFFE)
+    len_x, len_y = len_x[pairs], len_y[pairs]
+    goal = len_y - len_x + k
+    diagonals, nowhere = np.arange(-k, k + 1), -(1 << 40)
+    ends = np.full((len(pairs), 2 * k + 3), nowhere, dtype=np.int64)
+    # One column on each side stands for the diagonals beyond reach.
+    ends[:, k + 1] = _run_ends(x, start_x, y, start_y)
     for edits in range(k + 1):
-        if ends.get(goal, -1) >= len(x):
-            return edits
-        following = {}
-        for d in range(-edits - 1, edits + 2):
-            far = max(ends.get(d - 1, -2), ends.get(d, -2) + 1, ends.get(d + 1, -2) + 1)
-            far = min(far, len(x), len(y) - d)
-            if far >= 0 and far + d >= 0:
-                following[d] = far + _common_prefix(x, far, y, far + d)
-        ends = following
-    return -1
-
-
-def bounded_levenshtein(left: Column | str, right: Column | str, k: int, longest: int) -> Column:
-    """Levenshtein distance, or -1 above ``k``, of strings of at most ``longest`` symbols."""
-    left, right = _col(left), _col(right)
-    if longest <= LONG:
-        return F.levenshtein(left, right, k)
+        done = ends[np.arange(len(pairs)), goal + 1] >= len_x
+        result[pairs[done]] = edits
+        if done.any():
+            left = ~done
+            pairs, start_x, start_y, len_x, len_y, goal, ends = (a[left] for a in (pairs, start_x, start_y, len_x, len_y, goal, ends))
+        if edits == k or not len(pairs):
+            break
+        far = np.maximum(np.maximum(ends[:, :-2], ends[:, 1:-1] + 1), ends[:, 2:] + 1)
+        far = np.minimum(far, np.minimum(len_x[:, None], len_y[:, None] - diagonals))
+        # Diagonals too far from the last one for the edits that are left go no further.
+        useful = (far >= 0) & (far + diagonals >= 0) & (np.abs(goal[:, None] - k - diagonals) <= k - edits - 1)
+        row, column = np.nonzero(useful)
+        place = far[row, column]
+        ends[:] = nowhere
+        ends[row, column + 1] = place + _run_ends(x, start_x[row] + place, y, start_y[row] + place + diagonals[column])
+    return result
+
+
+def bounded_levenshtein(left: Column | str, right: Column | str, k: int) -> Column:
+    """Levenshtein distance, or -1 above ``k``, of strings of any length; null if one of them is null."""
 
     @F.arrow_udf("int")
     def distance(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        return pa.array([edits_within(x, y, k) for x, y in zip(xs.to_pylist(), ys.to_pylist())], pa.int32())
-
-    return distance(left, right)
+        given = pa.compute.and_(xs.is_valid(), ys.is_valid())
+        found = np.zeros(len(xs), dtype=np.int32)
+        rows = np.flatnonzero(given.to_numpy(zero_copy_only=False))
+        for at in range(0, len(rows), TOGETHER):
+            part = pa.array(rows[at : at + TOGETHER])
+            found[rows[at : at + TOGETHER]] = edits_within(xs.take(part).to_pylist(), ys.take(part).to_pylist(), k)
+        return pa.array(found, pa.int32(), mask=~given.to_numpy(zero_copy_only=False))
+
+    return distance(_col(left), _col(right))

@@ -30,7 +30,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearkin.functions.encode import equal_chunks, lmer_set
+from nearkin.functions.encode import equal_chunks, lmer_set, lmers
 from nearkin.session import materialize
 
 # Most deletion keys one string may produce.
@@ -38,8 +38,12 @@ MAX_DELETION_KEYS = 256
 # Where only related pairs are asked for, a chunk held by more units than this is avoided if it can
 # be: see signature joins below.
 FREQUENT_KEY = 1000
-# Units per block of a key: one task compares a unit with so many partners, however hot the key.
+# Most units of a key on one side of a cell: a cell compares at most KEY_BLOCK**2 pairs, however hot the
+# key. Units are dealt by hash, so blocks are planned smaller by a margin that chance does not use up.
 KEY_BLOCK = 10_000
+MARGIN = 0.9
+# Columns of a prefix; ``pos`` only where places count.
+PREFIX = ("u", "sample", "len", "key", "freq", "pos")
 # Chunks are not made shorter than this to get around frequent ones.
 MIN_CHUNK = 4
 
@@ -79,32 +83,71 @@ def _near(left: Column, right: Column, k: int) -> Column:
     return F.abs(left - right) <= k
 
 
+def _written(keys: DataFrame) -> DataFrame:
+    return keys if hasattr(keys, "written_to") else materialize(keys, "keys")
+
+
+def hot_keys(x: DataFrame, y: DataFrame) -> DataFrame:
+    """``key, rows, columns`` for keys that too many units of either side hold, among those both sides have.
+
+    Counts are partial aggregates, so a key held by most units costs one row per task.
+    """
+    planned = max(1, int(KEY_BLOCK * MARGIN))
+    count = lambda keys, name: keys.groupBy("key").agg(F.count(F.lit(1)).alias(name))
+    held = count(x, "rows").withColumn("columns", F.col("rows")) if x is y else count(x, "rows").join(count(y, "columns"), "key")
+    hot = held.where((F.col("rows") > KEY_BLOCK) | (F.col("columns") > KEY_BLOCK))
+    blocks = lambda c: F.ceil(F.col(c) / planned).cast("int").alias(c)
+    return materialize(hot.select("key", blocks("rows"), blocks("columns")), "hot-keys")
+
+
+def in_cells(x: DataFrame, y: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the ``cell`` of the key's grid that a row takes part in.
+
+    A hot key is a grid of ``rows`` by ``columns`` cells. A unit of ``x`` belongs to one row, by
+    hash, and goes to all its cells; a unit of ``y`` belongs to one column. Each pair of units thus
+    meets in exactly one cell. Other keys are a single cell.
+    """
+
+    def dealt(keys: DataFrame, own: str, other: str, cell) -> DataFrame:
+        joined = keys.join(hot, "key", "left")
+        mine, others = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        place = F.pmod(F.xxhash64("u"), mine).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), others - 1), lambda o: cell(place, o))
+        return joined.withColumn("cell", F.explode(cells)).drop("rows", "columns")
+
+    columns = F.coalesce("columns", F.lit(1)).cast("bigint")
+    return (
+        dealt(x, "rows", "columns", lambda row, column: row * columns + column),
+        dealt(y, "columns", "rows", lambda column, row: row * columns + column),
+    )
+
+
 def _meet(x: DataFrame, y: DataFrame, condition: Column, scope: Scope, most: int | None = None) -> DataFrame:
     """Join two key tables on ``key`` (and the sample inside samples).
 
-    A key held by more than ``KEY_BLOCK`` units of ``y`` is dealt into blocks of about that size,
-    and the units of ``x`` visit every block, so no task takes on all pairs of a hot key. ``most``
-    is an upper bound of the units of ``y`` per key, if one is known. Key tables come from exploded
-    strings, whose size Spark does not see, so neither side is left to be broadcast.
+    The tables are written once, counted, and keys with more than ``KEY_BLOCK`` units on a side are
+    dealt into a grid of cells, so no task takes on all pairs of a hot key. ``most`` is an upper bound
+    of the units per key on both sides, if one is known. Key tables come from exploded strings,
+    whose size Spark does not see, so neither side is left to be broadcast.
     """
     on = F.col("x.key") == F.col("y.key")
-    held = y.groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
-    if most is None:
-        most = held.agg(F.max("freq")).first()[0] or 0
-    if most > KEY_BLOCK:
-        hot = held.where(F.col("freq") > KEY_BLOCK)
-        hot = materialize(hot.select("key", F.ceil(F.col("freq") / KEY_BLOCK).cast("int").alias("blocks")), "hot-keys")
-        blocks = F.coalesce(F.col("blocks"), F.lit(1))
-        x = x.join(hot, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        y = y.join(hot, "key", "left").withColumn("block", F.pmod(F.xxhash64("u"), blocks).cast("int"))
-        on = on & (F.col("x.block") == F.col("y.block"))
+    if most is None or most > KEY_BLOCK:
+        same = x is y
+        x = _written(x)
+        y = x if same else _written(y)
+        hot = hot_keys(x, y)
+        if not hot.isEmpty():
+            x, y = in_cells(x, y, hot)
+            on = on & (F.col("x.cell") == F.col("y.cell"))
     joined = x.alias("x").join(y.hint("merge").alias("y"), on & scope.allows() & condition)
     return joined.select(F.col("x.u").alias("a"), F.col("y.u").alias("b"))
 
 
 def _written_prefix(prefix: DataFrame) -> tuple[DataFrame, int]:
     """A prefix written once, and the number of holders of its most frequent token."""
-    written = materialize(prefix.select("u", "sample", "len", "key", "freq"), "prefix")
+    # A unit that holds a token twice needs it once.
+    columns = [c for c in PREFIX if c in prefix.columns]
+    written = materialize(prefix.select(*columns).dropDuplicates([c for c in ("u", "key", "pos") if c in columns]), "prefix")
     return written, written.agg(F.max("freq")).first()[0] or 0
 
 
@@ -282,14 +325,16 @@ def signature_edit_pairs(units: DataFrame, k: int, l: int, scope: Scope, shortes
 
     The longer string (the first one on equal length) probes with its fixed-position chunks;
     the partner may hold them at any position. Without ``frequent`` every pair sharing enough
-    chunks is among the candidates. With it only related pairs are sure to be: tokens held by more
+    chunks is among the candidates. With it only related pairs are sure to be: chunks have to be found
+    within ``k`` places of their own, as ``k`` edits move them no further, and tokens held by more
     units than that are avoided, by deletion keys or finer chunks, where these propose fewer pairs.
     """
     first = (F.col("x.len") > F.col("y.len")) | (
         (F.col("x.len") == F.col("y.len")) & (F.col("x.u") < F.col("y.u"))
     )
     condition = first & _near(F.col("x.len"), F.col("y.len"), k)
-    prefix, most = _written_prefix(_edit_prefix(units, k, l, scope, None))
+    prefix = _edit_prefix(units, k, l, scope, None)
+    prefix, most = _written_prefix(prefix.drop("pos") if frequent is None else prefix)
     if frequent is None:
         return _meet(prefix, _postings(units, l), condition, scope, most)
     prefix, moved = _split_frequent(prefix, most, k, frequent, shortest)
@@ -297,7 +342,7 @@ def signature_edit_pairs(units: DataFrame, k: int, l: int, scope: Scope, shortes
     while True:
         finer = _finer_prefix(units, k, l, scope, prefix, frequent) if most > frequent else None
         kept = prefix if finer is None else prefix.where(F.col("freq") <= frequent)
-        parts.append(_meet(kept, _postings(units, l), condition, scope, most))
+        parts.append(_meet(_reach(kept, k), _places(units, l, k), condition, scope, most))
         if finer is None:
             return reduce(DataFrame.union, parts)
         prefix, l = finer, l // 2
@@ -309,6 +354,19 @@ def _postings(units: DataFrame, l: int) -> DataFrame:
     return units.select("u", "sample", "len", F.explode(keys).alias("key"))
 
 
+def _places(units: DataFrame, l: int, k: int) -> DataFrame:
+    """Postings with the band of ``2 k + 1`` places an l-mer lies in, once for each band."""
+    keys = F.transform(lmers("seq", l), lambda s, p: F.xxhash64(F.xxhash64(s), F.floor(p / (2 * k + 1))))
+    return units.select("u", "sample", "len", F.explode(F.array_distinct(keys)).alias("key"))
+
+
+def _reach(prefix: DataFrame, k: int) -> DataFrame:
+    """A prefix with the bands, two at most, that a chunk moved by up to ``k`` places may lie in."""
+    band = lambda place: F.floor(place / (2 * k + 1))
+    bands = F.explode(F.sequence(band(F.col("pos") - k), band(F.col("pos") + k)))
+    return prefix.withColumn("band", bands).select("u", "sample", "len", F.xxhash64("key", "band").alias("key"))
+
+
 def _edit_prefix(units: DataFrame, k: int, l: int, scope: Scope, only: DataFrame | None) -> DataFrame:
     """Rarest chunks of the strings that have enough of them, or of those listed in ``only``."""
     probing = units.where(F.col("len") >= l * (k + 1))
@@ -319,7 +377,7 @@ def _edit_prefix(units: DataFrame, k: int, l: int, scope: Scope, only: DataFrame
         "u", "sample", "len", n_chunks.alias("chunks"), F.posexplode(equal_chunks("seq", l)).alias("pos", "chunk")
     )
     # A text that fills m chunks of the probe stays m rows: hits are counted per chunk.
-    probes = probes.select("u", "sample", "len", "chunks", F.xxhash64("chunk").alias("key"))
+    probes = probes.select("u", "sample", "len", "chunks", (F.col("pos") * l).alias("pos"), F.xxhash64("chunk").alias("key"))
     return _prefix(_with_frequencies(probes, _postings(units, l), scope), F.col("chunks") - k)
 
 
@@ -336,7 +394,7 @@ def _finer_prefix(
     if l // 2 < MIN_CHUNK or heavy.isEmpty():
         return None
     listed = materialize(heavy.select("u").distinct(), "heavy")
-    finer = materialize(_edit_prefix(units, k, l // 2, scope, listed).select("u", "sample", "len", "key", "freq"), "prefix")
+    finer = materialize(_edit_prefix(units, k, l // 2, scope, listed).select(*PREFIX), "prefix")
     proposed = lambda rows: rows.agg(F.sum("freq")).first()[0] or 0
     return finer if proposed(finer) < proposed(heavy) else None
 

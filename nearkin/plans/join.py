@@ -197,9 +197,11 @@ class SimilarityJoin:
             enough = F.when(near | (needed <= 0), True).otherwise(hits >= needed)
         related = near
         if self.metric == "edit":
-            # The cheap tests first: few pairs get as far as the dynamic programme.
-            within = bounded_levenshtein("seq_a", "seq_b", self.k, self.stats.longest) != -1
-            related = F.when(near, True).when(enough, within).otherwise(False)
+            # Pairs within ``k`` share enough chunks, so the distance alone decides. Where symbols pack
+            # well, or Hamming distance is asked for anyway, pairs that it accepts are not measured.
+            close = near if complete or self.stats.packing == "dna" else F.lit(False)
+            far = lambda c: F.when(~close, F.col(c))
+            related = close | (F.coalesce(bounded_levenshtein(far("seq_a"), far("seq_b"), self.k), F.lit(-1)) != -1)
         if self.strict and self._signed:
             related = related & (needed > 1)
         return pairs.select("*", near.alias("near"), enough.alias("enough"), hits.alias("hits"), related.alias("related"))
@@ -210,10 +212,18 @@ class SimilarityJoin:
 
     @cached_property
     def judged(self) -> DataFrame:
-        """The outcome of every comparison, written once for :meth:`edges` and :meth:`metrics`."""
+        """The outcome of every comparison, written once for :meth:`metrics` and :meth:`edges` after it."""
         names = ["a", "b", "n_a", "n_b", "near", "enough", "related"]
         return materialize(self.compared().select(*names), "judged")
 
+    @cached_property
+    def _related(self) -> DataFrame:
+        """Related pairs with their copies, written once; of all comparisons if these are there already."""
+        names = ["a", "b", "n_a", "n_b"]
+        if "judged" in self.__dict__:
+            return self.judged.where("related").select(*names)
+        return materialize(self.compared(complete=False).where("related").select(*names), "related")
+
     # -- results -----------------------------------------------------------------------------
 
     def pairs(self) -> DataFrame:
@@ -237,9 +247,10 @@ class SimilarityJoin:
         """The full edge list over rows, copies included: ``(i, j)`` plus the sample columns.
 
         Groups of copies are cut into blocks and each pair of blocks is expanded on its own, so
-        even one string owning most rows is written out by many tasks.
+        even one string owning most rows is written out by many tasks. Where the figures of
+        :meth:`metrics` are wanted too, ask for them first: both then come from the same comparisons.
         """
-        pairs = self.judged.where("related").select("a", "b", "n_a", "n_b")
+        pairs = self._related
         single = self._name_edges(pairs.where("n_a = 1 and n_b = 1").select(self._row("a"), self._row("b")))
         if not self.collapse:
             return single

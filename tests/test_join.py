@@ -3,11 +3,14 @@
 import hashlib
 import os
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from nearkin.functions.distance import edits_within
+from nearkin.functions.distance import bounded_levenshtein, edits_within
 from nearkin.functions.encode import packing_of  # noqa: F401
+from nearkin.plans import candidates
 from nearkin.plans.candidates import longest_for_deletions
 from nearkin.plans.join import SimilarityJoin
 from nearkin.sources.fasta import read_fasta
@@ -208,6 +211,21 @@ def test_comparisons_do_not_depend_on_frequency(spark, monkeypatch):
         assert found == {(i, j) for j, (_, y) in enumerate(near) for i, (_, x) in enumerate(near[:j]) if distance(x, y) <= 3}
 
 
+def test_a_hot_key_is_dealt_into_cells(spark):
+    """100 000 units of one key: cells stay below the bound and every pair meets in exactly one of them."""
+    side = lambda n: spark.range(n).select(F.col("id").alias("u"), F.when(F.col("id") % 50 == 49, F.col("id")).otherwise(-1).alias("key"))
+    x, y = side(100_000), side(30_000)
+    hot = candidates.hot_keys(x, y)
+    assert [tuple(r) for r in hot.collect()] == [(-1, 11, 4)]
+    in_x, in_y = candidates.in_cells(x, y, hot)
+    sizes = lambda t, name: t.groupBy("key", "cell").agg(F.count(F.lit(1)).alias(name))
+    cells = sizes(in_x, "nx").join(sizes(in_y, "ny"), ["key", "cell"]).where("key = -1").collect()
+    assert len(cells) == 44 and all(max(c.nx, c.ny) <= candidates.KEY_BLOCK for c in cells)
+    some = lambda t, step: t.where(F.col("u") % step == 0)
+    met = some(in_x, 501).alias("x").join(some(in_y, 97).alias("y"), ["key", "cell"]).select("x.u", "y.u")
+    assert met.count() == met.distinct().count() == some(x, 501).alias("x").join(some(y, 97).alias("y"), "key").count()
+
+
 def test_exploded_keys_are_not_broadcast(spark):
     df = spark.createDataFrame([(i, f"ACGTAC{i:06d}") for i in range(60)], "seq_id int, seq string")
     for options in (dict(k=1), dict(k=2), dict(k=1, metric="hamming"), dict(k=1, l=3)):
@@ -224,13 +242,28 @@ def test_the_nul_character_is_a_symbol(spark):
         assert SimilarityJoin(df, 3, metric, l=4).edges().count() == 1
 
 
-def test_long_strings_are_verified_by_diagonals():
+def test_bounded_distances_of_many_pairs(spark):
     rng = random.Random(5)
-    for _ in range(3000):
-        x, y = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 14))) for _ in range(2))
-        k = rng.randint(0, 6)
-        d = levenshtein(x, y)
-        assert edits_within(x, y, k) == (d if d <= k else -1)
+    for k in range(7):
+        xs, ys = (["".join(rng.choice("ab") for _ in range(rng.randint(0, 14))) for _ in range(600)] for _ in range(2))
+        wanted = [d if d <= k else -1 for d in map(levenshtein, xs, ys)]
+        assert edits_within(xs, ys, k).tolist() == wanted
+    assert edits_within([], [], 3).tolist() == []
+    assert edits_within(["", "é😀", "\0", "abc"], ["", "é✓", "", "abcdefgh"], 2).tolist() == [0, 1, 1, -1]
+    for symbols in ("ACGT", "aé✓😀"):
+        rows = [(x, "".join(c if rng.random() < 0.95 else rng.choice(symbols) for c in x)) for x in ("".join(rng.choice(symbols) for _ in range(rng.randint(50, 300))) for _ in range(300))]
+        rows += [(None, "a"), ("a", None)]
+        pairs = spark.createDataFrame(rows, "x string, y string")
+        found = pairs.select(bounded_levenshtein("x", "y", 9).alias("mine"), F.levenshtein("x", "y", 9).alias("theirs")).collect()
+        assert [r.mine for r in found] == [r.theirs for r in found] and {-1, None} < {r.mine for r in found}
+
+
+def test_bounded_distance_of_long_strings():
+    rng = random.Random(6)
     long = "".join(rng.choice("abcd") for _ in range(32_000))
-    assert edits_within(long, long[:9000] + "z" + long[9001:20000] + long[20003:] + "qq", 8) == 6
-    assert edits_within(long, long[::-1], 8) == -1
+    edited = long[:9000] + "z" + long[9001:20000] + long[20003:] + "qq"
+    assert edits_within([long, long, "a" * 50_000], [edited, long[::-1], "a" * 49_994], 8).tolist() == [6, -1, 6]
+    start = time.perf_counter()
+    for _ in range(20):
+        edits_within([long], [edited], 8)
+    assert (time.perf_counter() - start) / 20 < 0.05
