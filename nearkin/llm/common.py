@@ -28,6 +28,25 @@ def from_row(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(row).getField(c).alias(c) for c in columns])
 
 
+def text_name() -> Column:
+    """A hash that stands for a row's text."""
+    return F.xxhash64("text").alias("t")
+
+
+def one_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component: the one of smallest id.
+
+    ``members`` has ``doc_id``, ``t`` (the text's hash) and ``root`` (the component) for every row. Null ids
+    come last, rows of equal ids are told apart by their texts; of rows equal in both one stays. Every
+    component keeps exactly one row, whatever its ids. Columns are those of ``docs``.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    first = members.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.doc_id").alias("kept_id"), F.col("first.t").alias("kept_t"))
+    rows = docs.select(as_row(docs).alias("document"), F.col("doc_id").cast("bigint").alias("id"), text_name())
+    rows = rows.join(first, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("t") == F.col("kept_t")))
+    return from_row(rows.dropDuplicates(["root"]), "document", docs.columns)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.common import as_row, from_row, map_batches, signed, text_bytes
+from nearkin.llm.common import map_batches, one_of_each, signed, text_bytes, text_name
 from nearkin.operators.graph import component_roots
 from nearkin.session import discard, materialize
 
@@ -51,18 +51,20 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = SHINGLE, named: bool = False) -> DataFrame:
     """``doc_id, fp`` for every row; ``fp`` is the fingerprint as a signed 64-bit number.
 
-    A text without words, empty or null, has fingerprint zero.
+    A text without words, empty or null, has fingerprint zero. ``named`` adds ``t``, the text's own hash.
     """
+    names = ["doc_id", "fp", "t"][: 2 + named]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         values = [fingerprint(text, size) for text in text_bytes(batch.column(1))]
         fps = pa.array(signed(np.array(values, dtype=np.uint64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], names)
 
-    return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", *[text_name()] * named)
+    return map_batches(rows, run, ", ".join(f"{c} bigint" for c in names))
 
 
 def _home_and_syndrome(half: Column) -> tuple[Column, Column]:
@@ -114,16 +116,16 @@ def links(fps: DataFrame) -> DataFrame:
     return homes.join(copies, (F.col("x.anchor") == F.col("y.anchor")) & met).select("i", "j")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, fingerprint, component_id, fp`` for every row of ``docs``.
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, named: bool = False) -> DataFrame:
+    """``doc_id, fingerprint, component_id, fp, root`` for every row of ``docs``.
 
     Components are the connected sets of documents under links of at most three bits;
-    ``component_id`` is the smallest ``doc_id`` in it. Equal fingerprints are one vertex, so copies
+    ``component_id`` is the smallest ``doc_id`` in it, ``root`` is its own whatever its ids. Equal fingerprints are one vertex, so copies
     add no links. A row with a null ``doc_id`` takes part; it only names a component (by null) that
     has no other id. Repeated rows are returned as often as they come. An empty table gives no
-    rows; columns other than ``doc_id`` and ``text`` are ignored.
+    rows; columns other than ``doc_id`` and ``text`` are ignored. ``named`` adds ``t``, the text's hash.
     """
-    rows = materialize(fingerprints(docs, size), "fingerprints")
+    rows = materialize(fingerprints(docs, size, named), "fingerprints")
     vertices = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     vertices = materialize(vertices, "fingerprint-vertices")
     edges = materialize(links(vertices.select("fp")), "fingerprint-links")
@@ -132,20 +134,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     rooted = materialize(rooted, "fingerprint-roots")
     discard(edges)
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    classes = rooted.join(names, "root").select("fp", "component_id", "root")
     # Only classes of one fingerprint carry many rows; adaptive execution splits such a join.
-    joined = rows.join(named, "fp")
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+    joined = rows.join(classes, "fp")
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp", "root", *["t"] * named)
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The documents with one of each near-duplicate component left: the one of smallest id.
-
-    Rows with a null ``doc_id`` stay if nothing else is in their component; of repeated rows one
-    stays. Columns are those of ``docs``.
-    """
-    found = near_duplicates(docs, size)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(as_row(docs).alias("document"), F.col("doc_id").cast("bigint").alias("id"))
-    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")))
-    return from_row(rows.dropDuplicates(["id"]), "document", docs.columns)
+    """The documents with one row of each near-duplicate component left, see ``one_of_each``."""
+    return one_of_each(docs, near_duplicates(docs, size, named=True))

@@ -9,7 +9,7 @@ import corpus_pipeline
 from nearkin.llm import decontamination, packing, quality_rules
 from llm_helpers import documents, odd_rows, words
 from test_quality_rules import plain as plain_quality
-from test_simhash import plain_components
+from test_similar import plain_components
 
 
 def clean_text(rng, n):
@@ -56,7 +56,7 @@ def test_stages(spark, tmp_path):
     assert left <= {d for d, t in text.items() if not plain_quality(t)[-1]}
     assert {d for d in text if d < 390} <= left and not {400, 401, 402, 403} & left
     components = plain_components([(d, text[d], "") for d in sorted(left)])
-    assert sorted(r["doc_id"] for r in single) == sorted({int(c) for _, _, c in components})
+    assert sorted(r["doc_id"] for r in single) == sorted({int(c) for _, c in components})
     items = [decontamination.normalise(t) for _, t in BENCHMARK]
     leaked = {r["doc_id"] for r in single if any(i in decontamination.normalise(r["text"]) for i in items)}
     assert leaked and {r["doc_id"] for r in clean} == {r["doc_id"] for r in single} - leaked

@@ -85,3 +85,14 @@ def test_keep_one(spark):
 def test_empty(spark):
     empty = documents(spark, [])
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_no_component_is_lost(spark):
+    """Null ids, one id with two texts, identical rows: one row of each component stays."""
+    rng = random.Random(21)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(None, a, "s"), (None, b, "s"), (1, c, "s")]
+    assert sorted(r["text"] for r in simhash.keep_one(documents(spark, rows)).collect()) == sorted([a, b, c])
+    rows = [(2, a, "s"), (5, a, "s"), (5, b, "s"), (7, d, "s"), (7, d, "s"), (None, d, "s"), (None, c, "s"), (None, c, "s")]
+    kept = simhash.keep_one(documents(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("2", a), ("5", b), ("7", d), ("None", c)])
