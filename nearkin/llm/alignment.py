@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.common import blocks
+from nearkin.llm.common import blocks, encode_whole
 from nearkin.session import materialize
 
 # Tokens of A that one pointer passes.
@@ -109,7 +109,7 @@ class Tokenizers:
         a, b = self.encoders
         found = []
         for text, ids_b in zip(texts, b.encode([t or "" for t in texts], num_threads=1)):
-            ids_a = a.encode_ordinary(f" {text}") if text else []
+            ids_a = encode_whole(a, f" {text}").tolist() if text else []
             whole = f" {text}".encode() if text else b""
             if b"".join([self.a_bytes[i] for i in ids_a]) != whole or b"".join([self.b_bytes[i] for i in ids_b]) != whole:
                 ids_a, ids_b = [], []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -84,6 +85,25 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+# White space as tokenizers' patterns have it, in runs too long for their regular expressions.
+_LONG_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
+
+
+def encode_whole(encoding, text: str) -> np.ndarray:
+    """Ids of a whole text without special tokens, whatever its length.
+
+    The pattern is to end in ``\\s+(?!\\S)|\\s+``: a run of white space is a piece but for its last symbol,
+    which may belong to what follows. Runs that would exhaust the expression are taken as that piece.
+    """
+    parts, at = [], 0
+    for run in _LONG_WHITE.finditer(text) if len(text) >= 100_000 else ():
+        end = run.end() - (run.end() < len(text))
+        parts += [encoding.encode_ordinary(text[at : run.start()]), encoding._encode_single_piece(text[run.start() : end])]
+        at = end
+    rest = encoding.encode_to_numpy(text[at:], disallowed_special=())
+    return np.concatenate([*map(np.array, parts), rest]).astype(np.uint32) if parts else rest
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as Spark's bigint."""
     return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.common import BLOCK_BYTES
+from nearkin.llm.common import BLOCK_BYTES, encode_whole
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # The id after the vocabulary's last one: ends a document and fills what is left of a row.
@@ -27,8 +27,6 @@ SEPARATOR = 50256
 LENGTH = 2048
 # Tokens packed together. More would fill rows a little better and take more memory.
 WINDOW = 4_000_000
-# Symbols given to the tokenizer at once; longer texts are cut, which may cost a merge at the cut.
-SLICE = 1 << 16
 SCHEMA = (
     "shard int, row int, n_tokens int, doc_ids array<bigint>, pieces array<int>, "
     "cu_seqlens array<int>, token_ids binary, position_ids binary"
@@ -112,9 +110,7 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
 
 
 def _encode(encoding, text: str) -> np.ndarray:
-    slices = [text[i : i + SLICE] for i in range(0, len(text), SLICE)]
-    parts = [encoding.encode_to_numpy(s, disallowed_special=()) for s in slices]
-    return np.concatenate([*parts, np.array([SEPARATOR])]).astype("<u2")
+    return np.append(encode_whole(encoding, text), SEPARATOR).astype("<u2")
 
 
 def _pack(items: list[tuple[int | None, int, np.ndarray]], length: int, shard: int, first_row: int) -> Iterator[pa.RecordBatch]:

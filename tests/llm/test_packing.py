@@ -65,3 +65,19 @@ def test_odd_rows(spark):
     starts = [d for r in kept for d, p in zip(r["doc_ids"], r["pieces"]) if p == 0]
     assert sorted(starts, key=str) == sorted((d for d, _, _ in odd_rows()), key=str)
     assert packing.pack(documents(spark, [])).count() == 0
+
+
+def test_long_texts_are_encoded_whole():
+    encoding = packing.Vocabulary.read().encoding()
+    rng = random.Random(6)
+    long = words(rng, 60_000)
+    assert len(long) > 300_000
+    for text in (long, "ab" * 150_000, "a" + " " * 200_000 + "b", " " * 150_000, "x\n" + "\n " * 90_000 + "'s y"):
+        assert packing._encode(encoding, text)[:-1].tolist() == encoding.encode_ordinary(text)
+
+
+def test_white_space_too_long_for_the_pattern():
+    encoding = packing.Vocabulary.read().encoding()
+    for tail in ("", "b", "\u00a0b"):
+        text = "a" + " " * 1_500_000 + tail
+        assert encoding.decode(packing._encode(encoding, text)[:-1].tolist()) == text
