@@ -31,6 +31,10 @@ KINDS = (*BASE_KINDS, "secret", "local_phone", "ssn", "number")
 CUT = 0.5
 # Shortest candidate in symbols.
 SHORTEST = 9
+# Words whose announced value needs no digit.
+STRONG = frozenset("password passwd pwd secret token apikey api_key credential".split())
+# Words that announce a value without a sign in between.
+DIRECT = frozenset("password passwd pwd pin ssn iban phone tel telephone mobile fax".split())
 TRIGGERS = frozenset("password passwd pwd token secret key apikey api_key access auth bearer credential ssn phone tel telephone call mobile fax account iban pin".split())
 LABELERS = ("format", "gazetteer", "context", "shape", "check")
 
@@ -46,6 +50,7 @@ _TOKEN = re.compile(r"[A-Za-z0-9_+/-]+")
 _FORMATS = re.compile(r"[A-Z]{4}[A-Z0-9]{16}|[0-9a-f]{32,}|[0-9a-f]{18}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[a-z]{2,4}_[A-Za-z0-9]{20,}")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 _LOCAL = re.compile(r"\(?[0-9]{3}\)?[\x20-][0-9]{3}-[0-9]{4}")
+_TOLD = re.compile(rf"(?i)(?<![A-Za-z_])({'|'.join(sorted(TRIGGERS, key=len, reverse=True))})(?:[\x20\t]{{0,8}}([=:])[\x20\t]{{0,8}}|[\x20\t]{{1,8}})[\"']?([^\s\"'<>,;=:]{{4,}})")
 _BEFORE = re.compile(r"([A-Za-z_]+)\s*([=:]?)\s*[\"']?$")
 
 
@@ -101,7 +106,8 @@ def _shape(value: str) -> tuple[int, str, str]:
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str, str]]:
     """``(kind, start, end, votes, features)`` of spans outside the base ones.
 
-    Every candidate holds a digit. A vote is ``+``, ``-`` or ``0`` (none) per labeler.
+    A candidate is a token of nine symbols or more with a digit, or one that a word of ``TRIGGERS`` announces: with
+    a sign in between (``STRONG`` ones any value, the others one with a digit) or, for ``DIRECT``, just in front of a digit's token. A vote is ``+``, ``-`` or ``0`` (none) per labeler.
     """
     spans: list[tuple[str, int, int]] = []
     done = 0
@@ -123,24 +129,45 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             done = end
             if end - start >= SHORTEST:
                 spans.append(("number" if text[start:end].strip("-+/_").isdigit() else "secret", start, end))
+    told, at = [], 0
+    for start, end in _told(text):
+        while at < len(spans) and spans[at][2] <= start:
+            at += 1
+        if at == len(spans) or spans[at][1] >= end:
+            told.append(("told", start, end))
     taken = sorted((a, b) for _, a, b in base)
     result, i = [], 0
-    for kind, start, end in spans:
+    for kind, start, end in sorted(spans + told, key=lambda s: s[1]):
         while i < len(taken) and taken[i][1] <= start:
             i += 1
         if i == len(taken) or taken[i][0] >= end:
-            result.append((kind, start, end, *_judge(kind, text, start, end)))
+            result.append(("secret" if kind == "told" else kind, start, end, *_judge(kind, text, start, end)))
     return result
 
 
+def _told(text: str) -> Iterator[tuple[int, int]]:
+    """Values announced by the gazetteer's words, by place."""
+    at = 0
+    while found := _TOLD.search(text, at):
+        value = found[3].rstrip(".)!?")
+        word = found[1].lower()
+        digit = _DIGITS.search(value) is not None and (found[2] or word in DIRECT)
+        if len(value) >= 4 and (digit or found[2] and word in STRONG):
+            yield found.start(3), found.start(3) + len(value)
+            at = found.end()
+        else:
+            # What was no value may itself announce one.
+            at = found.start(3)
+
+
 def _judge(kind: str, text: str, start: int, end: int) -> tuple[str, str]:
-    value = text[start : min(end, start + 4096)]
+    value = text[start:end]
     before = _BEFORE.search(text[max(0, start - 48) : start])
     word, assigned = (before[1].lower(), bool(before[2])) if before else ("", False)
     announced = word in TRIGGERS
     changes, digits, case = _shape(value)
     format_ = {"ssn": "+", "local_phone": "+", "number": "0"}.get(kind) or ("+" if _FORMATS.fullmatch(value) else "0")
-    shape = {"ssn": "0", "local_phone": "0", "number": "-"}.get(kind) or ("+" if changes >= 4 else "-" if changes < 2 else "0")
+    shape = {"ssn": "0", "local_phone": "0", "number": "-"}.get(kind) or ("+" if changes >= 4 else "-" if changes < 2 and kind != "told" else "0")
     plain = kind == "number" and not _luhn(re.sub("[^0-9]", "", value))
     votes = format_ + ("+" if announced else "0") + ("+" if assigned else "0") + shape + ("-" if plain else "0")
     quoted = start > 0 and text[start - 1] in "\"'" and text[end : end + 1] in ("\"", "'")

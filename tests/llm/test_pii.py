@@ -93,3 +93,41 @@ def test_odd_rows(spark):
     found = pii.find(documents(spark, made, clashes=True)).collect()
     assert sorted(str(r["doc_id"]) for r in found) == sorted(str(d) for d, _, _ in made)
     assert pii.find(documents(spark, [])).count() == 0
+
+
+def proposed(text):
+    return [text[a:b] for _, a, b, _, _ in pii.candidates(text, pii.base_spans(text))]
+
+
+def test_announced_values_are_proposed():
+    assert proposed("password=hunter and the pin 1234.") == ["hunter", "1234"]
+    assert proposed("Token: 'abcxyzabc' password: 12aa45bbcc") == ["abcxyzabc", "12aa45bbcc"]
+    assert proposed("call them, key: value, account closed, access 2023, token ring, spin 1234, pin: 12") == []
+
+
+def test_a_token_is_judged_whole():
+    token = "a" * 5000
+    votes = [pii.candidates(f"x {token}{tail}", [])[0][3:] for tail in ("1", "1b2c3d4e5")]
+    assert votes[0] != votes[1]
+
+
+def test_recall_of_planted_secrets(spark):
+    """Announced secrets of kinds that no format describes, and clean lines with the same words."""
+    rng = random.Random(12)
+    rows, planted = [], {}
+    for i in range(600):
+        text = words(rng, 30)
+        word, value = rng.choice(["password", "token", "secret", "api_key"]), "".join(rng.choice("abcdefghkmnp") for _ in range(rng.randint(6, 12)))
+        if i % 3 == 0:
+            planted[i] = value
+            text += f" {word}{rng.choice(['=', ': ', ' = '])}{value} " + words(rng, 5)
+        elif i % 3 == 1:
+            planted[i] = str(rng.randint(1000, 999_999))
+            text += f" pin {planted[i]} " + words(rng, 5)
+        else:
+            text += f" the {word} of {value} in {rng.randint(1990, 2026)} and call {rng.randint(1, 99)} " + words(rng, 5)
+        rows.append((i, text, "s"))
+    texts = {d: t for d, t, _ in rows}
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in pii.find(documents(spark, rows)).collect()}
+    assert sum(v in found[d] for d, v in planted.items()) >= 0.95 * len(planted)
+    assert not any(found[d] for d in texts if d not in planted)
