@@ -16,6 +16,7 @@ symbols of no piece), so that words are encoded once per process.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -25,6 +26,7 @@ from math import inf
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ MODEL = "piece_bpe_32k.model"
 # The symbol that stands for a space in pieces.
 MARK = "▁"
 # Words and pairs of pieces a process remembers before it drops the ones not met lately; longer words are not kept.
-WORDS, PAIRS, WORD = 150_000, 200_000, 48
+WORDS, PAIRS, WORD = 150_000, 400_000, 48
 # What an unknown id becomes, as the library writes it.
 UNKNOWN = " ⁇ "
 # Kinds of ids.
@@ -73,6 +75,11 @@ class Pieces:
     def encoder(self) -> Encoder:
         return Encoder(self)
 
+    @cached_property
+    def joined(self) -> pa.Array:
+        """The same as a column; silent ids, which end a run of bytes, are an invalid byte."""
+        return pa.array([raw or b"\xff" for raw in self.raw], pa.binary())
+
     @cached_property
     def raw(self) -> list[bytes]:
         """What each id adds to a decoded text."""
@@ -105,35 +112,37 @@ class Encoder:
             self.cut = re.compile("(?s).+")
         else:
             self.cut = re.compile(f"{MARK}*[^{MARK}{lone}]+|{MARK}+|[{lone}]" if lone else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # Ids of words as 32-bit numbers: those met lately, and the generation before.
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # What follows a piece where another is the longest match: it or the next shorter one that stays apart, or "".
+        self.pairs: dict[tuple[str, str], str] = {}
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, without begin and end; the empty text has none."""
-        if not text:
-            return []
-        found: list[int] = []
-        words = self.words
-        for word in self.cut.findall(MARK + text.replace(" ", MARK)):
-            ids = words.get(word)
-            if ids is None:
-                ids = self.older.get(word) or self._word(word)
-                if len(word) <= WORD:
-                    if len(words) >= WORDS:
-                        self.older, self.words = words, {}
-                        words = self.words
-                    words[word] = ids
-            found += ids
-        return found
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        found = self.split(word)
-        try:
-            return tuple([self.ids[piece] for piece in found])
-        except KeyError:
-            unknown = [[self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()] for p in found]
-            return tuple([i for ids in unknown for i in ids])
+        return self.numbers(text).tolist()
+
+    def numbers(self, text: str) -> np.ndarray:
+        known, other = self.words.get, self._word
+        words = self.cut.findall(MARK + text.replace(" ", MARK)) if text else ()
+        return np.frombuffer(b"".join([known(word) or other(word) for word in words]), dtype=np.int32)
+
+    def _word(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            found = self.split(word)
+            try:
+                numbers = [self.ids[piece] for piece in found]
+            except KeyError:
+                unknown = [[self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()] for p in found]
+                numbers = [i for ids in unknown for i in ids]
+            ids = array("i", numbers).tobytes()
+        if len(word) <= WORD:
+            if len(self.words) >= WORDS:
+                self.older = self.words.copy()
+                self.words.clear()
+            self.words[word] = ids
+        return ids
 
     def split(self, word: str) -> list[str]:
         """The pieces of a word; symbols of no piece stand alone."""
@@ -142,17 +151,17 @@ class Encoder:
         longest = dict(list(self.automaton.iter(word[::-1]))[::-1])
         failed: bytearray | None = None
         found: list[str] = []
-        known, shorter = self.pairs.get, self._shorter
+        known = self.pairs.get
         place, last = 0, ""
         piece = longest.get(end - 1) or word[0]
         while place < end:
             while piece:
+                fit = known((last, piece))
+                piece = self._fitting(last, piece) if fit is None else fit
                 to = place + len(piece)
-                if failed is None or not failed[to >> 3] >> (to & 7) & 1:
-                    apart = known((last, piece))
-                    if apart or apart is None and self._apart(last, piece):
-                        break
-                piece = shorter(piece)
+                if not piece or failed is None or not failed[to >> 3] >> (to & 7) & 1:
+                    break
+                piece = self._shorter(piece)
             if piece:
                 found.append(piece)
                 place, last = to, piece
@@ -177,11 +186,16 @@ class Encoder:
                 self.shorter[piece] = found
             return found
 
-    def _apart(self, left: str, right: str) -> bool:
+    def _fitting(self, last: str, piece: str) -> str:
+        tried, fit = [], piece
+        while fit and not self.stays_apart(last, fit):
+            tried.append(fit)
+            fit = self._shorter(fit)
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        apart = self.pairs[left, right] = self.stays_apart(left, right)
-        return apart
+        for one in [piece, *tried]:
+            self.pairs[last, one] = fit or ""
+        return fit or ""
 
     def stays_apart(self, left: str, right: str) -> bool:
         """Whether ``left`` and ``right``, merged together from single symbols, end as these two."""
@@ -223,14 +237,29 @@ def decode_ids(pieces: Pieces, ids: list[int]) -> str:
     raw, kinds = pieces.raw, pieces.kinds
     first = next((i for i in ids if kinds[i] != SILENT), None)
     start = first is not None and kinds[first] == NORMAL and pieces.pieces[first].startswith(MARK)
-    try:
-        # Silent ids end a run of bytes.
-        text = b"".join([raw[i] or b"\xff" for i in ids]).decode()
-    except UnicodeDecodeError:
-        text = "".join(_replaced(b"".join([raw[i] for i in run])) for _, run in groupby(ids, key=lambda i: kinds[i]))
+    text = "".join(_replaced(b"".join([raw[i] for i in run])) for _, run in groupby(ids, key=lambda i: kinds[i]))
     return text[1:] if start else text
 
 
+def decode_lists(pieces: Pieces, ids: pa.ListArray) -> list[str]:
+    """The same for a column: joined at once, row by row only where bytes are not valid UTF-8."""
+    ids = ids.fill_null([])
+    parts = pieces.joined.take(ids.flatten())
+    sizes = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]).astype(np.int32)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(sizes), parts), b"").to_pylist()
+    heads, texts = ids.flatten().take(pa.array(np.minimum(sizes[:-1], max(len(parts) - 1, 0)))).to_pylist() if len(parts) else [], []
+    for row, data in enumerate(joined):
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            texts.append(decode_ids(pieces, ids[row].as_py()))
+            continue
+        head = heads[row] if data else None
+        spaced = head is not None and pieces.kinds[head] == NORMAL and data.startswith(b" ")
+        texts.append(text[1:] if spaced else text)
+    return texts
+
+
 def _texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
@@ -248,7 +277,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
         encoder, sizes = shared.value.encoder, batch.column(1).cast(pa.binary())
         for a, b in blocks([len(x.as_buffer() or b"") if x.is_valid else 0 for x in sizes]):
             part = batch.slice(a, b - a)
-            found = [np.array(encoder.encode(t), dtype=np.int32) for t in _texts(part.column(1))]
+            found = [encoder.numbers(t) for t in _texts(part.column(1))]
             ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
@@ -268,7 +297,7 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
         table = shared.value
         for a, b in blocks([4 * len(x) if x.is_valid else 0 for x in batch.column(1)]):
             part = batch.slice(a, b - a)
-            texts = [decode_ids(table, x or []) for x in part.column(1).to_pylist()]
+            texts = decode_lists(table, part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     rows = encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))

@@ -108,7 +108,7 @@ def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
 def op13_pieces(spark: SparkSession, sf: str) -> DataFrame:
     model = pieces.Pieces.read()
     decoded = pieces.decode(pieces.encode(_table(spark, sf, "documents"), model), model)
-    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -58,6 +59,18 @@ def test_random_ids(model, library):
         assert pieces.decode_ids(model, ids) == library.decode(ids)
 
 
+def test_columns_of_random_ids(model, library):
+    rng = random.Random(7)
+    kinds = [lambda: rng.randrange(3, 259), lambda: rng.randrange(len(model.pieces)), lambda: rng.randrange(259, len(model.pieces)), lambda: rng.choice([0, 1, 2, 259])]
+    lists = [[rng.choice(kinds[: rng.randint(1, 4)] if rng.random() < 0.5 else kinds[2:3])() for _ in range(rng.randint(0, 9))] for _ in range(6000)]
+    lists[:3] = [[], None, []]
+    column = pa.array(lists, pa.list_(pa.int32()))
+    wanted = [library.decode(x or []) for x in lists]
+    assert pieces.decode_lists(model, column) == wanted
+    assert pieces.decode_lists(model, column.slice(5, 90)) == wanted[5:95]
+    assert pieces.decode_lists(model, column.slice(0, 3)) == ["", "", ""]
+
+
 @pytest.mark.parametrize("clashes", [False, True])
 def test_odd_rows(spark, library, clashes):
     rows = odd_rows()
