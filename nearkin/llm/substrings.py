@@ -21,7 +21,7 @@ joins leave hot keys to adaptive execution.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,10 +72,10 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]
             yield row, start, text[start : start + PIECE]
 
 
-def segments(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+def segments(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable[[], list[int]]]]:
     """Segments of the texts, a block of texts at a time.
 
-    Yields ``row, start, windows, bucket`` and the segments' bytes, led by the anchor's place.
+    Yields ``row, start, windows, bucket`` and a function for hashes of the segments' bytes and anchor's places.
     """
     pieces = list(_pieces(texts, length))
     for first, last in blocks([len(p[2]) for p in pieces], PIECE):
@@ -97,8 +97,11 @@ def segments(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndar
         own = owner[low]
         begins = np.array([p[1] for p in part])[own] - (ends - sizes)[own]
         rows = np.array([p[0] for p in part])[own]
-        spans = zip(low.tolist(), windows.tolist(), offset.tolist())
-        contents = [bytes((o,)) + joined[a : a + n + length - 1] for a, n, o in spans]
+
+        def contents() -> list[int]:
+            spans = zip(low.tolist(), (low + windows + length - 1).tolist(), offset.tolist())
+            return [xxhash.xxh3_64_intdigest(joined[a:b], o) for a, b, o in spans]
+
         yield rows, low + begins, windows, ids[mine[cut]], contents
 
 
@@ -112,9 +115,10 @@ def _segment_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     docs = batch.column(0).to_numpy(zero_copy_only=False)
     last, seen = -1, set()
     for rows, start, windows, bucket, contents in segments(text_bytes(batch.column(1))):
-        content = np.fromiter(map(xxhash.xxh3_64_intdigest, contents), dtype=np.uint64, count=len(contents))
+        numbers = contents()
+        content = np.array(numbers, dtype=np.uint64)
         again = []
-        for row, id_ in zip(rows.tolist(), content.tolist()):
+        for row, id_ in zip(rows.tolist(), numbers):
             if row != last:
                 last, seen = row, set()
             again.append(id_ in seen)
