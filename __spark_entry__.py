@@ -438,6 +438,20 @@ def floor_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.floor_index_by(_table(spark, sf, "lineitem"), "l_orderkey", "l_quantity", F.lit(25))
 
 
+def floor_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's next lower balance among the suppliers of the nation."""
+    left = _table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
+    right = _table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), "s_acctbal")
+    return lookup.floor_join(left, right, ["nation"], "c_acctbal", "s_acctbal").select("c_custkey", "floor")
+
+
+def index_and_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    """l-mers with their frequencies, and each sample's consensus with its length."""
+    frequencies, called = profile.index_and_consensus(reads(spark, sf), "seq", 12, ["sample"])
+    whole = called.select("sample", F.col("consensus").alias("value"), F.length("consensus").cast("bigint").alias("n"))
+    return frequencies.select("sample", F.col("lmer").alias("value"), F.col("freq").alias("n")).unionByName(whole)
+
+
 def fasta_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Reads written as FASTA in key order and read back as one sample."""
     ordered = reads(spark, sf).repartitionByRange("id").sortWithinPartitions("id")
@@ -539,6 +553,8 @@ def queries() -> dict[str, Query]:
         "components": components,
         "cliques": cliques,
         "floor_lookup": floor_lookup,
+        "floor_join": floor_join,
+        "index_and_consensus": index_and_consensus,
         "fasta_folders": fasta_folders,
         "fasta_reverse": fasta_reverse,
         "fasta_round_trip": fasta_round_trip,
@@ -639,6 +655,14 @@ def oracle_sql() -> dict[str, str]:
             "(select c_custkey, p, substr(c_name, 1, p - 1) || '?' || substr(c_name, p + 1) as masked "
             "from (select *, unnest(range(1, length(c_name) + 1)) as p from customer)) group by p, masked having count(*) > 1"
         ),
+        "floor_join": (
+            "select c_custkey, max(s_acctbal) as floor from customer left join supplier on s_nationkey = c_nationkey and s_acctbal <= c_acctbal group by c_custkey"
+        ),
+        "index_and_consensus": (
+            _READ_PROFILE + " select sample, lmer as value, count(*) as n from (select distinct sample, id, substr(seq, pos + 1, 12) as lmer "
+            "from (select *, unnest(range(0, length(seq) - 11)) as pos from reads)) group by all union all "
+            "select sample, string_agg(substr('ACGT', major + 1, 1), '' order by pos), count(*) from major group by sample"
+        ),
         "floor_lookup": (
             "select l_orderkey, greatest(count(*) filter (l_quantity <= 25) - 1, 0)::int as floor_index "
             "from (select distinct l_orderkey, l_quantity from lineitem) group by l_orderkey"

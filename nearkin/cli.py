@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from nearkin import __version__
 from nearkin.plans.join import SimilarityJoin
-from nearkin.session import get_spark
+from nearkin.session import get_spark, peak_memory
 from nearkin.sources.fasta import get_sample, is_folder, read_fasta, sample_name_of, write_pairs
 
 # Mode names with metric and input kind, default settings, and the method part of
@@ -71,6 +71,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> SimilarityJoin | None:
     for figure, value in figures.items():
         print(f"{figure.replace('_', ' ')} = {value}")
     print(f"Output is available at {out}")
+    print(f"Peak memory: {peak_memory(spark) >> 20}, MB")
     print(f"Total run time: {round((time.time() - start) * 1000)}, ms")
     return join
 

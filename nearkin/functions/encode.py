@@ -94,8 +94,35 @@ def lmer_code(lmer: Column | str, alphabet: str = DEFAULT_ALPHABET) -> Column:
 
 
 def lmer_codes(seq: Column | str, l: int, alphabet: str = DEFAULT_ALPHABET) -> Column:
-    """Code of every l-mer, in order of position."""
-    return F.transform(lmers(seq, l), lambda s: lmer_code(s, alphabet))
+    """Code of every l-mer, in order of position.
+
+    Codes below 2^62 are made by doubling: those of twice the length join two neighbouring ones, so the
+    work grows with the logarithm of ``l``. Longer ones are folded one by one, modulo 2^64.
+    """
+    base = len(alphabet)
+    if l < 1 or base**l >= 1 << 62:
+        return F.transform(lmers(seq, l), lambda s: lmer_code(s, alphabet))
+
+    def joined(first: Column, second: Column, offset: int, factor: int) -> Column:
+        """Codes of ``first``, each continued by the one of ``second`` that starts ``offset`` later."""
+
+        def both(a: Column) -> Column:
+            b = a if second is first else second
+            kept = F.slice(a, 1, F.greatest(F.size(b) - offset, F.lit(0)))
+            return F.transform(kept, lambda x, i: x * factor + F.get(b, i + offset))
+
+        return F.transform(F.array(first), both)[0]
+
+    def codes(digits: Column) -> Column:
+        found, size = digits, 1
+        for bit in bin(l)[3:]:
+            found, size = joined(found, found, size, base**size), 2 * size
+            if bit == "1":
+                found, size = joined(found, digits, size, base), size + 1
+        return found
+
+    digits = F.transform(lmers(seq, 1), lambda s: letter_to_digit(s, alphabet).cast("bigint"))
+    return F.transform(F.array(digits), codes)[0]
 
 
 def equal_chunks(seq: Column | str, l: int) -> Column:

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.functions.encode import DEFAULT_ALPHABET, digit_to_letter
+from nearkin.functions.encode import DEFAULT_ALPHABET, digit_to_letter, lmer_set
+from nearkin.session import materialize
 
 # Smallest frequency that counts in entropy, smallest major-allele frequency,
 # widest entropy chunk, symbol of a position nobody covers, symbol left out of a consensus.
@@ -101,8 +102,27 @@ def consensus(df: DataFrame, seq: str, by: list[str] = [], alphabet: str = DEFAU
     Ties go to the symbol that comes first in the alphabet. Symbols outside the alphabet are not
     counted.
     """
+    return _called(symbol_counts(df, seq, by, alphabet), by, alphabet)
+
+
+def index_and_consensus(df: DataFrame, seq: str, l: int, by: list[str] = [], alphabet: str = DEFAULT_ALPHABET) -> tuple[DataFrame, DataFrame]:
+    """``(by..., lmer, freq)`` and ``(by..., consensus)`` from one scan and one grouped count.
+
+    A string's distinct l-mers and its symbols by position are taken apart together; l-mers have no
+    position. Both results read the written counts.
+    """
+    lmers = F.transform(lmer_set(seq, l), lambda s: F.struct(F.lit(-1).alias("pos"), s.alias("sym")))
+    symbols = F.transform(F.split(seq, ""), lambda s, i: F.struct(i.alias("pos"), s.alias("sym")))
+    cells = df.select(*by, F.explode(F.concat(lmers, symbols)).alias("cell")).select(*by, "cell.pos", "cell.sym")
+    counts = materialize(cells.groupBy(*by, "pos", "sym").agg(F.count(F.lit(1)).alias("cnt")), "counts")
+    digit = F.instr(F.lit(alphabet), F.col("sym")) - 1
+    called = counts.withColumn("digit", digit).where("pos >= 0 and length(sym) = 1 and digit >= 0")
+    index = counts.where("pos < 0").select(*by, F.col("sym").alias("lmer"), F.col("cnt").alias("freq"))
+    return index, _called(called, by, alphabet)
+
+
+def _called(counts: DataFrame, by: list[str], alphabet: str) -> DataFrame:
     voters = alphabet[:-1] if NOT_CALLED in alphabet else alphabet
-    counts = symbol_counts(df, seq, by, alphabet)
     votes = F.when(F.col("digit") < len(voters), F.col("cnt")).otherwise(0)
     best = counts.groupBy(*by, "pos").agg(_argmax(votes).alias("digit"), F.max(votes).alias("votes"))
     winner = F.when(F.col("votes") > 0, F.col("digit")).otherwise(0)

@@ -46,6 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
 _local_dir: str | None = None
 
 
+def peak_memory(spark: SparkSession) -> int:
+    """Largest heap in bytes that any of the application's processes has reported; of the driver's now if none has."""
+    processes = spark._jsc.sc().statusStore().executorList(True)
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    peaks = [runtime.totalMemory() - runtime.freeMemory()]
+    for i in range(processes.size()):
+        metrics = processes.apply(i).peakMemoryMetrics()
+        if metrics.isDefined():
+            peaks.append(metrics.get().getMetricValue("JVMHeapMemory"))
+    return max(peaks)
+
+
 # Frees the shuffle files of a query as soon as its output is written.
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

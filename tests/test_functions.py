@@ -116,3 +116,33 @@ def test_floor_lookup(spark):
     assert [x for (x,) in found] == [0, 0, 0, 1, 1, 2, 2]
     rows = spark.createDataFrame([(k, v) for k in (0, 4, 9) for v in (1, 3, 3, 5)], "k int, v int")
     assert {r.floor_index for r in lookup.floor_index_by(rows, "k", "v", F.lit(4)).collect()} == {1}
+
+
+def test_floor_of_long_arrays(spark):
+    rng = random.Random(3)
+    rows = [(sorted(rng.randint(0, 50) for _ in range(rng.randint(0, 40))), rng.randint(-5, 55)) for _ in range(300)] + [([1, 2], None), (None, 3)]
+    found = values(spark, rows, "a array<int>, x int", lookup.floor_index("a", "x"))
+    assert [r[0] for r in found] == [max(sum(v <= x for v in a) - 1, 0) if a and x is not None else 0 for a, x in rows]
+
+
+def test_floor_join(spark):
+    rng = random.Random(6)
+    left = [(i, rng.choice(["hot", "hot", "a", "b", None]), rng.choice([None, *range(60)]), "r") for i in range(800)] + [(5, "hot", 7, "r")] * 200
+    right = [(rng.choice(["hot", "a", "c", None]), rng.choice([None, *range(10, 50)])) for _ in range(60)] + [("hot", 11)] * 50
+    at = lambda rows, schema: spark.createDataFrame(rows, schema)
+    schema = "part int, k string, x int, row string"
+    found = lookup.floor_join(at(left, schema), at(right, "k string, at int"), ["k"], "x", "at")
+    assert found.columns == ["part", "k", "x", "row", "floor"]
+    best = lambda k, x: max((v for j, v in right if j == k and None not in (k, v, x) and v <= x), default=None)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(repr((*r, best(r[1], r[2]))) for r in left)
+    none = lookup.floor_join(at(left[:9], schema), at([], "k string, at int"), ["k"], "x", "at")
+    assert [r.floor for r in none.collect()] == [None] * 9
+    assert lookup.floor_join(at([], schema), at(right, "k string, at int"), ["k"], "x", "at").count() == 0
+
+
+@pytest.mark.parametrize("l", [1, 2, 3, 7, 11, 30, 31, 40])
+def test_codes_of_every_length(spark, l):
+    rng = random.Random(l)
+    texts = ["", "A", "N" * 45, None] + ["".join(rng.choice("ACGTN") for _ in range(n)) for n in (l - 1, l, l + 1, 64, 300, 600)]
+    rows = values(spark, [(t,) for t in texts], "s string", e.lmer_codes("s", l), F.transform(e.lmers("s", l), lambda s: e.lmer_code(s)))
+    assert all(r[0] == r[1] for r in rows)

@@ -92,7 +92,10 @@ def test_command_line(spark, tmp_path, capsys):
     for mode, name in [("edit-single", "signature"), ("hamming-single", "signature-hamming"), ("brute-edit-single", "brute")]:
         run(spark, parser().parse_args(["-m", mode, "-in", str(tmp_path / "in" / "a.fas"), "-k", "1", "-l", "4", "-outDir", out]))
         assert lines(f"a-{name}-output.txt") == ["0 1"]
-    assert "related pairs = 1" in capsys.readouterr().out
+    printed = capsys.readouterr().out
+    assert "related pairs = 1" in printed
+    assert all(int(line.split()[2][:-1]) > 0 for line in printed.splitlines() if line.startswith("Peak memory"))
+    assert printed.count("Peak memory") == 3
     for mode, name in [("edit-multi", "signature"), ("hamming-multi", "signature-hamming")]:
         run(spark, parser().parse_args(["-m", mode, "-in", str(tmp_path / "in"), "-k", "1", "-l", "4", "-outDir", out]))
         rows = spark.read.text(f"{out}/multi-{name}-output.txt").collect()
@@ -125,3 +128,14 @@ def test_related_samples_of_mixed_lengths(spark):
     df = spark.createDataFrame(rows, "sample string, seq string")
     found = {(r.sample1, r.sample2) for r in index.related_samples(df, "sample", "seq", 4, 1).collect()}
     assert ("a", "b") in found and {("c", "d")} <= found and ("a", "d") not in found
+
+
+def test_index_and_consensus_in_one_count(spark):
+    rng = random.Random(4)
+    rows = [(s, "".join(rng.choice("ACGTN-") for _ in range(rng.randint(0, 30)))) for s in "ab" for _ in range(40)] + [("c", ""), ("a", None)]
+    df = spark.createDataFrame(rows, "sample string, seq string")
+    frequencies, called = profile.index_and_consensus(df, "seq", 3, ["sample"])
+    assert sorted(map(tuple, frequencies.collect())) == sorted(map(tuple, index.lmer_frequency(df, "seq", 3, ["sample"]).collect()))
+    assert sorted(map(tuple, called.collect())) == sorted(map(tuple, profile.consensus(df, "seq", ["sample"]).collect()))
+    whole, one = profile.index_and_consensus(df.limit(0), "seq", 3)
+    assert whole.count() == 0 and one.collect() == profile.consensus(df.limit(0), "seq").collect()
