@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearkin.functions.encode import equal_chunks, lmer_set, lmers
+from nearkin.session import materialize
 
 # Blocks of samples where every pair of samples is a result.
 PAIR_BLOCKS = 16
@@ -101,12 +102,12 @@ def related_samples(df: DataFrame, sample: str, seq: str, l: int, k: int) -> Dat
     """
     chunks = F.floor(F.length(seq) / l).cast("int")
     fewest = df.groupBy(F.col(sample).alias("sample1")).agg(F.min(chunks).alias("fewest"))
-    found = sample_coincidences(df, sample, seq, l).join(fewest, "sample1").where(F.col("coincidences") >= F.col("fewest") - k).drop("fewest")
+    met = materialize(sample_coincidences(df, sample, seq, l), "coincidences")
+    found = met.join(fewest, "sample1").where(F.col("coincidences") >= F.col("fewest") - k).drop("fewest")
     free = fewest.where(F.col("fewest") <= k).select("sample1")
     # All pairs of these are part of the result; blocks spread them over the tasks.
     others = fewest.select(F.col("sample1").alias("sample2"), F.pmod(F.xxhash64("sample1"), F.lit(PAIR_BLOCKS)).cast("int").alias("block"))
     spread = free.select("sample1", F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1))).alias("block"))
-    met = sample_coincidences(df, sample, seq, l)
     every = spread.join(others, "block").where(F.col("sample1") < F.col("sample2")).join(met, ["sample1", "sample2"], "left")
     every = every.select("sample1", "sample2", F.coalesce("coincidences", F.lit(0)).alias("coincidences"))
     return found.join(free, "sample1", "left_anti").unionByName(every)
