@@ -6,9 +6,10 @@ Edges are rows ``(i, j)`` of integer vertex ids, in either orientation, repeats
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from nearkin.session import discard, materialize
 
 # Cliques handed over together.
 CLIQUE_ROWS = 10_000
+# Entries of neighbourhoods that one search for cliques takes whole.
+SPLIT_ENTRIES = 500_000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -111,88 +114,129 @@ def _oriented(edges: DataFrame) -> DataFrame:
     )
 
 
-def _cliques_at(root: int, a: np.ndarray, b: np.ndarray) -> Iterator[list[int]]:
-    """Maximal cliques of ``root`` and its successors ``a``, by branching with a pivot.
+def _neighbourhoods(edges: DataFrame) -> DataFrame:
+    """``(root, vertex, near)`` for each edge from ``root`` to a later ``vertex``: the common neighbours after both.
 
-    Rows list the edges ``a``-``b`` among the successors, and every successor once with itself.
+    The successors of a vertex are one row, at most ``sqrt(2 * edges)`` long, and common neighbours are
+    intersections of two such rows: no pair of successors is ever a row of its own.
     """
-    near: dict[int, set[int]] = {int(v): set() for v in a}
-    for v, w in zip(a.tolist(), b.tolist()):
-        if v != w:
-            near[v].add(w)
-            near[w].add(v)
-    stack = [([root], set(near), set())]
+    ranked = F.sort_array(F.collect_list("j"))
+    after = edges.groupBy("i").agg(F.transform(ranked, lambda r: r["v"].cast("bigint")).alias("after"))
+    after = materialize(after.select(F.col("i.v").cast("bigint").alias("root"), "after"), "successors")
+    spread = after.select("root", "after", F.posexplode("after").alias("at", "vertex"))
+    rest = F.slice("after", F.col("at") + 2, F.size("after"))
+    other = after.select(F.col("root").alias("vertex"), F.col("after").alias("others"))
+    # Plain tables on both sides, so that the rows of a vertex with many predecessors can be split.
+    wedges = materialize(spread.select("root", "vertex", rest.alias("rest")), "wedges")
+    near = F.coalesce(F.array_intersect("rest", "others"), F.array().cast("array<bigint>"))
+    around = wedges.join(other, "vertex", "left").select("root", "vertex", near.alias("near"))
+    around = materialize(around, "around")
+    discard(after, wedges)
+    return around
+
+
+def _units(around: DataFrame, split: int) -> DataFrame:
+    """``(root, second, vertex, near)``: what a search for the cliques above ``root`` (and ``second``) has to know.
+
+    Rows with a ``vertex`` are candidates and those of their neighbours that come after them. Rows
+    without one are the neighbourhoods of vertices that come earlier and may extend what is found; earlier
+    vertices with the same neighbourhood are one row. A root with more than ``split`` entries is handed
+    out as one unit for each second member, with an empty row to say that the unit exists.
+    """
+    nobody = F.lit(None).cast("bigint")
+    before = around.where(F.size("near") > 0).select(F.col("vertex").alias("root"), nobody.alias("vertex"), "near").distinct()
+    rows = materialize(around.union(before), "neighbourhoods")
+    discard(around)
+    large = rows.groupBy("root").agg(F.sum(F.size("near")).alias("entries")).where(F.col("entries") > split).select("root")
+    whole = rows.join(large, "root", "left_anti").select("root", nobody.alias("second"), "vertex", "near")
+    rows = rows.join(large, "root", "left_semi")
+    inside = rows.where("vertex is not null")
+    # Later common neighbours of root and second are candidates, each with its own later neighbours.
+    reached = inside.select("root", F.col("vertex").alias("second"), F.explode("near").alias("vertex"))
+    candidates = reached.join(inside, ["root", "vertex"]).select("root", "second", "vertex", "near")
+    # Whoever comes before second and is its neighbour may extend what is found.
+    earlier = rows.select("root", F.explode("near").alias("second"), nobody.alias("vertex"), "near")
+    itself = inside.select("root", F.col("vertex").alias("second"), nobody.alias("vertex"), F.lit(None).cast("array<bigint>").alias("near"))
+    return whole.union(candidates).union(earlier).union(itself)
+
+
+def _places(bits: int) -> Iterator[int]:
+    while bits:
+        low = bits & -bits
+        yield low.bit_length() - 1
+        bits ^= low
+
+
+def _cliques_at(base: list[int], vertices: list[int], near: list, earlier: list) -> Iterator[list[int]]:
+    """Maximal cliques made of ``base`` and some ``vertices``, by branching with a pivot.
+
+    Sets of candidates are bits of one integer. An earlier vertex is known by its neighbours among the
+    candidates alone; one that has none left matters only where no candidate is left either.
+    """
+    place = {v: n for n, v in enumerate(vertices)}
+    beside = [0] * len(vertices)
+    for n, others in enumerate(near):
+        for w in others:
+            m = place.get(w)
+            if m is not None:
+                beside[n] |= 1 << m
+                beside[m] |= 1 << n
+    barred = {sum(1 << place[w] for w in set(others) if w in place) for others in earlier}
+    stack = [(base, (1 << len(vertices)) - 1, barred)]
     while stack:
-        chosen, open_, closed = stack.pop()
-        if not open_ and not closed:
-            yield sorted(chosen)
+        chosen, open_, barred = stack.pop()
+        if not open_:
+            if not barred:
+                yield sorted(chosen)
             continue
-        pivot = max(open_ | closed, key=lambda u: len(near[u] & open_))
-        for v in list(open_ - near[pivot]):
-            stack.append((chosen + [v], open_ & near[v], closed & near[v]))
-            open_.discard(v)
-            closed.add(v)
-
-
-def _local_cliques(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cliques of a partition sorted by root; a root's rows may go on in the next batch."""
-
-    def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        root, a, b = (rows[c].to_numpy() for c in ("root", "a", "b"))
-        cuts = np.flatnonzero(np.diff(root)) + 1
-        out: list[tuple[int, int, list[int]]] = []
-        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(root)]):
-            for num, clique in enumerate(_cliques_at(int(root[start]), a[start:end], b[start:end])):
-                out.append((int(root[start]), num, clique))
-                if len(out) == CLIQUE_ROWS:
-                    yield pd.DataFrame(out, columns=["root", "num", "clique"])
-                    out = []
-        yield pd.DataFrame(out, columns=["root", "num", "clique"])
-
-    held = None
-    for rows in batches:
-        rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-        open_ = (rows["root"] == rows["root"].iloc[-1]).to_numpy() if len(rows) else np.zeros(0, dtype=bool)
-        held = rows[open_]
-        if not open_.all():
-            yield from found(rows[~open_])
-    if held is not None and len(held):
-        yield from found(held)
-
-
-def maximal_cliques(edges: DataFrame) -> DataFrame:
+        pivot = max((beside[n] for n in _places(open_)), key=lambda b: (b & open_).bit_count())
+        if barred:
+            pivot = max(pivot, max(barred, key=lambda b: (b & open_).bit_count()), key=lambda b: (b & open_).bit_count())
+        for n in _places(open_ & ~pivot):
+            inside = open_ & beside[n]
+            met = {b & inside for b in barred if b >> n & 1}
+            if inside:
+                met.discard(0)
+            stack.append((chosen + [vertices[n]], inside, met))
+            open_ ^= 1 << n
+            barred = barred | {beside[n]}
+
+
+def _local_cliques(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cliques of a partition sorted by unit; a unit's rows may go on in the next batch."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("root", "second", "vertex", "near")))
+
+    out: list[list[int]] = []
+    for (root, second), unit in groupby(rows(), key=itemgetter(0, 1)):
+        vertices, near, earlier = [], [], []
+        for _, _, vertex, others in unit:
+            if vertex is not None:
+                vertices.append(vertex)
+                near.append(others)
+            elif others is not None:
+                earlier.append(others)
+        for clique in _cliques_at([root] if second is None else [root, second], vertices, near, earlier):
+            out.append(clique)
+            if len(out) == CLIQUE_ROWS:
+                yield pa.record_batch([pa.array(out, pa.list_(pa.int64()))], ["clique"])
+                out = []
+    yield pa.record_batch([pa.array(out, pa.list_(pa.int64()))], ["clique"])
+
+
+def maximal_cliques(edges: DataFrame, split: int = SPLIT_ENTRIES) -> DataFrame:
     """All maximal cliques of two or more vertices, as sorted arrays.
 
-    Every clique is found at its lowest member in degree order, inside that member's
-    successors only; the groups are bounded by the orientation, not by component size. A clique
-    found this way may still have a common neighbour that comes earlier in the order; those are
-    taken out by joins afterwards.
+    Every clique is found at its lowest member in degree order, among that member's successors;
+    those are bounded by the orientation, not by component size. Earlier vertices travel along as what
+    they are next to, so that nothing found has to be taken back. A root with more than ``split``
+    entries is searched by as many tasks as it has successors.
     """
-    edges = materialize(_oriented(edges), "oriented")
-    hop = edges.select("i", F.col("j").alias("a"))
-    triangles = (
-        hop.join(edges.select("i", F.col("j").alias("b")), "i")
-        .where("a < b")
-        .join(edges.select(F.col("i").alias("a"), F.col("j").alias("b")), ["a", "b"], "left_semi")
-    )
-    local = triangles.select(F.col("i.v").cast("bigint").alias("root"), F.col("a.v").cast("bigint").alias("a"), F.col("b.v").cast("bigint").alias("b"))
-    itself = F.col("a.v").cast("bigint")
-    local = local.union(hop.select(F.col("i.v").cast("bigint").alias("root"), itself.alias("a"), itself.alias("b")))
-    # One call for a partition, not one for every root.
-    local = local.repartition("root").sortWithinPartitions("root")
-    found = local.mapInPandas(_local_cliques, "root bigint, num int, clique array<bigint>")
-    cliques = materialize(found, "cliques")
-
-    # Extensible: some earlier vertex is adjacent to every member. It is then a predecessor of
-    # the root, which of all members has the lowest degree and so proposes few.
-    before = edges.select(F.col("j.v").cast("bigint").alias("member"), F.col("i.v").cast("bigint").alias("earlier"))
-    proposals = cliques.join(before.withColumnRenamed("member", "root"), "root")
-    witnessed = (
-        proposals.select("root", "num", "earlier", F.size("clique").alias("size"), F.explode("clique").alias("member"))
-        .where(F.col("member") != F.col("root"))
-        .join(before, ["member", "earlier"])
-        .groupBy("root", "num", "earlier", "size")
-        .agg(F.count(F.lit(1)).alias("adjacent"))
-        .where(F.col("adjacent") == F.col("size") - 1)
-    )
-    return cliques.join(witnessed, ["root", "num"], "left_anti").select("clique")
+    units = _units(_neighbourhoods(_oriented(edges)), split)
+    # One call for a partition, not one for every root. Searching is not in proportion to bytes: a fixed
+    # number of partitions is not merged by their size.
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = units.repartition(tasks, "root", "second").sortWithinPartitions("root", "second")
+    return local.mapInArrow(_local_cliques, "clique array<bigint>")

@@ -68,9 +68,10 @@ def test_graph_operators(spark, seed, p):
     frame = spark.createDataFrame(edges + [(j, i) for i, j in edges[::2]] + edges[:2], "i int, j int")
     found = graph.connected_components(spark.range(n).select(F.col("id").cast("int")), frame)
     assert {r.vertex: r.component for r in found.collect()} == _components(n, edges)
-    cliques = [tuple(r.clique) for r in graph.maximal_cliques(frame).collect()]
-    assert len(cliques) == len(set(cliques))
-    assert set(cliques) == _cliques(n, edges)
+    for split in (graph.SPLIT_ENTRIES, 6):
+        cliques = [tuple(r.clique) for r in graph.maximal_cliques(frame, split).collect()]
+        assert len(cliques) == len(set(cliques))
+        assert set(cliques) == _cliques(n, edges)
 
 
 def test_long_chain_is_one_component(spark):
@@ -123,6 +124,29 @@ def test_cliques_of_negative_and_sparse_ids(spark):
     assert {r.vertex: r.component for r in parts} == {-(10**15): 1, 5: 1, -3: 2, -2: 2, -1: 2, 10**12: 2, 77: 3}
 
 
+def test_hub_is_searched_by_many_tasks(spark):
+    # Two hubs see each other and 3000 vertices, which are chained in pairs; both are earlier or later than many.
+    n = 3000
+    edges = [(0, 1)] + [(h, v) for h in (0, 1) for v in range(2, n + 2)] + [(v, v + 1) for v in range(2, n + 2, 2)]
+    frame = spark.createDataFrame(edges, "i int, j int")
+    found = graph.maximal_cliques(frame, 1).withColumn("task", F.spark_partition_id()).collect()
+    assert {tuple(r.clique) for r in found} == {(0, 1, v, v + 1) for v in range(2, n + 2, 2)}
+    assert len({r.task for r in found}) > 1
+    # Everybody knows everybody: one clique, found once, whatever the first two members are.
+    whole = spark.createDataFrame(list(itertools.combinations(range(40), 2)), "i int, j int")
+    for split in (graph.SPLIT_ENTRIES, 1):
+        assert [r.clique for r in graph.maximal_cliques(whole, split).collect()] == [list(range(40))]
+
+
+def test_earlier_vertices_alike_are_one_row(spark):
+    edges = [(0, 1), (0, 2), (1, 2)] + [(h, v) for h in (0, 1, 2) for v in range(10, 400)]
+    around = graph._neighbourhoods(graph._oriented(spark.createDataFrame(edges, "i int, j int")))
+    units = graph._units(around, graph.SPLIT_ENTRIES).where("vertex is null")
+    # 390 vertices come before 0, 1 and 2 and are next to all of them.
+    assert units.count() == 2
+    assert graph.maximal_cliques(spark.createDataFrame(edges[:0], "i int, j int")).count() == 0
+
+
 def test_related_samples_of_mixed_lengths(spark):
     rows = [("a", "ACGTACGA"), ("a", "TTTTCCCCGGGGAAAATTTTCCCCGGGGAAAATTTTCCCC"), ("b", "ACGTACGA"), ("c", "GG"), ("d", "CATCATCATCATCAT")]
     df = spark.createDataFrame(rows, "sample string, seq string")
