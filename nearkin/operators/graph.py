@@ -80,7 +80,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def number_in_order(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Number distinct integers 1, 2, ... in their order without one global sort.
+    """Number distinct values 1, 2, ... in their order without one global sort.
 
     Rows are dealt out by range, numbered inside each range and shifted by the number of rows in the
     ranges below. Ranges come from a sample of the values, so they are even however sparse these are.

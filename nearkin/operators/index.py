@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearkin.functions.encode import equal_chunks, lmer_set, lmers
+from nearkin.operators.graph import number_in_order
 from nearkin.session import materialize
 
+# Bits of a word of samples.
+WORD = 64
 # Blocks of samples where every pair of samples is a result.
 PAIR_BLOCKS = 16
 
@@ -78,20 +81,35 @@ def rarest_chunks(ranked: DataFrame, key: str, hits: Column) -> DataFrame:
     return ranked.withColumn("n", n).where(F.col("rank") <= F.col("n") - hits + 1)
 
 
+def _sample_words(df: DataFrame, sample: str) -> DataFrame:
+    """``(sample, num, word, bit)``: samples numbered in their order, and the place of each in words of bits."""
+    known = df.select(sample).where(F.col(sample).isNotNull()).distinct()
+    num = number_in_order(known, sample, "num")
+    return materialize(num.select(F.col(sample).alias("sample"), "num", F.floor(F.col("num") / WORD).cast("int").alias("word"), (F.col("num") % WORD).alias("bit")), "samples")
+
+
 def sample_coincidences(df: DataFrame, sample: str, seq: str, l: int) -> DataFrame:
     """For each ordered pair of samples: positions of the first holding a chunk of the second.
 
-    Works on distinct (sample, position, chunk) and distinct (sample, l-mer). Every pair is
-    counted per (pair, position) before positions are summed, and pairs are produced from
-    shared l-mers only, so samples without any are absent (coincidence 0).
+    The samples that hold an l-mer are bits of 64-bit words. A chunk meets words, the chunks at one position
+    of a sample are joined by OR, and bits are counted over positions, so an l-mer in every one of ``s``
+    samples makes ``s / 64`` rows for each place that holds it, not ``s``. Pairs without a shared l-mer
+    are absent (coincidence 0), as are rows without a sample.
     """
-    left = position_sets(df, equal_chunks(seq, l), [sample]).select(
-        F.col(sample).alias("sample1"), "pos", F.col("chunk").alias("lmer")
-    )
-    right = distinct_lmers(df, seq, l, [sample]).withColumnRenamed(sample, "sample2")
-    # Spark sees the size of the table the l-mers come from, not theirs: no broadcast.
-    met = left.join(right.hint("merge"), "lmer").where(F.col("sample1") < F.col("sample2"))
-    return met.groupBy("sample1", "sample2").agg(F.countDistinct("pos").cast("int").alias("coincidences"))
+    samples = _sample_words(df, sample)
+    named = df.select(F.col(sample).alias("sample"), F.col(seq).alias("seq"))
+    left = position_sets(named, equal_chunks("seq", l), ["sample"]).join(samples, "sample")
+    left = left.select(F.col("sample").alias("sample1"), F.col("num").alias("num1"), F.col("word").alias("word1"), "pos", F.col("chunk").alias("lmer"))
+    bit = F.expr("shiftleft(1L, bit)")
+    right = distinct_lmers(named, "seq", l, ["sample"]).join(samples, "sample").groupBy("lmer", "word").agg(F.bit_or(bit).alias("bits"))
+    # Spark sees the size of the table the l-mers come from, not theirs: no broadcast. Only later samples count.
+    met = left.join(right.hint("merge"), "lmer").where("word >= word1")
+    placed = met.groupBy("sample1", "num1", "word", "pos").agg(F.bit_or("bits").alias("bits"))
+    counts = placed.groupBy("sample1", "num1", "word").agg(F.array(*(F.sum(F.getbit("bits", F.lit(n))) for n in range(WORD))).alias("counts"))
+    found = counts.select("sample1", "num1", "word", F.posexplode("counts").alias("bit", "coincidences")).where("coincidences > 0")
+    found = found.withColumn("num2", F.col("word") * WORD + F.col("bit")).where("num2 > num1")
+    second = samples.select(F.col("sample").alias("sample2"), F.col("num").alias("num2"))
+    return found.join(second, "num2").select("sample1", "sample2", F.col("coincidences").cast("int").alias("coincidences"))
 
 
 def related_samples(df: DataFrame, sample: str, seq: str, l: int, k: int) -> DataFrame:

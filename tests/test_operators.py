@@ -154,6 +154,22 @@ def test_related_samples_of_mixed_lengths(spark):
     assert ("a", "b") in found and {("c", "d")} <= found and ("a", "d") not in found
 
 
+def test_coincidences_of_many_samples(spark):
+    # More samples than a word has bits; one l-mer is in every sample, at several places of most.
+    rng = random.Random(9)
+    rows = [(f"s{n:03}", "ACGT" * rng.randint(1, 3) + "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 14)))) for n in range(150) for _ in range(2)]
+    df = spark.createDataFrame(rows + [(None, "ACGTACGT"), ("s000", None), ("t", ""), ("u", "TTTT")], "sample string, seq string")
+    places, held = {}, {}
+    for sample, seq in rows + [("u", "TTTT")]:
+        for at in range(len(seq) // 4):
+            places.setdefault(sample, {}).setdefault(at, set()).add(seq[4 * at : 4 * at + 4])
+        held.setdefault(sample, set()).update(seq[at : at + 4] for at in range(len(seq) - 3))
+    wanted = {(a, b): sum(bool(at & held[b]) for at in places[a].values()) for a in places for b in held if a < b}
+    found = {(r.sample1, r.sample2): r.coincidences for r in index.sample_coincidences(df, "sample", "seq", 4).collect()}
+    assert found == {pair: n for pair, n in wanted.items() if n} and len(found) > 150 * 149 // 2 - 1
+    assert index.sample_coincidences(df.limit(0), "sample", "seq", 4).count() == 0
+
+
 def test_index_and_consensus_in_one_count(spark):
     rng = random.Random(4)
     rows = [(s, "".join(rng.choice("ACGTN-") for _ in range(rng.randint(0, 30)))) for s in "ab" for _ in range(40)] + [("c", ""), ("a", None)]
