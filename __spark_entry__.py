@@ -467,6 +467,14 @@ def fasta_reverse(spark: SparkSession, sf: str) -> DataFrame:
     return fasta.read_fasta(spark, out, reverse=True).select("seq_id", "header", "seq")
 
 
+def fasta_blank_separated(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads written without headers, in lines of 20 letters and blank lines between them, and read back by lines."""
+    lines = F.concat(F.regexp_replace("seq", "(.{20})(?=.)", "$1\n"), F.lit("\n"))
+    out = f"{shared_dir(spark)}/reads-{uuid.uuid4().hex}"
+    reads(spark, sf).repartitionByRange("id").sortWithinPartitions("id").select(lines).write.text(out)
+    return fasta.read_fasta(spark, out, cut="line").select("seq_id", "header", "seq")
+
+
 def fasta_folders(spark: SparkSession, sf: str) -> DataFrame:
     """Reads written to a folder per brand and read back as one sample per folder."""
     brand = F.regexp_replace("sample", "[^0-9]", "")
@@ -555,6 +563,7 @@ def queries() -> dict[str, Query]:
         "floor_lookup": floor_lookup,
         "floor_join": floor_join,
         "index_and_consensus": index_and_consensus,
+        "fasta_blank_separated": fasta_blank_separated,
         "fasta_folders": fasta_folders,
         "fasta_reverse": fasta_reverse,
         "fasta_round_trip": fasta_round_trip,
@@ -668,6 +677,7 @@ def oracle_sql() -> dict[str, str]:
             "from (select distinct l_orderkey, l_quantity from lineitem) group by l_orderkey"
         ),
         "document_edit_join": _DOCUMENTS_SQL,
+        "fasta_blank_separated": f"with {READS} select row_number() over (order by id) - 1 as seq_id, cast(null as varchar) as header, seq from reads",
         "fasta_folders": (
             f"with {READS} select 'brand=' || regexp_replace(sample, '[^0-9]', '', 'g') as sample, "
             "row_number() over (partition by sample order by id) - 1 as seq_id, cast(id as varchar) as header, seq from reads"

@@ -49,6 +49,76 @@ def _blocks(spark: SparkSession, path: str | list[str], ignore_broken: bool) ->
     return raw.withColumn("row", F.row_number().over(in_split)).drop("order")
 
 
+def _sample(spark: SparkSession, path: str | list[str], layout: str) -> Column:
+    if layout == "file":
+        return sample_name("file")
+    if layout == "folder":
+        return sample_name(F.element_at(F.split("path", "/"), -2))
+    return sample_name("file") if _is_file(spark, path) else F.lit(sample_name_of(path))
+
+
+def _lines(spark: SparkSession, path: str | list[str], ignore_broken: bool) -> DataFrame:
+    """Every line of the input with its place: file, input split, and row in the split."""
+    reader = spark.read.option("ignoreMissingFiles", ignore_broken).option("ignoreCorruptFiles", ignore_broken)
+    lines = reader.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("order"),
+    )
+    in_split = Window.partitionBy("path", "split").orderBy("order")
+    return lines.withColumn("row", F.row_number().over(in_split)).drop("order")
+
+
+def _records_of_lines(lines: DataFrame, drop_empty: bool) -> DataFrame:
+    """``(sample, seq_id, header, seq)`` of lines, the same as from runs of lines behind headers.
+
+    A line belongs to the record whose number is the count of ends before it. Ends are counted in each
+    split as if it stood alone; one row per split then tells what its first line ends, which header
+    it stands under and how many records came before. Only letters are shuffled, to their record.
+    """
+    blank, header = F.col("value") == "", F.startswith("value", F.lit(HEADER))
+    kind = F.when(blank, "blank").when(header, "header").otherwise("letters")
+    so_far = Window.partitionBy("path", "split").orderBy("row")
+    previous = F.coalesce(F.lag("kind").over(so_far) == "letters", F.lit(False))
+    lines = lines.withColumn("kind", kind)
+    always = F.lit(False) if drop_empty else F.col("kind") == "blank"
+    lines = lines.withColumn("end", F.when(always | ((F.col("kind") != "letters") & previous), 1).otherwise(0))
+    name = F.when(F.col("kind") == "header", F.regexp_replace("value", "^>", ""))
+    before = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("ended", F.coalesce(F.sum("end").over(before), F.lit(0)))
+    lines = lines.withColumn("own", F.last(name, ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+
+    splits = lines.groupBy("sample", "file", "path", "split").agg(
+        F.sum("end").alias("ends"),
+        F.min_by("kind", "row").alias("first"),
+        F.max_by("kind", "row").alias("final"),
+        F.max_by("own", "row").alias("own"),
+    )
+    in_file = Window.partitionBy("path").orderBy("split")
+    open_ = F.coalesce(F.lag("final").over(in_file) == "letters", F.lit(False))
+    ending = F.col("first") != "letters" if drop_empty else F.col("first") == "header"
+    splits = splits.withColumn("border", F.when(open_ & ending, 1).otherwise(0))
+    splits = splits.withColumn("under", F.last("own", ignorenulls=True).over(in_file.rowsBetween(Window.unboundedPreceding, -1)))
+    unended = F.when(F.lead("final").over(in_file).isNull() & (F.col("final") == "letters"), 1).otherwise(0)
+    splits = splits.withColumn("records", F.col("ends") + F.col("border") + unended)
+    earlier = Window.partitionBy("sample").orderBy("file", "path", "split").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("records").over(earlier), F.lit(0))
+    splits = splits.select("path", "split", "border", "under", offset.alias("offset"))
+
+    kept = lines.where(F.col("kind") == "letters") if drop_empty else lines.where(F.col("kind") != "header")
+    after_first = F.when(F.col("row") > 1, F.col("border")).otherwise(0)
+    placed = kept.join(splits, ["path", "split"]).select(
+        "sample",
+        (F.col("offset") + after_first + F.col("ended")).alias("seq_id"),
+        F.coalesce("own", "under").alias("header"),
+        F.struct("split", "row", "value").alias("line"),
+    )
+    records = placed.groupBy("sample", "seq_id").agg(F.min_by("header", "line").alias("header"), F.sort_array(F.collect_list("line")).alias("parts"))
+    return records.select("sample", "seq_id", "header", F.array_join("parts.value", "").alias("seq"))
+
+
 def read_fasta(
     spark: SparkSession,
     path: str | list[str],
@@ -56,17 +126,27 @@ def read_fasta(
     reverse: bool = False,
     drop_empty: bool = True,
     ignore_broken: bool = False,
+    cut: str = "header",
 ) -> DataFrame:
     """``(sample, seq_id, header, seq)`` with 0-based ``seq_id`` in input order per sample.
 
     ``layout`` is ``"sample"`` for a file or a folder read as one sample (files in order of
     name), ``"file"`` for a folder with one sample per file, and ``"folder"`` for a folder with
     one sample per sub-folder. Files whose name starts with a dot or an underscore are skipped.
-    ``ignore_broken`` skips unreadable files instead of failing.
+    ``ignore_broken`` skips unreadable files instead of failing. ``cut`` is where a file is split
+    over tasks: ``"header"`` keeps the run of lines behind a header in one row and needs no shuffle of
+    sequences; ``"line"`` is for files with few or no headers, whose records end at blank lines. Both
+    give the same rows.
     """
     if layout not in ("sample", "file", "folder"):
         raise ValueError("layout must be 'sample', 'file' or 'folder'")
+    if cut not in ("header", "line"):
+        raise ValueError("cut must be 'header' or 'line'")
     pattern = f"{path.rstrip('/')}/*/*" if layout == "folder" else path
+    if cut == "line":
+        lines = _lines(spark, pattern, ignore_broken).withColumn("sample", _sample(spark, path, layout))
+        rows = _records_of_lines(lines, drop_empty)
+        return rows.withColumn("seq", F.reverse("seq")) if reverse else rows
     blocks = _blocks(spark, pattern, ignore_broken)
 
     # The first block of a file has no separator before it, the last one ends with the file.
@@ -88,16 +168,7 @@ def read_fasta(
         found = F.filter(found, lambda s: s != "")
     parsed = blocks.select("path", "file", "split", "row", header.alias("header"), found.alias("found"))
 
-    folders = F.split("path", "/")
-    sample = {
-        "sample": F.lit(None).cast("string"),
-        "file": sample_name("file"),
-        "folder": sample_name(F.element_at(folders, -2)),
-    }[layout]
-    if layout == "sample":
-        one_file = _is_file(spark, path)
-        sample = sample_name("file") if one_file else F.lit(sample_name_of(path))
-    parsed = parsed.withColumn("sample", sample)
+    parsed = parsed.withColumn("sample", _sample(spark, path, layout))
 
     # Record ids: records before the split + records before the block + place in the block. Only
     # one row per split takes part in the sum over splits.

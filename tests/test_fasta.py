@@ -1,5 +1,7 @@
 """FASTA grammar, ids over files and splits, and pair output."""
 
+import random
+
 from nearkin.sources.fasta import read_fasta, write_pairs
 
 CASES = [
@@ -32,12 +34,16 @@ def test_grammar(spark, tmp_path):
                 (tmp_path / f"{name}.fas").write_bytes(text.encode())
                 wanted[name] = expected
     for drop_empty in (False, True):
-        found = {}
-        rows = read_fasta(spark, str(tmp_path), layout="file", drop_empty=drop_empty)
-        for r in rows.orderBy("sample", "seq_id").collect():
-            assert r.seq_id == len(found.setdefault(r.sample, []))
-            found[r.sample].append(r.seq)
-        assert found == {n: [s for s in e if s or not drop_empty] for n, e in wanted.items()}
+        heads = []
+        for cut in ("header", "line"):
+            found = {}
+            rows = read_fasta(spark, str(tmp_path), layout="file", drop_empty=drop_empty, cut=cut).orderBy("sample", "seq_id").collect()
+            for r in rows:
+                assert r.seq_id == len(found.setdefault(r.sample, []))
+                found[r.sample].append(r.seq)
+            assert found == {n: [s for s in e if s or not drop_empty] for n, e in wanted.items()}
+            heads.append([r.header for r in rows])
+        assert heads[0] == heads[1]
 
 
 def test_old_mac_line_ends(spark, tmp_path):
@@ -73,6 +79,30 @@ def test_ids_do_not_depend_on_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_lines_do_not_depend_on_splits(spark, tmp_path):
+    rng = random.Random(3)
+    lines = [rng.choice(["", "", "A" * rng.randint(1, 30), "CG", "T" * 9, ">h" + str(n)]) for n in range(400)]
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "mixed" / "a.fas").write_text("\n".join(lines[:250]))
+    (tmp_path / "mixed" / "b.fas").write_text("\n".join(lines[250:]) + "\n")
+    (tmp_path / "bare").mkdir()
+    seqs = ["ACGT"[i % 4] * (1 + i * 7 % 60) for i in range(300)]
+    (tmp_path / "bare" / "one.fas").write_text("\n\n".join(s[:20] + "\n" * (len(s) > 20) + s[20:] for s in seqs))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    wanted = {d: read_fasta(spark, str(tmp_path / "mixed"), drop_empty=d).orderBy("seq_id").collect() for d in (False, True)}
+    assert len(wanted[False]) > len(wanted[True]) > 50
+    try:
+        for size in ("53", "700"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for drop_empty, rows in wanted.items():
+                assert read_fasta(spark, str(tmp_path / "mixed"), drop_empty=drop_empty, cut="line").orderBy("seq_id").collect() == rows
+        assert records(spark, tmp_path / "bare" / "one.fas", cut="line") == seqs
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "none.fas").write_text("")
+    assert records(spark, tmp_path / "none.fas", cut="line") == []
+
+
 def test_write_pairs(spark, tmp_path):
     out = str(tmp_path / "out")
     write_pairs(spark.createDataFrame([(0, 1), (0, 12)], "i int, j int"), out)
