@@ -16,14 +16,14 @@ def _check_threshold(k: int) -> None:
         raise ValueError("threshold must not be negative")
 
 
-def packed_hamming(left: Column | str, right: Column | str, packing: str) -> Column:
-    """Differing symbols of two packed strings; the longer one's tail counts in full."""
-    per_word, bits = PACKINGS[packing]
-    ones = sum(1 << (bits * i) for i in range(per_word))
+def _differing_words(left: Column | str, right: Column | str) -> Column:
     zero = F.lit(0).cast("bigint")
+    return F.zip_with(_col(left), _col(right), lambda x, y: F.coalesce(x, zero).bitwiseXOR(F.coalesce(y, zero)))
 
-    def differing(x: Column, y: Column) -> Column:
-        return F.coalesce(x, zero).bitwiseXOR(F.coalesce(y, zero))
+
+def _differing_symbols(words: Column, packing: str) -> Column:
+    per_word, bits = PACKINGS[packing]
+    ones = sum(1 << (bits * i) for i in range(per_word))
 
     def count(total: Column, diff: Column) -> Column:
         # Fold each symbol's bits onto its lowest one.
@@ -36,7 +36,28 @@ def packed_hamming(left: Column | str, right: Column | str, packing: str) -> Col
                 shift //= 2
         return total + F.bit_count(folded.bitwiseAND(F.lit(ones)))
 
-    return F.aggregate(F.zip_with(_col(left), _col(right), differing), F.lit(0), count)
+    return F.aggregate(words, F.lit(0), count)
+
+
+def packed_hamming(left: Column | str, right: Column | str, packing: str) -> Column:
+    """Differing symbols of two packed strings; the longer one's tail counts in full."""
+    return _differing_symbols(_differing_words(left, right), packing)
+
+
+def packed_hamming_bounded(left: Column | str, right: Column | str, k: int, packing: str) -> Column:
+    """The same, or -1 above ``k``.
+
+    Equal words are skipped, and more than ``k`` differing words decide before any symbol is counted.
+    """
+    _check_threshold(k)
+    words = F.filter(_differing_words(left, right), lambda w: w != 0)
+
+    def judged(words: Column) -> Column:
+        d = _differing_symbols(words, packing)
+        return F.when(F.size(words) > k, -1).otherwise(F.when(d <= k, d).when(d > k, -1))
+
+    # Bound to a variable, so that words are compared once.
+    return F.element_at(F.transform(F.array(words), judged), 1)
 
 
 def padded_hamming(left: Column | str, right: Column | str, packing: str = "unicode") -> Column:
@@ -47,16 +68,20 @@ def padded_hamming(left: Column | str, right: Column | str, packing: str = "unic
 def hamming(left: Column | str, right: Column | str, packing: str = "unicode") -> Column:
     """Positions at which two strings of one length differ; anything else raises."""
     left, right = _col(left), _col(right)
+    return _same_length(left, right, padded_hamming(left, right, packing))
+
+
+def _same_length(left: Column, right: Column, value: Column) -> Column:
     legal = left.isNotNull() & right.isNotNull() & (F.length(left) == F.length(right))
     message = F.lit("Hamming distance needs two strings of the same length")
-    return F.when(legal, padded_hamming(left, right, packing)).otherwise(F.raise_error(message).cast("int"))
+    return F.when(legal, value).otherwise(F.raise_error(message).cast("int"))
 
 
 def hamming_bounded(left: Column | str, right: Column | str, k: int, packing: str = "unicode") -> Column:
     """Hamming distance, or -1 above ``k``."""
-    _check_threshold(k)
-    d = hamming(left, right, packing)
-    return F.when(d <= k, d).otherwise(-1)
+    left, right = _col(left), _col(right)
+    d = packed_hamming_bounded(packed_words(left, packing), packed_words(right, packing), k, packing)
+    return _same_length(left, right, d)
 
 
 def _not_null(left: Column, right: Column, value: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.functions.distance import bounded_levenshtein, packed_hamming
+from nearkin.functions.distance import bounded_levenshtein, packed_hamming_bounded
 from nearkin.functions.encode import DEFAULT_ALPHABET, PACKINGS, chunks_at, equal_chunks, packed_words, packing_of
 from nearkin.operators.profile import entropy, entropy_chunks, profile
 from nearkin.plans import candidates as cand
@@ -181,7 +181,7 @@ class SimilarityJoin:
             F.col("u").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("sample", "id", "n", "seq", "len", "words")]
         )
         pairs = self.candidates(complete).join(side("a"), "a").join(side("b"), "b")
-        near = packed_hamming("words_a", "words_b", self.stats.packing) <= self.k
+        near = packed_hamming_bounded("words_a", "words_b", self.k, self.stats.packing) >= 0
         b_probes = F.col("len_b") > F.col("len_a")
         probe = F.when(b_probes, F.col("seq_b")).otherwise(F.col("seq_a"))
         partner = F.when(b_probes, F.col("seq_a")).otherwise(F.col("seq_b"))

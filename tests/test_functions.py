@@ -61,8 +61,14 @@ def test_packed_hamming(spark, packing, alphabet):
         x, y = word(), word()
         y = x[: len(y)] + y[len(x) :] if rng.random() < 0.5 else y
         rows.append((x, y, sum(a != b for a, b in zip(x, y)) + abs(len(x) - len(y))))
-    found = values(spark, rows, "x string, y string, want int", d.padded_hamming("x", "y", packing), "want")
-    assert all(a == b for a, b in found)
+    packed = [e.packed_words(c, packing) for c in "xy"]
+    bounded = [d.packed_hamming_bounded(*packed, k, packing) for k in (0, 3, 50)]
+    found = values(spark, rows, "x string, y string, want int", d.padded_hamming("x", "y", packing), "want", *bounded)
+    for a, b, *within in found:
+        assert a == b
+        assert within == [b if b <= k else -1 for k in (0, 3, 50)]
+    plan = spark.range(1).select(d.packed_hamming_bounded(F.array(F.col("id")), F.array(F.lit(1)), 3, packing))
+    assert plan.first()[0] >= 0
 
 
 def test_lmers_and_chunks(spark):
