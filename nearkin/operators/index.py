@@ -68,7 +68,8 @@ def ranked_chunks(probes: DataFrame, frequencies: DataFrame, key: str, on: list[
     one row's chunks, so its size is bounded by the length of one string.
     """
     order = Window.partitionBy(key).orderBy("freq", "pos")
-    return probes.join(frequencies, on).withColumn("rank", F.row_number().over(order))
+    # Spark sees the size of the table the frequencies come from, not theirs: no broadcast.
+    return probes.join(frequencies.hint("merge"), on).withColumn("rank", F.row_number().over(order))
 
 
 def rarest_chunks(ranked: DataFrame, key: str, hits: Column) -> DataFrame:

@@ -179,3 +179,12 @@ def test_index_and_consensus_in_one_count(spark):
     assert sorted(map(tuple, called.collect())) == sorted(map(tuple, profile.consensus(df, "seq", ["sample"]).collect()))
     whole, one = profile.index_and_consensus(df.limit(0), "seq", 3)
     assert whole.count() == 0 and one.collect() == profile.consensus(df.limit(0), "seq").collect()
+
+
+def test_chunk_frequencies_are_not_broadcast(spark):
+    """The table behind them is small, but there may be many more chunks than rows."""
+    rows = spark.createDataFrame([(i, "ACGT" * 5 + "ACGA"[i % 4] * 4) for i in range(20)], "id bigint, seq string")
+    probes = index.chunk_rows(rows, index.equal_chunks("seq", 4), ["id"]).withColumnRenamed("chunk", "lmer")
+    ranked = index.ranked_chunks(probes, index.lmer_frequency(rows, "seq", 4), "id", ["lmer"])
+    assert "Broadcast" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert ranked.count() == 120 and ranked.where("rank = 6").select("freq").distinct().collect()[0].freq == 20
