@@ -1,6 +1,6 @@
 """Encodings of one string: padding, digits, l-mers, chunks and packed words.
 
-Every function maps Columns to a Column and stays inside the JVM.
+Every function maps Columns to a Column and, sketches aside, stays inside the JVM.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,3 +183,43 @@ def packing_of(seq: Column | str) -> Column:
         .when((F.octet_length(seq) == F.length(seq)) & ~F.contains(seq, F.lit("\0")), 1)
         .otherwise(2)
     )
+
+
+# Parities of a string's pairs of neighbouring symbols, in so many words of 64 bits.
+SKETCH = ("s0", "s1", "s2", "s3")
+_PAIR_MIX, _BIT_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+# Symbols sketched together.
+SKETCH_SYMBOLS = 1 << 20
+
+
+def sketches(texts: list[str]) -> np.ndarray:
+    """One row of words for each text: bit ``b`` tells whether an odd number of its symbol pairs hash to ``b``.
+
+    An edit takes away or adds at most four pairs of neighbours, so it turns at most four bits.
+    """
+    bits = 64 * len(SKETCH)
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    mixed = (symbols[:-1] * _PAIR_MIX + symbols[1:]) * _BIT_MIX
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= _PAIR_MIX
+    row = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+    inside = row[:-1] == row[1:]
+    place = row[:-1][inside] * bits + (mixed[inside] >> np.uint64(56)).astype(np.int64) % bits
+    odd = np.bincount(place, minlength=len(texts) * bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(len(texts), len(SKETCH))
+
+
+def sketch(seq: Column | str) -> Column:
+    """The sketch of a string as an ``array<bigint>``."""
+
+    @F.arrow_udf("array<bigint>")
+    def words(texts: pa.Array) -> pa.Array:
+        sizes = np.cumsum(pa.compute.coalesce(pa.compute.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+        part = sizes // SKETCH_SYMBOLS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        found = [sketches([t or "" for t in texts[i:j].to_pylist()]) for i, j in zip(cuts, cuts[1:]) if j > i]
+        flat = np.concatenate([f.ravel() for f in found]) if found else np.empty(0, dtype=np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(SKETCH)), pa.array(flat))
+
+    return words(_col(seq))

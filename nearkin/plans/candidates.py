@@ -25,12 +25,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearkin.functions.encode import equal_chunks, lmer_set, lmers
+from nearkin.functions.encode import SKETCH, equal_chunks, lmer_set, lmers
 from nearkin.session import materialize
 
 # Most deletion keys one string may produce.
@@ -42,8 +43,10 @@ FREQUENT_KEY = 1000
 # key. Units are dealt by hash, so blocks are planned smaller by a margin that chance does not use up.
 KEY_BLOCK = 10_000
 MARGIN = 0.9
-# Columns of a prefix; ``pos`` only where places count.
-PREFIX = ("u", "sample", "len", "key", "freq", "pos")
+# Columns of a prefix; ``pos`` only where places count, sketches only where related pairs alone are wanted.
+PREFIX = ("u", "sample", "len", *SKETCH, "key", "freq", "pos")
+# Pairs for each string that pieces may propose before signatures are considered.
+FEW_PAIRS = 100
 # Chunks are not made shorter than this to get around frequent ones.
 MIN_CHUNK = 4
 
@@ -83,6 +86,19 @@ def _near(left: Column, right: Column, k: int) -> Column:
     return F.abs(left - right) <= k
 
 
+def _carried(units: DataFrame) -> list[str]:
+    """What key rows know of their unit."""
+    return [c for c in ("u", "sample", "len", *SKETCH) if c in units.columns]
+
+
+def _alike(units: DataFrame, k: int) -> Column:
+    """False only if sketches, where there are some, tell that the distance is above ``k``: an edit turns four bits at most."""
+    if SKETCH[0] not in units.columns:
+        return F.lit(True)
+    turned = (F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH)
+    return reduce(lambda left, right: left + right, turned) <= 4 * k
+
+
 def _written(keys: DataFrame) -> DataFrame:
     return keys if hasattr(keys, "written_to") else materialize(keys, "keys")
 
@@ -154,7 +170,52 @@ def _written_prefix(prefix: DataFrame) -> tuple[DataFrame, int]:
 # -- deletion keys ---------------------------------------------------------------------------
 
 
-def _deletion_keys(seq: Column, k: int) -> Column:
+def mask_count(length: int, k: int) -> int:
+    return sum(comb(length, d) for d in range(k + 1))
+
+
+def short_hamming_pairs(units: DataFrame, k: int, length: int, scope: Scope) -> DataFrame:
+    """``(a, b, n_a, n_b)``: all pairs within ``k`` of strings of one ``length``, each pair once, judged where they meet.
+
+    A string makes one row for each set of up to ``k`` places: these places' symbols, and the rest as key.
+    A pair is related if it meets at the set of exactly the places where it differs, and nowhere else.
+    """
+
+    def row(number: int, places: tuple[int, ...]) -> Column:
+        bounds = [-1, *places, length]
+        rest = [F.substring("core", i + 2, j - i - 1) for i, j in zip(bounds, bounds[1:]) if j - i > 1]
+        symbols = [F.substring("core", p + 1, 1) for p in places] + [F.lit(None).cast("string")] * (k - len(places))
+        return F.struct(F.lit(number).alias("mask"), F.concat(F.lit(""), *rest).alias("rest"), *[g.alias(f"g{i}") for i, g in enumerate(symbols)])
+
+    masks = [places for d in range(k + 1) for places in combinations(range(length), d)]
+    rows = units.select("u", "sample", "n", F.explode(F.array(*[row(i, m) for i, m in enumerate(masks)])).alias("row"))
+    rows = rows.select("u", "sample", "n", "row.*")
+    met = (F.col("x.mask") == F.col("y.mask")) & (F.col("x.rest") == F.col("y.rest")) & scope.allows() & (F.col("x.u") < F.col("y.u"))
+    for i in range(k):
+        met = met & (F.col(f"x.g{i}").isNull() | (F.col(f"x.g{i}") != F.col(f"y.g{i}")))
+    return _judged(rows.alias("x").join(rows.hint("merge").alias("y"), met))
+
+
+def short_edit_pairs(units: DataFrame, k: int, scope: Scope) -> DataFrame:
+    """``(a, b, n_a, n_b)``: all pairs within ``k`` edits, each pair once, judged where their deletions meet.
+
+    Different strings one edit apart have exactly one text in common, equal ones are taken at their whole text.
+    Beyond one edit a pair may meet at several texts, and its repeats are dropped after it was judged.
+    """
+    rows = units.select("u", "sample", "n", "core", F.explode(_deletions(F.col("core"), k)).alias("key"))
+    same = F.col("x.core") == F.col("y.core")
+    related = F.when(same, F.col("x.key") == F.col("x.core")).otherwise(F.levenshtein("x.core", "y.core", k) >= 0)
+    met = (F.col("x.key") == F.col("y.key")) & scope.allows() & (F.col("x.u") < F.col("y.u")) & related
+    pairs = _judged(rows.alias("x").join(rows.hint("merge").alias("y"), met))
+    return pairs if k < 2 else pairs.dropDuplicates(["a", "b"])
+
+
+def _judged(met: DataFrame) -> DataFrame:
+    return met.select(F.col("x.u").alias("a"), F.col("y.u").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+
+
+def _deletions(seq: Column, k: int) -> Column:
+    """The text and what is left of it after up to ``k`` deletions."""
     variants = F.array(seq)
     every = variants
     for _ in range(k):
@@ -165,7 +226,11 @@ def _deletion_keys(seq: Column, k: int) -> Column:
 
         variants = F.array_distinct(F.flatten(F.transform(variants, shorter)))
         every = F.concat(every, variants)
-    return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
+    return F.array_distinct(every)
+
+
+def _deletion_keys(seq: Column, k: int) -> Column:
+    return F.array_distinct(F.transform(_deletions(seq, k), lambda s: F.xxhash64(s)))
 
 
 def deletion_pairs(
@@ -182,9 +247,9 @@ def deletion_pairs(
         limit = min(limit, below - 1)
 
     def keyed(rows: DataFrame) -> DataFrame:
-        return rows.select("u", "sample", "len", F.explode(_deletion_keys(F.col("seq"), k)).alias("key"))
+        return rows.select(*_carried(rows), F.explode(_deletion_keys(F.col("seq"), k)).alias("key"))
 
-    apart = _near(F.col("x.len"), F.col("y.len"), k)
+    apart = _near(F.col("x.len"), F.col("y.len"), k) & _alike(units, k)
     if only is None:
         keys = keyed(units.where(F.col("len") <= limit))
         return _meet(keys, keys, apart & (F.col("x.u") < F.col("y.u")), scope)
@@ -208,15 +273,49 @@ def _segment_key(length: Column, m: Column, text: Column) -> Column:
     return F.xxhash64(length, m, text)
 
 
+def _proposed(x: DataFrame, y: DataFrame) -> tuple[int, int]:
+    """How many pairs two written key tables propose, and the most units that hold a key of both."""
+    count = lambda keys, name: keys.groupBy("key").agg(F.count(F.lit(1)).alias(name))
+    held = count(x, "rows").join(count(y, "columns"), "key")
+    found = held.agg(F.sum(F.col("rows") * F.col("columns").cast("double")), F.max(F.greatest("rows", "columns"))).first()
+    return int(found[0] or 0), found[1] or 0
+
+
 def segment_pairs(units: DataFrame, k: int, scope: Scope, shifts: bool, below: int | None = None) -> DataFrame:
+    probes, cut = _segment_keys(units, k, shifts, max(longest_for_deletions(k), k), below)
+    return _segments_met(units, k, scope, probes, cut, None)
+
+
+def _segments_met(units: DataFrame, k: int, scope: Scope, probes: DataFrame, cut: DataFrame, most: int | None) -> DataFrame:
+    shorter = (F.col("x.len") < F.col("y.len")) | (
+        (F.col("x.len") == F.col("y.len")) & (F.col("x.u") < F.col("y.u"))
+    )
+    return ordered(_meet(probes, cut, shorter & _alike(units, k), scope, most))
+
+
+def related_edit_pairs(units: DataFrame, k: int, l: int, scope: Scope, shortest: int, frequent: int, rows: int) -> DataFrame:
+    """Pairs whose longer string has more than ``k`` chunks of length ``l``, by pieces or by signature.
+
+    Each string makes a few pieces but as many l-mers as symbols, so pieces are tried first; where they
+    propose many pairs, as parts shared by most strings do, signatures are used if these propose fewer.
+    """
+    probes, cut = (materialize(keys, "keys") for keys in _segment_keys(units, k, True, l * (k + 1) - 1, None))
+    proposed, most = _proposed(probes, cut)
+    if proposed > FEW_PAIRS * rows:
+        prefix = _written_prefix(_edit_prefix(units, k, l, scope, None))
+        if (prefix[0].agg(F.sum("freq")).first()[0] or 0) < proposed:
+            return signature_edit_pairs(units, k, l, scope, shortest, frequent, prefix)
+    return _segments_met(units, k, scope, probes, cut, most)
+
+
+def _segment_keys(units: DataFrame, k: int, shifts: bool, limit: int, below: int | None) -> tuple[DataFrame, DataFrame]:
     """Pairs meeting on a piece of the longer string, beyond the reach of deletion keys.
 
     The longer string is cut; the other one looks for piece ``m`` where ``m`` earlier edits can
     have moved it from the left and ``k - m`` later ones from the right. ``shifts=False`` looks
-    at the piece's own place only, which is enough for Hamming distance. ``below`` restricts
-    the longer string to that length.
+    at the piece's own place only, which is enough for Hamming distance. The longer string has more
+    than ``limit`` symbols, and fewer than ``below``, if that is given.
     """
-    limit = max(longest_for_deletions(k), k)
     longer = units.where(F.col("len") > limit)
     if below is not None:
         longer = longer.where(F.col("len") < below)
@@ -226,7 +325,7 @@ def segment_pairs(units: DataFrame, k: int, scope: Scope, shifts: bool, below: i
         start, size = _segment(length, m, k)
         return _segment_key(length, m, F.substring(seq, start + 1, size))
 
-    cut = longer.select("u", "sample", "len", F.explode(F.transform(F.sequence(F.lit(0), F.lit(k)), own)).alias("key"))
+    cut = longer.select(*_carried(units), F.explode(F.transform(F.sequence(F.lit(0), F.lit(k)), own)).alias("key"))
 
     def looked_up(target: Column) -> Column:
         def at(m: Column) -> Column:
@@ -243,13 +342,8 @@ def segment_pairs(units: DataFrame, k: int, scope: Scope, shifts: bool, below: i
     first = F.greatest(length, F.lit(limit + 1))
     targets = F.when(length + k >= first, F.sequence(first, length + k)).otherwise(F.array().cast("array<int>"))
     partners = units if below is None else units.where(F.col("len") < below)
-    probes = partners.select(
-        "u", "sample", "len", F.explode(F.array_distinct(F.flatten(F.transform(targets, looked_up)))).alias("key")
-    )
-    shorter = (F.col("x.len") < F.col("y.len")) | (
-        (F.col("x.len") == F.col("y.len")) & (F.col("x.u") < F.col("y.u"))
-    )
-    return ordered(_meet(probes, cut, shorter, scope))
+    probes = partners.select(*_carried(units), F.explode(F.array_distinct(F.flatten(F.transform(targets, looked_up)))).alias("key"))
+    return probes, cut
 
 
 def tiny_pairs(units: DataFrame, k: int, scope: Scope) -> DataFrame:
@@ -320,7 +414,9 @@ def _split_frequent(prefix: DataFrame, most: int, k: int, frequent: int, shortes
     return prefix.where(~moved), prefix.where(moved).select("u").distinct()
 
 
-def signature_edit_pairs(units: DataFrame, k: int, l: int, scope: Scope, shortest: int, frequent: int | None = None) -> DataFrame:
+def signature_edit_pairs(
+    units: DataFrame, k: int, l: int, scope: Scope, shortest: int, frequent: int | None = None, written: tuple[DataFrame, int] | None = None
+) -> DataFrame:
     """Pairs ``(probe, partner)`` whose longer string has more than ``k`` chunks of length ``l``.
 
     The longer string (the first one on equal length) probes with its fixed-position chunks;
@@ -328,13 +424,16 @@ def signature_edit_pairs(units: DataFrame, k: int, l: int, scope: Scope, shortes
     chunks is among the candidates. With it only related pairs are sure to be: chunks have to be found
     within ``k`` places of their own, as ``k`` edits move them no further, and tokens held by more
     units than that are avoided, by deletion keys or finer chunks, where these propose fewer pairs.
+    ``written`` is the prefix, if it is there already, and the holders of its most frequent token.
     """
     first = (F.col("x.len") > F.col("y.len")) | (
         (F.col("x.len") == F.col("y.len")) & (F.col("x.u") < F.col("y.u"))
     )
-    condition = first & _near(F.col("x.len"), F.col("y.len"), k)
-    prefix = _edit_prefix(units, k, l, scope, None)
-    prefix, most = _written_prefix(prefix.drop("pos") if frequent is None else prefix)
+    condition = first & _near(F.col("x.len"), F.col("y.len"), k) & _alike(units, k)
+    if written is None:
+        prefix = _edit_prefix(units, k, l, scope, None)
+        written = _written_prefix(prefix.drop("pos") if frequent is None else prefix)
+    prefix, most = written
     if frequent is None:
         return _meet(prefix, _postings(units, l), condition, scope, most)
     prefix, moved = _split_frequent(prefix, most, k, frequent, shortest)
@@ -351,20 +450,20 @@ def signature_edit_pairs(units: DataFrame, k: int, l: int, scope: Scope, shortes
 
 def _postings(units: DataFrame, l: int) -> DataFrame:
     keys = F.transform(lmer_set("seq", l), lambda s: F.xxhash64(s))
-    return units.select("u", "sample", "len", F.explode(keys).alias("key"))
+    return units.select(*_carried(units), F.explode(keys).alias("key"))
 
 
 def _places(units: DataFrame, l: int, k: int) -> DataFrame:
     """Postings with the band of ``2 k + 1`` places an l-mer lies in, once for each band."""
     keys = F.transform(lmers("seq", l), lambda s, p: F.xxhash64(F.xxhash64(s), F.floor(p / (2 * k + 1))))
-    return units.select("u", "sample", "len", F.explode(F.array_distinct(keys)).alias("key"))
+    return units.select(*_carried(units), F.explode(F.array_distinct(keys)).alias("key"))
 
 
 def _reach(prefix: DataFrame, k: int) -> DataFrame:
     """A prefix with the bands, two at most, that a chunk moved by up to ``k`` places may lie in."""
     band = lambda place: F.floor(place / (2 * k + 1))
     bands = F.explode(F.sequence(band(F.col("pos") - k), band(F.col("pos") + k)))
-    return prefix.withColumn("band", bands).select("u", "sample", "len", F.xxhash64("key", "band").alias("key"))
+    return prefix.withColumn("band", bands).select(*_carried(prefix), F.xxhash64("key", "band").alias("key"))
 
 
 def _edit_prefix(units: DataFrame, k: int, l: int, scope: Scope, only: DataFrame | None) -> DataFrame:
@@ -374,10 +473,10 @@ def _edit_prefix(units: DataFrame, k: int, l: int, scope: Scope, only: DataFrame
         probing = probing.join(only, "u", "left_semi")
     n_chunks = F.floor(F.col("len") / l).cast("int")
     probes = probing.select(
-        "u", "sample", "len", n_chunks.alias("chunks"), F.posexplode(equal_chunks("seq", l)).alias("pos", "chunk")
+        *_carried(units), n_chunks.alias("chunks"), F.posexplode(equal_chunks("seq", l)).alias("pos", "chunk")
     )
     # A text that fills m chunks of the probe stays m rows: hits are counted per chunk.
-    probes = probes.select("u", "sample", "len", "chunks", (F.col("pos") * l).alias("pos"), F.xxhash64("chunk").alias("key"))
+    probes = probes.select(*_carried(units), "chunks", (F.col("pos") * l).alias("pos"), F.xxhash64("chunk").alias("key"))
     return _prefix(_with_frequencies(probes, _postings(units, l), scope), F.col("chunks") - k)
 
 
@@ -394,7 +493,8 @@ def _finer_prefix(
     if l // 2 < MIN_CHUNK or heavy.isEmpty():
         return None
     listed = materialize(heavy.select("u").distinct(), "heavy")
-    finer = materialize(_edit_prefix(units, k, l // 2, scope, listed).select(*PREFIX), "prefix")
+    finer = _edit_prefix(units, k, l // 2, scope, listed)
+    finer = materialize(finer.select(*[c for c in PREFIX if c in finer.columns]), "prefix")
     proposed = lambda rows: rows.agg(F.sum("freq")).first()[0] or 0
     return finer if proposed(finer) < proposed(heavy) else None
 
@@ -418,10 +518,10 @@ def signature_hamming_pairs(
     Rarity is one order over all tokens, so the rarest shared token lies in the prefix of both
     sides and only prefixes are shuffled for the join.
     """
-    tokens = units.select("u", "sample", "len", hits.alias("hits"), F.posexplode(chunks).alias("pos", "chunk"))
-    tokens = tokens.select("u", "sample", "len", "hits", F.xxhash64("pos", "chunk").alias("key"))
+    tokens = units.select(*_carried(units), hits.alias("hits"), F.posexplode(chunks).alias("pos", "chunk"))
+    tokens = tokens.select(*_carried(units), "hits", F.xxhash64("pos", "chunk").alias("key"))
     prefix, most = _written_prefix(_prefix(_with_frequencies(tokens, tokens, scope), F.col("hits")))
-    near = _near(F.col("x.len"), F.col("y.len"), k)
+    near = _near(F.col("x.len"), F.col("y.len"), k) & _alike(units, k)
     long_enough = F.greatest(F.col("x.len"), F.col("y.len")) >= long_from
     parts = []
     if frequent is not None and most > frequent:

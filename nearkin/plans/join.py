@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions.distance import bounded_levenshtein, packed_hamming_bounded
-from nearkin.functions.encode import DEFAULT_ALPHABET, PACKINGS, chunks_at, equal_chunks, packed_words, packing_of
+from nearkin.functions.encode import DEFAULT_ALPHABET, PACKINGS, SKETCH, chunks_at, equal_chunks, packed_words, packing_of, sketch
 from nearkin.operators.profile import entropy, entropy_chunks, profile
 from nearkin.plans import candidates as cand
 from nearkin.session import materialize
@@ -18,6 +19,8 @@ from nearkin.session import materialize
 COPY_BLOCK = 2000
 # Symbols of a partition of distinct strings.
 PARTITION_SYMBOLS = 1 << 26
+# Length up to which strings are looked at for a start and an end that all have, and distances are measured in the JVM.
+SHORT = 256
 
 
 @dataclass(frozen=True)
@@ -29,6 +32,9 @@ class Stats:
     shortest: int
     longest: int
     packing: str
+    # Symbols that all strings start and end with, if none is longer than ``SHORT``.
+    start: int = 0
+    end: int = 0
 
 
 @dataclass(frozen=True)
@@ -86,10 +92,29 @@ class SimilarityJoin:
             F.min(n).alias("shortest"),
             F.max(n).alias("longest"),
             F.max(packing_of(self.seq)).alias("packing"),
+            *[f(F.substring(s, 1, SHORT)).alias(f.__name__ + at) for f in (F.min, F.max) for at, s in (("_start", F.col(self.seq)), ("_end", F.reverse(self.seq)))],
         ).first()
         if row.rows != row.strings:
             raise ValueError("strings must not be null")
-        return Stats(row.rows, row.symbols or 0, row.shortest or 0, row.longest or 0, list(PACKINGS)[row.packing or 0])
+        start = end = 0
+        if 0 < (row.longest or 0) <= SHORT:
+            start = len(os.path.commonprefix([row.min_start, row.max_start]))
+            end = min(row.shortest - start, len(os.path.commonprefix([row.min_end, row.max_end])))
+        return Stats(row.rows, row.symbols or 0, row.shortest or 0, row.longest or 0, list(PACKINGS)[row.packing or 0], start, end)
+
+    @cached_property
+    def _short(self) -> bool:
+        """Whether few enough keys tell all pairs apart by themselves, so that pairs are judged where they meet.
+
+        Symbols that all strings start and end with take no part. Keys then have few holders, copies being one.
+        """
+        s = self.stats
+        if not self.collapse or self.strict or s.longest > SHORT:
+            return False
+        length = s.longest - s.start - s.end
+        if self.metric == "edit":
+            return length <= cand.longest_for_deletions(self.k)
+        return s.shortest == s.longest and cand.mask_count(length, self.k) <= cand.MAX_DELETION_KEYS
 
     @property
     def _rows(self) -> DataFrame:
@@ -98,7 +123,7 @@ class SimilarityJoin:
 
     @cached_property
     def units(self) -> DataFrame:
-        """``(u, sample, id, n, seq, len, words)``: the strings to join, written once."""
+        """``(u, sample, id, n, seq, len, words)`` and their sketches: the strings to join, written once."""
         if self.collapse:
             grouped = self._rows.groupBy("sample", "seq").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
         else:
@@ -107,6 +132,8 @@ class SimilarityJoin:
         cores = self.df.sparkSession.sparkContext.defaultParallelism
         grouped = grouped.repartition(max(cores, self.stats.symbols // PARTITION_SYMBOLS))
         identity = F.col("id") if self.sample is None else F.struct("sample", "id")
+        words = [] if self._short else [sketch("seq").alias("sketch")]
+        grouped = grouped.select("*", *words)
         return materialize(
             grouped.select(
                 identity.alias("u"),
@@ -116,6 +143,7 @@ class SimilarityJoin:
                 "seq",
                 F.length("seq").alias("len"),
                 packed_words("seq", self.stats.packing).alias("words"),
+                *[F.get("sketch", F.lit(i)).alias(c) for i, c in enumerate(SKETCH) if words],
             ),
             "units",
         )
@@ -149,6 +177,8 @@ class SimilarityJoin:
         frequent = None if complete else self.frequent
         s, k, scope = self.stats, self.k, cand.Scope(self.scope)
         shifts = self.metric == "edit"
+        # Sketches rule out pairs that are not related.
+        units = self.units.drop(*SKETCH) if complete else self.units
         if self.chunks is not None:
             long_from = 0 if self.chunks > k else s.longest + 1
         elif self.l is not None:
@@ -157,17 +187,19 @@ class SimilarityJoin:
             long_from = s.longest + 1
         parts = []
         if long_from <= s.longest:
-            if self.metric == "edit":
-                parts.append(cand.signature_edit_pairs(self.units, k, self.l, scope, s.shortest, frequent))
+            if self.metric == "edit" and not complete:
+                parts.append(cand.related_edit_pairs(units, k, self.l, scope, s.shortest, frequent, s.rows))
+            elif self.metric == "edit":
+                parts.append(cand.signature_edit_pairs(units, k, self.l, scope, s.shortest, frequent))
             else:
                 parts.append(
                     cand.signature_hamming_pairs(
-                        self.units, k, self._chunks("seq"), self._hits_needed("len"), scope, s.shortest, long_from, frequent, self.l
+                        units, k, self._chunks("seq"), self._hits_needed("len"), scope, s.shortest, long_from, frequent, self.l
                     )
                 )
         if s.shortest < long_from:
             below = long_from if long_from <= s.longest else None
-            parts.append(cand.parameter_free_pairs(self.units, k, scope, shifts, s.shortest, s.longest, below))
+            parts.append(cand.parameter_free_pairs(units, k, scope, shifts, s.shortest, s.longest, below))
         return cand.ordered(reduce(DataFrame.union, parts)).repartition("a", "b").distinct()
 
     def compared(self, complete: bool = True) -> DataFrame:
@@ -201,7 +233,11 @@ class SimilarityJoin:
             # well, or Hamming distance is asked for anyway, pairs that it accepts are not measured.
             close = near if complete or self.stats.packing == "dna" else F.lit(False)
             far = lambda c: F.when(~close, F.col(c))
-            related = close | (F.coalesce(bounded_levenshtein(far("seq_a"), far("seq_b"), self.k), F.lit(-1)) != -1)
+            if self.stats.longest <= SHORT:
+                distance = F.levenshtein(far("seq_a"), far("seq_b"), self.k)
+            else:
+                distance = bounded_levenshtein(far("seq_a"), far("seq_b"), self.k)
+            related = close | (F.coalesce(distance, F.lit(-1)) != -1)
         if self.strict and self._signed:
             related = related & (needed > 1)
         return pairs.select("*", near.alias("near"), enough.alias("enough"), hits.alias("hits"), related.alias("related"))
@@ -222,7 +258,18 @@ class SimilarityJoin:
         names = ["a", "b", "n_a", "n_b"]
         if "judged" in self.__dict__:
             return self.judged.where("related").select(*names)
-        return materialize(self.compared(complete=False).where("related").select(*names), "related")
+        return materialize(self._found(), "related")
+
+    def _found(self) -> DataFrame:
+        """Related pairs ``(a, b, n_a, n_b)``."""
+        if not self._short:
+            return self.compared(complete=False).where("related").select("a", "b", "n_a", "n_b")
+        s, scope = self.stats, cand.Scope(self.scope)
+        core = F.substring("seq", s.start + 1, F.length("seq") - s.start - s.end) if s.start or s.end else F.col("seq")
+        units = self.units.select("u", "sample", "n", core.alias("core"))
+        if self.metric == "edit":
+            return cand.short_edit_pairs(units, self.k, scope)
+        return cand.short_hamming_pairs(units, self.k, s.longest - s.start - s.end, scope)
 
     # -- results -----------------------------------------------------------------------------
 
@@ -233,14 +280,14 @@ class SimilarityJoin:
         ``n`` copies of one string are related to each other as well; listing those pairs is
         left to :meth:`edges`.
         """
-        found = self.compared(complete=False).where("related")
         names = {
             "all": [],
-            "within": [F.col("sample_a").alias("sample")],
-            "across": [F.col("sample_a").alias("sample1"), F.col("sample_b").alias("sample2")],
+            "within": [F.col("a.sample").alias("sample")],
+            "across": [F.col("a.sample").alias("sample1"), F.col("b.sample").alias("sample2")],
         }[self.scope]
-        return found.select(
-            *names, F.col("id_a").alias("i"), F.col("id_b").alias("j"), F.col("n_a").alias("n_i"), F.col("n_b").alias("n_j")
+        own = lambda c: F.col(f"{c}.id") if self.sample else F.col(c)
+        return self._found().select(
+            *names, own("a").alias("i"), own("b").alias("j"), F.col("n_a").alias("n_i"), F.col("n_b").alias("n_j")
         )
 
     def edges(self) -> DataFrame:

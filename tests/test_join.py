@@ -267,3 +267,49 @@ def test_bounded_distance_of_long_strings():
     for _ in range(20):
         edits_within([long], [edited], 8)
     assert (time.perf_counter() - start) / 20 < 0.05
+
+
+def test_short_strings_are_judged_where_they_meet(spark):
+    """Names that share their start: one join of keys decides, each pair once, and no text is attached to pairs."""
+    rng = random.Random(9)
+    rows = [(rng.choice("st"), i, f"Name#000{rng.randrange(2000):04d}z") for i in range(250)]
+    uneven = [(s, i, t.replace("7", "") if i % 3 else t) for s, i, t in rows]
+    for options, data in ((dict(k=1, metric="edit"), uneven), (dict(k=2, metric="edit"), uneven), (dict(k=2, metric="hamming"), rows), (dict(k=0, metric="hamming"), rows)):
+        df = spark.createDataFrame(data, "sample string, seq_id int, seq string")
+        for scope in ("all", "within", "across"):
+            join = SimilarityJoin(df, scope=scope, sample=None if scope == "all" else "sample", **options)
+            plan = join.pairs()._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == 1 and "Python" not in plan and "ArrowEval" not in plan
+            edges = [tuple(r) for r in join.edges().collect()]
+            named = data if scope != "all" else [("", i, t) for _, i, t in data]
+            assert len(edges) == len(set(edges)) and set(edges) == brute(named, options["k"], options["metric"], scope), (options, scope)
+
+
+def test_reads_are_joined_by_pieces(spark, monkeypatch):
+    """A few pieces a string, not all its l-mers, where pieces are rare; signatures where a part is in all strings."""
+    rows = [("", i, t) for i, (_, _, t) in enumerate(family_strings(12, 60, [64]))]
+    df = spark.createDataFrame(rows, "sample string, seq_id int, seq string").drop("sample")
+    wanted = brute(rows, 3, "edit", "all")
+    monkeypatch.setattr(candidates, "_places", None)
+    assert {tuple(r) for r in SimilarityJoin(df, 3, "edit", l=12).edges().collect()} == wanted
+    monkeypatch.undo()
+    monkeypatch.setattr(candidates, "FEW_PAIRS", 0)
+    assert {tuple(r) for r in SimilarityJoin(df, 3, "edit", l=12).edges().collect()} == wanted
+
+
+def test_an_edit_turns_four_bits_of_a_sketch_at_most():
+    from nearkin.functions.encode import sketches
+
+    rng = random.Random(5)
+    for k in (1, 3, 8):
+        texts = ["".join(rng.choice("abcdé☃") for _ in range(rng.choice([0, 1, 2, 30, 400]))) for _ in range(200)]
+        others = []
+        for t in texts:
+            for _ in range(k):
+                p = rng.randint(0, len(t))
+                t = rng.choice([t[:p] + "x" + t[p:], t[:p] + t[p + 1 :], t[:p] + "é" + t[p + 1 :]])
+            others.append(t)
+        turned = [sum(int(w).bit_count() for w in row.view("<u8")) for row in sketches(texts) ^ sketches(others)]
+        assert max(turned) <= 4 * k
+    far = sketches(["".join(chr(rng.randrange(97, 160)) for _ in range(500)) for _ in range(2)])
+    assert sum(int(w).bit_count() for w in (far[0] ^ far[1]).view("<u8")) > 64
