@@ -412,7 +412,7 @@ def qgram_similarity(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     pairs = docs.select(F.col("doc_id").alias("x"), (F.col("doc_id") + 1).alias("y"))
     pairs = pairs.join(docs.select(F.col("doc_id").alias("y")), "y", "left_semi").select("x", "y")
-    return qgram.qgram_similarity(pairs, "x", "y", qgram.qgram_profile(docs, "doc_id", "text"), "doc_id")
+    return qgram.text_similarity(pairs, "x", "y", docs, "doc_id", "text")
 
 
 _GRAMS = (

@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -185,11 +186,46 @@ def packing_of(seq: Column | str) -> Column:
     )
 
 
+# Symbols taken apart together.
+SLICE_SYMBOLS = 1 << 20
+
+
+def slices(texts: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of rows with about ``SLICE_SYMBOLS`` symbols each; a longer row is one of its own."""
+    part = np.cumsum(pc.coalesce(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)) // SLICE_SYMBOLS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return [(i, j) for i, j in zip(cuts, cuts[1:]) if j > i]
+
+
+def counted_lmers(texts: list[str], groups: np.ndarray, l: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Each group's distinct l-mers with their numbers; ``groups`` has a small number for every text.
+
+    An l-mer is the number that its symbols are the digits of, in the base of the symbols in use. Where numbers
+    would grow too large, they are replaced by their ranks.
+    """
+    whole = "".join(texts)
+    symbols = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    starts = np.flatnonzero(row[: len(row) - l + 1] == row[l - 1 :]) if len(row) >= l else np.empty(0, dtype=np.int64)
+    if not len(starts):
+        return np.empty(0, dtype=np.int64), [], np.empty(0, dtype=np.int64)
+    present = np.zeros(int(symbols.max()) + 1, dtype=np.int64)
+    present[symbols] = 1
+    base, digits = int(present.sum()), (np.cumsum(present) - 1)[symbols]
+    codes, bound = groups[row[starts]].astype(np.int64), int(groups.max()) + 1
+    for place in range(l):
+        if bound * base >= 1 << 62:
+            known, codes = np.unique(codes, return_inverse=True)
+            bound = len(known)
+        codes, bound = codes * base + digits[starts + place], bound * base
+    _, first, counts = np.unique(codes, return_index=True, return_counts=True)
+    at = starts[first]
+    return groups[row[at]], [whole[i : i + l] for i in at.tolist()], counts
+
+
 # Parities of a string's pairs of neighbouring symbols, in so many words of 64 bits.
 SKETCH = ("s0", "s1", "s2", "s3")
 _PAIR_MIX, _BIT_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-# Symbols sketched together.
-SKETCH_SYMBOLS = 1 << 20
 
 
 def sketches(texts: list[str]) -> np.ndarray:
@@ -215,10 +251,7 @@ def sketch(seq: Column | str) -> Column:
 
     @F.arrow_udf("array<bigint>")
     def words(texts: pa.Array) -> pa.Array:
-        sizes = np.cumsum(pa.compute.coalesce(pa.compute.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
-        part = sizes // SKETCH_SYMBOLS
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
-        found = [sketches([t or "" for t in texts[i:j].to_pylist()]) for i, j in zip(cuts, cuts[1:]) if j > i]
+        found = [sketches([t or "" for t in texts[i:j].to_pylist()]) for i, j in slices(texts)]
         flat = np.concatenate([f.ravel() for f in found]) if found else np.empty(0, dtype=np.int64)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(SKETCH)), pa.array(flat))
 

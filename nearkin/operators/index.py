@@ -5,12 +5,16 @@ A sample is a set of rows ``(sample, id, seq)``; functions take the column names
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearkin.functions.encode import equal_chunks, lmer_set, lmers
+from nearkin.functions.encode import counted_lmers, equal_chunks, lmer_set, lmers, slices
 from nearkin.operators.graph import number_in_order
-from nearkin.session import materialize
+from nearkin.session import materialize, spread
 
 # Bits of a word of samples.
 WORD = 64
@@ -24,12 +28,31 @@ def lmer_rows(df: DataFrame, seq: str, l: int, keep: list[str]) -> DataFrame:
 
 
 def lmer_index(df: DataFrame, seq: str, l: int, keep: list[str]) -> DataFrame:
-    """Inverted index as postings: each distinct l-mer of a row, once. Needs no shuffle."""
-    return df.select(*keep, F.explode(lmer_set(seq, l)).alias("lmer"))
+    """Inverted index as postings: each distinct l-mer of a row, once. Tasks are as many as the strings need."""
+    rows = spread(df.select(*keep, F.col(seq).alias("_seq")), "_seq")
+    return rows.select(*keep, F.explode(lmer_set("_seq", l)).alias("lmer"))
 
 
 def distinct_lmers(df: DataFrame, seq: str, l: int, by: list[str]) -> DataFrame:
-    return lmer_index(df, seq, l, by).distinct()
+    """Distinct l-mers of all rows of a group; those of some megabytes of rows are made distinct before they are rows."""
+    if l < 1:
+        return lmer_index(df, seq, l, by).distinct()
+    rows = df.select(*by, F.col(seq).alias("_seq"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(by))
+            for i, j in slices(texts):
+                some = batch.slice(i, j - i)
+                numbers: dict = {}
+                names = zip(*(some.column(c).to_pylist() for c in range(len(by)))) if by else [()] * len(some)
+                groups = np.array([numbers.setdefault(repr(n), (len(numbers), at))[0] for at, n in enumerate(names)], dtype=np.int64)
+                of, grams, _ = counted_lmers([t or "" for t in some.column(len(by)).to_pylist()], groups, l)
+                at = pa.array(np.array([at for _, at in numbers.values()], dtype=np.int64)[of])
+                yield pa.RecordBatch.from_arrays([*(some.column(c).take(at) for c in range(len(by))), pa.array(grams, pa.string())], [*by, "lmer"])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_seq"] + ["lmer string"])
+    return rows.mapInArrow(found, schema).distinct()
 
 
 def chunk_rows(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:

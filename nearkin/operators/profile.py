@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions.encode import DEFAULT_ALPHABET, digit_to_letter, lmer_set
-from nearkin.session import materialize
+from nearkin.session import materialize, spread
 
 # Smallest frequency that counts in entropy, smallest major-allele frequency,
 # widest entropy chunk, symbol of a position nobody covers, symbol left out of a consensus.
@@ -113,7 +113,8 @@ def index_and_consensus(df: DataFrame, seq: str, l: int, by: list[str] = [], alp
     """
     lmers = F.transform(lmer_set(seq, l), lambda s: F.struct(F.lit(-1).alias("pos"), s.alias("sym")))
     symbols = F.transform(F.split(seq, ""), lambda s, i: F.struct(i.alias("pos"), s.alias("sym")))
-    cells = df.select(*by, F.explode(F.concat(lmers, symbols)).alias("cell")).select(*by, "cell.pos", "cell.sym")
+    # A task's own counts are held in memory, so a task gets some megabytes of strings.
+    cells = spread(df.select(*by, seq), seq).select(*by, F.explode(F.concat(lmers, symbols)).alias("cell")).select(*by, "cell.pos", "cell.sym")
     counts = materialize(cells.groupBy(*by, "pos", "sym").agg(F.count(F.lit(1)).alias("cnt")), "counts")
     digit = F.instr(F.lit(alphabet), F.col("sym")) - 1
     called = counts.withColumn("digit", digit).where("pos >= 0 and length(sym) = 1 and digit >= 0")

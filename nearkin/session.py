@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "nearkin", cores: str | None = None, **conf: str) -> SparkSession:
@@ -58,6 +59,20 @@ def peak_memory(spark: SparkSession) -> int:
     return max(peaks)
 
 
+# Symbols that one task takes apart.
+TASK_SYMBOLS = 1 << 22
+
+
+def spread(df: DataFrame, text: str) -> DataFrame:
+    """The rows over as many tasks as the symbols of ``text`` need, where that is more than the session's cores.
+
+    A small compressed file is read by few tasks, whatever its strings are taken apart into.
+    """
+    symbols = df.agg(F.sum(F.length(text))).first()[0] or 0
+    tasks = -(-symbols // TASK_SYMBOLS)
+    return df.repartition(tasks) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 # Frees the shuffle files of a query as soon as its output is written.
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

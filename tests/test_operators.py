@@ -188,3 +188,53 @@ def test_chunk_frequencies_are_not_broadcast(spark):
     ranked = index.ranked_chunks(probes, index.lmer_frequency(rows, "seq", 4), "id", ["lmer"])
     assert "Broadcast" not in ranked._jdf.queryExecution().executedPlan().toString()
     assert ranked.count() == 120 and ranked.where("rank = 6").select("freq").distinct().collect()[0].freq == 20
+
+
+def test_grams_of_keys_of_one_row_and_of_several(spark):
+    """Counted before they are rows: keys of one row are not shuffled, pairs get texts instead of grams."""
+    from collections import Counter
+
+    from nearkin.operators import qgram
+
+    texts = [(1, "aab  aab\n\taab"), (2, "aab éé aab\U0001f600aab"), (3, None), (4, ""), (5, "aa"), (6, "x" * 3000 + "aab aab"), (7, "b aab")]
+    doubled = texts + [(2, "aab"), (None, "aabc"), (None, "aab")]
+    for rows in (texts, doubled):
+        df = spark.createDataFrame(rows, "id bigint, text string")
+        wanted = {}
+        for key, text in rows:
+            plain = " ".join(filter(None, ["".join(" " if c.isspace() else c for c in text or "")]))
+            while "  " in plain:
+                plain = plain.replace("  ", " ")
+            wanted.setdefault(key, Counter()).update(plain[i : i + 3] for i in range(len(plain) - 2))
+        found = {}
+        for r in qgram.qgram_profile(df, "id", "text").collect():
+            assert (r.id, r.gram) not in found
+            found[r.id, r.gram] = r.cnt
+        assert found == {(k, g): n for k, c in wanted.items() for g, n in c.items()}
+        ids = [i for i, _ in texts]
+        pairs = spark.createDataFrame([(i, j) for i in ids for j in ids], "x bigint, y bigint")
+        got = {(r.x, r.y): r.similarity for r in qgram.text_similarity(pairs, "x", "y", df, "id", "text").collect()}
+        assert got == {(i, j): sum((wanted[i] & wanted[j]).values()) for i in ids for j in ids}
+    single = qgram.qgram_profile(spark.createDataFrame(texts, "id bigint, text string"), "id", "text")
+    assert "Aggregate" not in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lmers_are_distinct_before_they_are_rows(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), "".join(rng.choice("abcé\U0001f600") for _ in range(rng.choice([0, 3, 4, 50, 900])))) for _ in range(60)] + [("a", None)]
+    df = spark.createDataFrame(rows, "name string, text string")
+    for l in (1, 4, 40):
+        found = [tuple(r) for r in index.distinct_lmers(df, "text", l, ["name"]).collect()]
+        assert len(found) == len(set(found))
+        assert set(found) == {(n, t[i : i + l]) for n, t in rows if t for i in range(len(t) - l + 1)}
+    assert "Generate" not in index.distinct_lmers(df, "text", 4, ["name"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_partitions_of_long_strings_are_spread(spark, monkeypatch):
+    from nearkin import session
+
+    monkeypatch.setattr(session, "TASK_SYMBOLS", 100)
+    df = spark.createDataFrame([(i, f"{i:04d}ACGT" * 10) for i in range(40)], "id bigint, seq string").coalesce(1)
+    assert index.lmer_index(df, "seq", 12, ["id"]).rdd.getNumPartitions() == 32
+    assert session.spread(df.limit(1), "seq").rdd.getNumPartitions() == 1
+    assert index.lmer_index(df, "seq", 12, ["id"]).count() == index.distinct_lmers(df, "seq", 12, ["id"]).count()
