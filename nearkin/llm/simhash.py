@@ -43,7 +43,11 @@ def _shingle_hashes(text: bytes, size: int) -> list[int]:
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     """64-bit SimHash of a text: a bit is set if it is in over half the shingle hashes."""
-    hashes = np.array(_shingle_hashes(text, size), dtype=np.uint64)
+    return majority(np.array(_shingle_hashes(text, size), dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), 1 << 16):
         part = hashes[start : start + (1 << 16)].astype("<u8")
