@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from nearkin.llm import similar
+from nearkin.llm import simhash, similar
 from llm_helpers import documents, odd_rows, words
 
 
@@ -148,3 +148,26 @@ def test_copies_of_one_group_do_not_all_meet(spark, monkeypatch):
     pairs = [(r["i"], r["j"]) for r in similar.met_pairs(apart, docs, vertices).collect()]
     assert len(pairs) < 5 * 240
     assert len({v for pair in pairs for v in pair}) == 240
+
+
+def test_links_of_fingerprints_stay(spark):
+    """Texts that op1 links are one component, also below similarity 0.8; before, its links had to pass that check."""
+    rng = random.Random(31)
+    rows = []
+    for family in range(40):
+        base = words(rng, 700).split()
+        for member, changed in enumerate((0, 26, 30, 34, 40)):
+            copy = list(base)
+            for at in rng.sample(range(0, 700, 5), changed):
+                copy[at] = words(rng, 1)
+            rows.append((10 * family + member, " ".join(copy), "s"))
+    prints = [simhash.fingerprint(t.encode()) for _, t, _ in rows]
+    sets = [set(similar.shingles(t.encode()).tolist()) for _, t, _ in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    below = [(i, j) for i, j in near if 5 * len(sets[i] & sets[j]) < 4 * len(sets[i] | sets[j])]
+    plain = dict(plain_components(rows))
+    assert any(plain[str(rows[i][0])] != plain[str(rows[j][0])] for i, j in below)
+    wanted = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(documents(spark, rows), prints=True).collect()}
+    assert all(wanted[rows[i][0]] == wanted[rows[j][0]] for i, j in near)
+    kept = corpus_pipeline.deduplicate(spark, documents(spark, rows), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(wanted.values())) and len(kept) < len(set(plain.values()))
