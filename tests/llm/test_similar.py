@@ -171,3 +171,23 @@ def test_links_of_fingerprints_stay(spark):
     assert all(wanted[rows[i][0]] == wanted[rows[j][0]] for i, j in near)
     kept = corpus_pipeline.deduplicate(spark, documents(spark, rows), "").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(wanted.values())) and len(kept) < len(set(plain.values()))
+
+
+def test_a_pair_leaves_the_joins_about_once(spark, monkeypatch):
+    """Large sets around the threshold share many keys; before, a pair left the join for each of them."""
+    rng = random.Random(37)
+    base, rows = words(rng, 900).split(), []
+    for i in range(12):
+        copy = list(base)
+        for at in rng.sample(range(900), 4 + 2 * i):
+            copy[at] = words(rng, 1)
+        rows.append((i, " ".join(copy), "s"))
+    docs = documents(spark, rows)
+    vertices = similar.materialize(similar._described(docs).dropDuplicates(["v"]), "vertices")
+    left, named = [], similar._named
+    monkeypatch.setattr(similar, "_named", lambda met: left.append(met.count()) or named(met))
+    apart = similar._rows(similar._shared_keys(vertices), vertices.selectExpr("v vertex", "v root"), vertices)
+    pairs = {(r["i"], r["j"]) for r in similar.met_pairs(apart, docs, vertices).collect()}
+    sets = {r["v"]: set(similar.shingles(rows[r["doc_id"]][1].encode()).tolist()) for r in vertices.collect()}
+    alike = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert alike and alike <= pairs and sum(left) <= 2 * len(pairs)
