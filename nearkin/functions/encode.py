@@ -180,7 +180,7 @@ def packing_of(seq: Column | str) -> Column:
     """0, 1 or 2: the first of :data:`PACKINGS` able to hold the string."""
     seq = _col(seq)
     return (
-        F.when(F.length(F.translate(seq, DNA_SYMBOLS, "")) == 0, 0)
+        F.when(F.rlike(seq, F.lit(r"\A[ACGTN-]*+\z")), 0)
         .when((F.octet_length(seq) == F.length(seq)) & ~F.contains(seq, F.lit("\0")), 1)
         .otherwise(2)
     )
@@ -256,3 +256,91 @@ def sketch(seq: Column | str) -> Column:
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(SKETCH)), pa.array(flat))
 
     return words(_col(seq))
+
+
+# Base of the polynomials that pieces are hashed by, and its inverse modulo 2**64.
+_BASE = 0x5851F42D4C957F2D
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    found = np.full(n, base, dtype=np.uint64)
+    found[:1] = 1
+    return np.cumprod(found, dtype=np.uint64)
+
+
+def _piece(length: np.ndarray, m: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of piece ``m`` when ``length`` is split into ``k + 1`` near-equal pieces."""
+    size, short = length // (k + 1), k + 1 - length % (k + 1)
+    return m * size + np.maximum(m - short, 0), size + (m >= short)
+
+
+def pieces(texts: list[str], k: int, limit: int | None = None, shifts: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``texts`` and keys of pieces: each text's own ``k + 1`` in their order, or, with ``limit``, those it looks for.
+
+    A text looks for piece ``m`` of texts as long as itself to ``k`` longer, above ``limit``, where ``m`` earlier edits
+    can have moved it from the left and ``k - m`` later ones from the right; ``shifts=False`` looks at the
+    piece's own place only. Any part of a text is hashed by the difference of two sums.
+    """
+    length = np.array([len(t) for t in texts], dtype=np.int64)
+    start = np.cumsum(length) - length
+    symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    symbols = (symbols + np.uint64(1)) * _PAIR_MIX
+    symbols ^= symbols >> np.uint64(32)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(symbols * _powers(_BASE, len(symbols)), dtype=np.uint64)])
+    back = _powers(_INVERSE, len(symbols) + 1)
+    rows, keys = [], []
+
+    def add(some: np.ndarray, target: np.ndarray, m: int, at: np.ndarray, size: np.ndarray) -> None:
+        first = start[some] + at
+        key = (sums[first + size] - sums[first]) * back[first] * _BIT_MIX
+        key ^= key >> np.uint64(31)
+        key += (target * (k + 1) + m).astype(np.uint64)
+        key *= _PAIR_MIX
+        rows.append(some)
+        keys.append(key ^ key >> np.uint64(29))
+
+    for m in range(k + 1):
+        if limit is None:
+            add(np.arange(len(texts)), length, m, *_piece(length, m, k))
+            continue
+        for more in range(k + 1):
+            some = np.flatnonzero(length + more > limit)
+            target = length[some] + more
+            place, size = _piece(target, m, k)
+            for shift in range(max(-m, -more - (k - m)), min(m, k - m - more) + 1) if shifts else (0,):
+                inside = (place + shift >= 0) & (place + shift + size <= length[some])
+                add(some[inside], target[inside], m, place[inside] + shift, size[inside])
+    row, key = np.concatenate(rows), np.concatenate(keys)
+    if limit is None:
+        order = np.argsort(row, kind="stable")
+        return row[order], key[order]
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    return row[new], key[new]
+
+
+def _piece_lists(seq: Column | str, k: int, *looked_for) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def lists(texts: pa.Array) -> pa.Array:
+        counts, keys = [np.zeros(1, dtype=np.int64)], []
+        for i, j in slices(texts):
+            row, key = pieces([t or "" for t in texts[i:j].to_pylist()], k, *looked_for)
+            counts.append(np.bincount(row, minlength=j - i))
+            keys.append(key)
+        flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, dtype=np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(flat))
+
+    return lists(_col(seq))
+
+
+def piece_keys(seq: Column | str, k: int) -> Column:
+    """Keys of a string's ``k + 1`` near-equal pieces, see ``pieces``."""
+    return _piece_lists(seq, k)
+
+
+def piece_probes(seq: Column | str, k: int, limit: int, shifts: bool) -> Column:
+    """Keys of the pieces that a string looks for, see ``pieces``."""
+    return _piece_lists(seq, k, limit, shifts)

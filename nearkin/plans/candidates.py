@@ -31,7 +31,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearkin.functions.encode import SKETCH, equal_chunks, lmer_set, lmers
+from nearkin.functions.encode import SKETCH, equal_chunks, lmer_set, lmers, piece_keys, piece_probes
 from nearkin.session import materialize
 
 # Most deletion keys one string may produce.
@@ -261,18 +261,6 @@ def deletion_pairs(
 # -- segment keys ----------------------------------------------------------------------------
 
 
-def _segment(length: Column, m: Column, k: int) -> tuple[Column, Column]:
-    """Start and size of piece ``m`` when ``length`` is split into ``k + 1`` near-equal pieces."""
-    size = F.floor(length / (k + 1)).cast("int")
-    short = F.lit(k + 1) - length % (k + 1)
-    start = m * size + F.greatest(m - short, F.lit(0))
-    return start, size + F.when(m >= short, 1).otherwise(0)
-
-
-def _segment_key(length: Column, m: Column, text: Column) -> Column:
-    return F.xxhash64(length, m, text)
-
-
 def _proposed(x: DataFrame, y: DataFrame) -> tuple[int, int]:
     """How many pairs two written key tables propose, and the most units that hold a key of both."""
     count = lambda keys, name: keys.groupBy("key").agg(F.count(F.lit(1)).alias(name))
@@ -299,7 +287,10 @@ def related_edit_pairs(units: DataFrame, k: int, l: int, scope: Scope, shortest:
     Each string makes a few pieces but as many l-mers as symbols, so pieces are tried first; where they
     propose many pairs, as parts shared by most strings do, signatures are used if these propose fewer.
     """
-    probes, cut = (materialize(keys, "keys") for keys in _segment_keys(units, k, True, l * (k + 1) - 1, None))
+    probes, cut = _segment_keys(units, k, True, l * (k + 1) - 1, None)
+    cut = materialize(cut, "keys")
+    # Most places where a string looks for a piece of another one hold none.
+    probes = materialize(probes.join(cut.select("key").distinct(), "key", "left_semi"), "keys")
     proposed, most = _proposed(probes, cut)
     if proposed > FEW_PAIRS * rows:
         prefix = _written_prefix(_edit_prefix(units, k, l, scope, None))
@@ -317,32 +308,11 @@ def _segment_keys(units: DataFrame, k: int, shifts: bool, limit: int, below: int
     than ``limit`` symbols, and fewer than ``below``, if that is given.
     """
     longer = units.where(F.col("len") > limit)
+    partners = units.where(F.col("len") > limit - k)
     if below is not None:
-        longer = longer.where(F.col("len") < below)
-    length, seq = F.col("len"), F.col("seq")
-
-    def own(m: Column) -> Column:
-        start, size = _segment(length, m, k)
-        return _segment_key(length, m, F.substring(seq, start + 1, size))
-
-    cut = longer.select(*_carried(units), F.explode(F.transform(F.sequence(F.lit(0), F.lit(k)), own)).alias("key"))
-
-    def looked_up(target: Column) -> Column:
-        def at(m: Column) -> Column:
-            start, size = _segment(target, m, k)
-            gap = length - target
-            low = F.greatest(start - m, start + gap - (k - m), F.lit(0)) if shifts else start
-            high = F.least(start + m, start + gap + (k - m), length - size) if shifts else start
-            probe = lambda p: _segment_key(target, m, F.substring(seq, p + 1, size))
-            fits = (low <= high) & (high + size <= length)
-            return F.when(fits, F.transform(F.sequence(low, high), probe)).otherwise(F.array().cast("array<bigint>"))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k)), at))
-
-    first = F.greatest(length, F.lit(limit + 1))
-    targets = F.when(length + k >= first, F.sequence(first, length + k)).otherwise(F.array().cast("array<int>"))
-    partners = units if below is None else units.where(F.col("len") < below)
-    probes = partners.select(*_carried(units), F.explode(F.array_distinct(F.flatten(F.transform(targets, looked_up)))).alias("key"))
+        longer, partners = longer.where(F.col("len") < below), partners.where(F.col("len") < below)
+    cut = longer.select(*_carried(units), F.explode(piece_keys("seq", k)).alias("key"))
+    probes = partners.select(*_carried(units), F.explode(piece_probes("seq", k, limit, shifts)).alias("key"))
     return probes, cut
 
 

@@ -92,7 +92,7 @@ class SimilarityJoin:
             F.min(n).alias("shortest"),
             F.max(n).alias("longest"),
             F.max(packing_of(self.seq)).alias("packing"),
-            *[f(F.substring(s, 1, SHORT)).alias(f.__name__ + at) for f in (F.min, F.max) for at, s in (("_start", F.col(self.seq)), ("_end", F.reverse(self.seq)))],
+            *[f(F.substring(s, 1, SHORT)).alias(f.__name__ + at) for f in (F.min, F.max) for at, s in (("_start", F.col(self.seq)), ("_end", F.reverse(F.substring(self.seq, -SHORT, SHORT))))],
         ).first()
         if row.rows != row.strings:
             raise ValueError("strings must not be null")
@@ -123,7 +123,7 @@ class SimilarityJoin:
 
     @cached_property
     def units(self) -> DataFrame:
-        """``(u, sample, id, n, seq, len, words)`` and their sketches: the strings to join, written once."""
+        """``(u, sample, id, n, seq, len)``, sketches and, where pairs of them are compared, packed words: the strings to join, written once."""
         if self.collapse:
             grouped = self._rows.groupBy("sample", "seq").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
         else:
@@ -132,8 +132,9 @@ class SimilarityJoin:
         cores = self.df.sparkSession.sparkContext.defaultParallelism
         grouped = grouped.repartition(max(cores, self.stats.symbols // PARTITION_SYMBOLS))
         identity = F.col("id") if self.sample is None else F.struct("sample", "id")
-        words = [] if self._short else [sketch("seq").alias("sketch")]
-        grouped = grouped.select("*", *words)
+        sketched = [] if self._short else [sketch("seq").alias("sketch")]
+        grouped = grouped.select("*", *sketched)
+        words = [packed_words("seq", self.stats.packing).alias("words")] if self._packed else []
         return materialize(
             grouped.select(
                 identity.alias("u"),
@@ -142,12 +143,17 @@ class SimilarityJoin:
                 "n",
                 "seq",
                 F.length("seq").alias("len"),
-                packed_words("seq", self.stats.packing).alias("words"),
-                *[F.get("sketch", F.lit(i)).alias(c) for i, c in enumerate(SKETCH) if words],
+                *words,
+                *[F.get("sketch", F.lit(i)).alias(c) for i, c in enumerate(SKETCH) if sketched],
             ),
             "units",
         )
 
+    @property
+    def _packed(self) -> bool:
+        """Whether all pairs have their Hamming distance taken; else the few that need words pack them."""
+        return self.metric == "hamming" or self.stats.packing == "dna"
+
     @cached_property
     def chunk_ends(self) -> list[int]:
         """Ends of the entropy-balanced chunks, one per chunk."""
@@ -209,10 +215,18 @@ class SimilarityJoin:
         that survive ``k`` edits; true without a signature), ``hits`` (how many chunks of the
         longer string it shares) and ``related``. Columns not asked for are not computed.
         """
-        side = lambda c: self.units.select(
+        units, pairs = self.units, self.candidates(complete)
+        if not complete and self.stats.longest > SHORT:
+            # Long strings are moved only where a pair needs them.
+            pairs = materialize(pairs, "candidates")
+            ends = materialize(pairs.select(F.col("a").alias("u")).union(pairs.select(F.col("b").alias("u"))).distinct(), "ends")
+            units = materialize(units.join(ends, "u", "left_semi"), "needed")
+        if not self._packed:
+            units = units.withColumn("words", packed_words("seq", self.stats.packing))
+        side = lambda c: units.select(
             F.col("u").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("sample", "id", "n", "seq", "len", "words")]
         )
-        pairs = self.candidates(complete).join(side("a"), "a").join(side("b"), "b")
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b")
         near = packed_hamming_bounded("words_a", "words_b", self.k, self.stats.packing) >= 0
         b_probes = F.col("len_b") > F.col("len_a")
         probe = F.when(b_probes, F.col("seq_b")).otherwise(F.col("seq_a"))

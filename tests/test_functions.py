@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from nearkin.functions import distance as d
 from nearkin.functions import encode as e
 from nearkin.operators import lookup, qgram
+from nearkin.plans.join import SimilarityJoin
 
 # Documented examples of both distances.
 HAMMING = [("", "", 0), ("pappa", "pappa", 0), ("1011101", "1011111", 1), ("ATCG", "ACCC", 2), ("karolin", "kerstin", 3)]
@@ -152,3 +153,41 @@ def test_codes_of_every_length(spark, l):
     texts = ["", "A", "N" * 45, None] + ["".join(rng.choice("ACGTN") for _ in range(n)) for n in (l - 1, l, l + 1, 64, 300, 600)]
     rows = values(spark, [(t,) for t in texts], "s string", e.lmer_codes("s", l), F.transform(e.lmers("s", l), lambda s: e.lmer_code(s)))
     assert all(r[0] == r[1] for r in rows)
+
+
+def test_pieces_are_found_where_edits_move_them(spark):
+    """Own pieces and those looked for, against their definition; before, each was cut out of the whole text on its own."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aé日\n") for _ in range(rng.choice([0, 1, 2, 9, 10, 17, 40]))) for _ in range(40)] + ["a" * 30]
+    for k, limit, shifts in ((0, 0, True), (2, 2, True), (3, 12, True), (4, 4, False)):
+        cut = lambda n, m: (m * (n // (k + 1)) + max(m - (k + 1 - n % (k + 1)), 0), n // (k + 1) + (m >= k + 1 - n % (k + 1)))
+        own = {}
+        for i, x in enumerate(texts):
+            for m in range(k + 1):
+                at, size = cut(len(x), m)
+                own[i, m] = (len(x), m, x[at : at + size])
+        looked = [set() for _ in texts]
+        for i, x in enumerate(texts):
+            for n in range(max(len(x), limit + 1), len(x) + k + 1):
+                for m in range(k + 1):
+                    at, size = cut(n, m)
+                    gap = len(x) - n
+                    for p in range(max(at - m, at + gap - (k - m)), min(at + m, at + gap + (k - m)) + 1) if shifts else [at]:
+                        if p >= 0 and p + size <= len(x):
+                            looked[i].add((n, m, x[p : p + size]))
+        rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").repartition(2)
+        found = rows.select("i", e.piece_keys("s", k).alias("own"), e.piece_probes("s", k, limit, shifts).alias("looked")).collect()
+        keys = {r["i"]: r["own"] for r in found}
+        name = {piece: keys[i][m] for (i, m), piece in own.items()}
+        assert all(len(v) == k + 1 for v in keys.values()) and len(set(name.values())) == len(name)
+        for r in found:
+            assert len(r["looked"]) == len(looked[r["i"]])
+            assert {p for p in name if p in looked[r["i"]]} == {p for p, key in name.items() if key in set(r["looked"])}
+
+
+def test_only_joins_that_compare_words_pack_them(spark):
+    rows = spark.createDataFrame([(1, "ünlike dna"), (2, "ünlikedna")], "seq_id long, seq string")
+    for metric, packs in (("edit", False), ("hamming", True)):
+        join = SimilarityJoin(rows, 3, metric, l=2)
+        assert ("words" in join.units.columns) == packs
+        assert join.metrics().first()["related_pairs"] == (metric == "edit")
