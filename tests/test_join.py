@@ -313,3 +313,24 @@ def test_an_edit_turns_four_bits_of_a_sketch_at_most():
         assert max(turned) <= 4 * k
     far = sketches(["".join(chr(rng.randrange(97, 160)) for _ in range(500)) for _ in range(2)])
     assert sum(int(w).bit_count() for w in (far[0] ^ far[1]).view("<u8")) > 64
+
+
+def test_short_strings_are_judged_where_pieces_meet(spark, monkeypatch):
+    """Pairs of one host leave the join once and only if they are related; before, all candidates were shuffled."""
+    rng = random.Random(8)
+    rows = [(i, f"https://m.{rng.choice(['ünder', 'over'])}.example.net/en/{rng.randrange(3000)}{rng.choice(['', '/', '.html', '?page=2'])}") for i in range(300)]
+    df = spark.createDataFrame(rows, "seq_id long, seq string")
+    seen, judge = [], candidates._judged
+    monkeypatch.setattr(candidates, "_judged", lambda met: seen.append(judge(met)) or seen[-1])
+    for block in (candidates.KEY_BLOCK, 30):
+        monkeypatch.setattr(candidates, "KEY_BLOCK", block)
+        monkeypatch.setattr(candidates, "FEW_PAIRS", 10**9)
+        found = SimilarityJoin(df, 4, "edit", l=5).pairs().collect()
+        first = {}
+        for i, x in rows:
+            first.setdefault(x, i)
+        want = sorted((i, j) for x, i in first.items() for y, j in first.items() if i < j and levenshtein(x, y) <= 4)
+        assert sorted((r.i, r.j) for r in found) == want and len(want) > 300
+        copies = [x for _, x in rows]
+        assert all(r.n_i == copies.count(rows[r.i][1]) and r.n_j == copies.count(rows[r.j][1]) for r in found)
+        assert seen.pop().count() == len(want)
